@@ -16,6 +16,7 @@ from itertools import chain
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from strataform.llm.common import Memo
 
@@ -111,7 +112,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text",
                 ids = pa.array([bpe.encode(x) if x else [] for x in part.column(at).to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, ids_col])
 
-    schema = df.schema.add(ids_col, "array<int>")
+    schema = StructType([*df.schema.fields, StructField(ids_col, ArrayType(IntegerType()))])
     return df.mapInArrow(run, schema)
 
 
@@ -125,7 +126,7 @@ def decode(df: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids", by
             raw = pa.array([None if x is None else bpe.decode(x) for x in batch.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, raw], [*batch.schema.names, bytes_col])
 
-    return df.mapInArrow(run, df.schema.add(bytes_col, "binary"))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(bytes_col, BinaryType())]))
 
 
 def slices(batch: pa.RecordBatch, at: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:

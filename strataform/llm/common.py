@@ -78,3 +78,71 @@ class Memo(dict):
             self.old = dict(self)
             self.clear()
         return value
+
+
+def put(path: str, parts) -> None:
+    """Writes a file by a temporary name and a rename, so that a retried task leaves whole files only."""
+    local = _local(path)
+    if local:
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        draft = f"{local}.{uuid.uuid4().hex}"
+        with open(draft, "wb") as out:
+            for part in parts:
+                out.write(part)
+        os.replace(draft, local)
+        return
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path)
+    draft = f"{name}.{uuid.uuid4().hex}"
+    store.create_dir(os.path.dirname(name), recursive=True)
+    with store.open_output_stream(draft) as out:
+        for part in parts:
+            out.write(part)
+    store.move(draft, name)
+
+
+def get(path: str):
+    """The bytes of a file as a numpy array: mapped where the file is in a mounted folder, read elsewhere."""
+    import numpy as np
+
+    local = _local(path)
+    if local:
+        return np.memmap(local, np.uint8, "r") if os.path.getsize(local) else np.zeros(0, np.uint8)
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(name) as f:
+        return np.frombuffer(f.read(), np.uint8)
+
+
+def _local(path: str) -> str:
+    return path.split(":", 1)[1].replace("//", "", 1) if path.startswith("file:") else "" if "://" in path else path
+
+
+def pack(arrays: dict) -> bytes:
+    """Named arrays as one block of bytes, each aligned to 8; ``unpack`` makes views of it."""
+    import json
+
+    import numpy as np
+
+    parts, at, names = [], 0, {}
+    for name, a in arrays.items():
+        raw = np.ascontiguousarray(a).tobytes()
+        names[name] = [a.dtype.str, len(a), at]
+        parts.append(raw + b"\0" * (-len(raw) % 8))
+        at += len(parts[-1])
+    head = json.dumps(names).encode()
+    head += b" " * (-(len(head) + 8) % 8)
+    return b"".join([len(head).to_bytes(8, "little"), head, *parts])
+
+
+def unpack(block) -> dict:
+    import json
+
+    import numpy as np
+
+    n = int.from_bytes(block[:8].tobytes(), "little")
+    names = json.loads(block[8 : 8 + n].tobytes())
+    body = block[8 + n :]
+    return {k: body[at : at + count * np.dtype(t).itemsize].view(t) for k, (t, count, at) in names.items()}

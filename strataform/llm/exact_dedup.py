@@ -85,7 +85,7 @@ def _hot_copies(rows: DataFrame, keep: str) -> DataFrame:
         salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
         joined = (
             rows.withColumn("salt", salt)
-            .join(groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), ["key", "salt"])
+            .join(groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["key", "salt"])
             .drop("salt")
         )
     winner = F.col("doc_id").eqNullSafe(F.col("keep_id"))

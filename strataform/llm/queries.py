@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strataform.llm import bpe, exact_dedup, mixing, token_counts
-from strataform.llm.common import ship
+from strataform.llm import bpe, chat, exact_dedup, flac, language_id, mixing, token_counts, token_store
+from strataform.llm.common import ship, work_dir
 from strataform.session import table as stored
 
 
@@ -15,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return stored(spark, sf_dir, name)
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_dir(spark, "token-store")
+    shards = token_store.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_store.read(spark, folder, shards)
+
+
+def op2_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.label_copies(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -28,14 +38,52 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return language_id.label_languages(documents, language_id.fit(documents))
+
+
+def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.describe(flac.with_media(table(spark, sf_dir, "documents")))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = mixing.label_mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), max_repeat=3, seed=42)
     return labelled.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_byte_bpe, op6_token_counts, op9_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_chat_perspectives, op3_exact_dedup, op5_byte_bpe, op6_token_counts, op7_language_id, op8_flac_media, op9_mix_sources)}
 
 ORACLE_SQL = {
+    "op2_chat_perspectives": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '<\|') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS nth
+            FROM conversations
+        ), speakers AS (
+            SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role <> 'system'
+        ), views AS (
+            SELECT t.*, perspective,
+                   CASE WHEN role = 'system' THEN '<|system|>
+' WHEN role = perspective THEN '<|assistant|>
+'
+                        ELSE '<|user name=' || replace(role, '<|', '<\|') || '|>
+' END AS head
+            FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
+        ), sized AS (
+            SELECT *, head || text || '<|end|>
+' AS segment,
+                   CAST(sum(length(head || text || '<|end|>
+')) OVER (PARTITION BY conv_id, perspective ORDER BY nth) AS BIGINT) AS seg_end
+            FROM views
+        )
+        SELECT conv_id, perspective, turn, nth,
+               CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant' ELSE 'user' END AS speaks_as,
+               segment, seg_end - length(segment) AS seg_start, seg_end,
+               CASE WHEN role = perspective AND role <> 'system' THEN seg_end - length(segment) + length(head) END AS mask_start,
+               CASE WHEN role = perspective AND role <> 'system' THEN seg_end - 1 END AS mask_end
+        FROM sized
+    """,
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
