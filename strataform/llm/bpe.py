@@ -166,7 +166,7 @@ def round_trip(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_i
                 [*(batch.schema.names if carry else ["doc_id"]), *new],
             )
 
-    schema = src.schema if carry else src.select("doc_id").schema
+    schema = StructType(list(src.schema.fields) if carry else [src.schema["doc_id"]])
     for c, kind in zip(new, ("long", "string", "string"), strict=True):
         schema = schema.add(c, kind)
     return src.mapInArrow(run, schema)
