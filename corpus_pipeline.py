@@ -1,12 +1,55 @@
-"""A corpus pipeline of five stages, each an operator of the llm subpackage."""
+"""A corpus pipeline of five stages, each an operator of the llm subpackage.
+
+Language identification rejects documents without an identifiable language; exact and near copies go, one of
+each group staying; sources are mixed to their targets, documents repeated as needed; the rest is encoded.
+Only the last stage adds columns. It has no SQL; tests hold it against a brute-force version.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from strataform.llm import bpe, exact_dedup, language_id, mixing, near_dedup
+from strataform.llm.common import ship, written
+from strataform.session import table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.keep_identified(docs)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_copies(docs, keep="largest")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.drop_near(docs, words=5, similarity=0.8)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs, weights=(1, 2, 3), max_repeat=3, seed=42)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, carry=True)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("mix_sources", mix_sources),
+    ("byte_bpe", encode_tokens),
+]
+
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    ship(spark.sparkContext)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

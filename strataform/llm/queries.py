@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strataform.llm import bpe, chat, exact_dedup, flac, language_id, mixing, token_counts, token_store
+from strataform.llm import bpe, chat, exact_dedup, flac, language_id, mixing, near_dedup, ngram, token_counts, token_store
 from strataform.llm.common import ship, work_dir
 from strataform.session import table as stored
 
@@ -29,6 +29,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.label_copies(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.label_groups(table(spark, sf_dir, "documents"), words=4, similarity=0.8)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -52,7 +56,26 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_chat_perspectives, op3_exact_dedup, op5_byte_bpe, op6_token_counts, op7_language_id, op8_flac_media, op9_mix_sources)}
+def op10_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return ngram.score(documents, ngram.train(documents))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_store,
+        op2_chat_perspectives,
+        op3_exact_dedup,
+        op4_near_dedup,
+        op5_byte_bpe,
+        op6_token_counts,
+        op7_language_id,
+        op8_flac_media,
+        op9_mix_sources,
+        op10_ngram_scores,
+    )
+}
 
 ORACLE_SQL = {
     "op2_chat_perspectives": r"""
