@@ -42,8 +42,8 @@ class WordIds:
         spaced = [self._encode(x) for x in (b"a b", b"a", b"b", b"\n a\t b ")]
         if not spaced[0] == spaced[1] + spaced[2] == spaced[3]:
             raise ValueError(f"{tokenizer_file}: white space counts, so words can't be encoded alone")
-        self.memo = Memo(self.encode_word)
-        self.bits = Memo(self._encode)
+        self.memo = Memo(self.encode_word, size=500_000)
+        self.bits = Memo(self._encode, size=500_000)
 
     def _encode(self, word: bytes) -> bytes:
         ids = self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
