@@ -11,11 +11,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from strataform.llm import bpe, exact_dedup, language_id, mixing, near_dedup
-from strataform.llm.common import ship, written
+from strataform.llm.common import prepare, written
 from strataform.session import table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return language_id.keep_identified(docs)
 
 
@@ -48,7 +49,6 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark.sparkContext)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")

@@ -41,8 +41,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that go to a Python worker at a time, for texts are long: set where the session has Spark's default.
+ARROW_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Small Arrow batches, and this package on the executors."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, ARROW_ROWS)
+    _ship(spark.sparkContext)
+
+
 @lru_cache(maxsize=4)
-def ship(sc) -> None:
+def _ship(sc) -> None:
     """Sends this package to the executors, once for each context, unless their path has it already."""
     root = Path(__file__).resolve().parents[2]
     if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or Path.cwd() == root:

@@ -1,12 +1,13 @@
 """Near-duplicate groups by MinHash bands and sequential Bayesian verification.
 
 1. Each text's shingle set becomes a signature. Sets that are equal become one class from the start.
-2. Bands of the signature make buckets. Within a bucket all members are first paired with one leader.
+2. Bands of the signature make buckets. Within a bucket all members are paired with one leader, drawn anew
+   for each bucket, so that a document meets many leaders of its group.
 3. A pair's signatures are compared batch by batch. It is dropped once the posterior probability that its
    similarity reaches the threshold is below the chosen miss probability. Survivors are verified on full sets.
-4. Verified links are contracted to components. Only where a bucket still holds several components are its
-   members paired across them; a large such bucket is split by a second band first, again and again. So
-   copies of one text cost one pair each, and no pair of different components goes unseen.
+4. Verified links are contracted to components. Where buckets still hold several components, further rounds
+   draw other leaders, and in the end members are paired across components. So members of one component cost
+   about a pair each, and no pair of different components that shares a bucket goes unseen.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataform.llm.common import written
+from strataform.llm.common import partitions, written
 from strataform.llm.components import components
 from strataform.llm.words import mix, shingle_set
 
@@ -30,10 +31,10 @@ BANDS, ROWS = 40, 6
 HASHES = BANDS * ROWS
 BATCH = 40
 MISS = 1e-6
-#: Members of a bucket that are paired all with all; larger buckets are split by further bands.
-SMALL = 48
-#: Splits by further bands before what is left is paired in full.
-DEPTH = 4
+#: Rounds of new leaders before the members of a bucket are paired across components.
+ROUNDS = 2
+#: Members of a block of a bucket.
+BLOCK = 256
 #: So many identifiers are broadcast at most to pick texts; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -115,16 +116,15 @@ class _Pass:
         classes = self.all.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
         self.classes = written(classes, "classes")
         own = self.classes.select(F.col("digest").alias("d"), "rep")
-        self.sets = written(
-            self.all.join(own, (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["rep", "digest"]).select("rep", "n_shingles", "bands", "sig"),
-            "sets",
-        )
+        # An identifier with several texts is one node of the graph: its sets share buckets, and one is compared.
+        self.banded = self.all.join(own, (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep"))).select("rep", "n_shingles", "bands", "sig")
+        self.sets = written(self.banded.select("rep", "n_shingles", "sig").groupBy("rep").agg(F.max_by(F.struct("n_shingles", "sig"), F.struct("n_shingles", "sig")).alias("x")).select("rep", "x.*"), "sets")
         self.comps = self.texts = None
 
     def buckets(self, rows: DataFrame) -> DataFrame:
-        """Of rows ``key, rep`` those whose key has several, with the least as leader."""
-        several = rows.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        return written(rows.join(several, "key").select("key", "rep", "leader"), "buckets")
+        """Of rows ``key, rep`` those whose key has several."""
+        several = rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key")
+        return written(rows.join(several, "key", "left_semi"), "buckets")
 
     def close(self, pairs: DataFrame) -> DataFrame:
         """``a, b, matches``: the pairs that signatures can't rule out, sizes first."""
@@ -203,10 +203,9 @@ class _Pass:
         moved = self.comps.join(of, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
         self.comps = written(moved.union(new.join(self.comps, "node", "left_anti")), "components")
 
-    def settle(self, pairs: DataFrame, best_first: bool) -> None:
-        """Finds the links of candidate pairs. First one pair for each document, the likeliest; then those that still matter."""
+    def settle(self, close: DataFrame, best_first: bool) -> None:
+        """Finds the links among close pairs. First one pair for each document, the likeliest; then those that still matter."""
         best = Window.partitionBy("b").orderBy(F.desc("matches"), "a")  # with leaders only, b is in a pair for each band at most
-        close = self.close(pairs)
         close = written(close.withColumn("nth", F.row_number().over(best) if best_first else F.lit(0)), "close-pairs")
         self.pick_texts(close)
         if best_first:
@@ -214,26 +213,78 @@ class _Pass:
         self.add(written(self.verify(self.labelled(close.where("nth <> 1"), "a", "b").where("ca <> cb")), "links"))
 
     def run(self) -> None:
-        bands = self.sets.select("rep", F.explode("bands").alias("key"))
-        buckets, depth = self.buckets(bands.select("key", "rep")), 0
-        while True:
-            self.settle(buckets.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), True)
-            open_ = self.labelled(buckets.withColumnRenamed("rep", "r"), "r")
-            several = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cr").alias("lo"), F.max("cr").alias("hi")).where("lo <> hi")
-            open_ = written(open_.join(several.select("key", "n"), "key").select("key", "r", "cr", "leader", "n"), "open-buckets")
-            if open_.isEmpty():
+        """Rounds of random leaders, then all pairs across components of the buckets that still have several."""
+        buckets = self.buckets(self.banded.select("rep", F.explode("bands").alias("key")))
+        for turn in range(ROUNDS):
+            chosen = buckets.groupBy("key").agg(F.min_by("rep", F.xxhash64("key", "rep", F.lit(turn))).alias("leader"))
+            pairs = buckets.join(chosen, "key").where("rep <> leader").select("rep", "leader")
+            pairs = self.labelled(pairs, "rep", "leader").where("crep <> cleader") if turn else pairs
+            self.settle(self.close(pairs.select(F.greatest("rep", "leader").alias("b"), F.least("rep", "leader").alias("a")).distinct()), True)
+            sizes = self.labelled(buckets, "rep").groupBy("key", "crep").agg(F.count(F.lit(1)).alias("n"))
+            several = written(sizes.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", "n"), "open-keys")
+            buckets = written(buckets.select("key", "rep").join(several, "key").select("key", "rep", "n"), "open-buckets")
+            if buckets.isEmpty():
                 return
-            small = open_.where(F.lit(depth == DEPTH) | (F.col("n") <= SMALL))
-            one, two = (small.select("key", F.col("r").alias(k), F.col("cr").alias(f"c{k}"), F.col("leader").alias(f"l{k}")) for k in "ab")
-            # Pairs with the leader have been seen.
-            pairs = one.join(two, "key").where("a < b AND ca <> cb AND a <> la").select("a", "b").distinct()
-            self.settle(pairs, False)
-            large = open_.where(F.lit(depth < DEPTH) & (F.col("n") > SMALL))
-            if depth == DEPTH or large.isEmpty():
+        self.settle(self.across(buckets), False)
+
+    def across(self, buckets: DataFrame) -> DataFrame:
+        """``a, b, matches``: pairs of a bucket's members of different components that signatures can't rule out.
+
+        A bucket is dealt into blocks; each pair of blocks is one unit of work, compared in whole arrays, and
+        pairs that are ruled out never become rows.
+        """
+        percent, least = self.percent, least_matches(self.similarity, MISS)
+        rows = self.labelled(buckets, "rep").join(self.sets, "rep").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "crep", "n_shingles", "sig")
+        n = max(partitions(rows.sparkSession), 1)
+        units = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+            for batch in batches:
+                table = pa.Table.from_batches([batch])
+                table = pa.concat_tables([held, table]) if held is not None else table
+                if not len(table):
+                    continue
+                keys = [table.column(c).to_numpy() for c in ("key", "i", "j")]
+                edges = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+                last = int(edges[-1]) if len(edges) else 0
+                held = table.slice(last)
+                yield from compared(table.slice(0, last), [0, *edges.tolist()])
+            if held is not None:
+                yield from compared(held, [0, len(held)])
+
+        def compared(table: pa.Table, edges: list[int]) -> Iterator[pa.RecordBatch]:
+            if not len(table):
                 return
-            depth += 1
-            again = large.select("key", F.col("r").alias("rep")).join(bands.withColumnRenamed("key", "band"), "rep")
-            buckets = self.buckets(again.select(F.xxhash64("key", "band").alias("key"), "rep").distinct())
+            own, rep, comp, size, i, j = (table.column(c).to_numpy() for c in ("own", "rep", "crep", "n_shingles", "i", "j"))
+            sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+            found = []
+            for a, b in zip(edges, edges[1:], strict=False):
+                one = np.arange(a, b)
+                two = one
+                if i[a] != j[a]:
+                    one, two = one[own[a:b] == i[a]], one[own[a:b] == j[a]]
+                pick = comp[one][:, None] != comp[two][None, :]
+                pick &= 100 * np.minimum(size[one][:, None], size[two][None, :]) >= percent * np.maximum(size[one][:, None], size[two][None, :])
+                if i[a] == j[a]:
+                    pick &= rep[one][:, None] < rep[two][None, :]
+                x, y = (k[v] for k, v in zip((one, two), np.nonzero(pick), strict=True))
+                matches = np.zeros(len(x), np.int64)
+                for k, need in enumerate(least):
+                    if not len(x):
+                        break
+                    at = slice(k * BATCH, (k + 1) * BATCH)
+                    matches = matches + (sigs[x, at] == sigs[y, at]).sum(1)
+                    alive = matches >= need
+                    x, y, matches = x[alive], y[alive], matches[alive]
+                if len(x):
+                    found.append((np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y]), matches))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b", "matches"])
+
+        return units.mapInArrow(run, "a long, b long, matches long").distinct()
 
 
 def label_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -33,9 +33,9 @@ ADDED = 0.1
 #: Codes of probabilities: steps of 20 / 65535 in the decimal logarithm.
 STEP = 20 / 65535
 #: Tokens counted at a time by a task.
-HELD = 2_000_000
+HELD = 1_000_000
 #: Bytes of text handled at a time.
-TEXT = 4 << 20
+TEXT = 2 << 20
 
 
 def _code(log10: np.ndarray) -> np.ndarray:

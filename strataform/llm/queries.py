@@ -6,12 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from strataform.llm import bpe, chat, exact_dedup, flac, language_id, mixing, near_dedup, ngram, token_counts, token_store
-from strataform.llm.common import ship, work_dir
+from strataform.llm.common import prepare, work_dir
 from strataform.session import table as stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark.sparkContext)
+    prepare(spark)
     return stored(spark, sf_dir, name)
 
 

@@ -64,9 +64,9 @@ def corpus(seed, families=25, most=14):
     return out
 
 
-@pytest.mark.parametrize(("seed", "n", "small"), [(1, 4, 48), (2, 5, 48), (3, 4, 2)])
-def test_groups_are_those_of_brute_force(spark, seed, n, small, monkeypatch):
-    monkeypatch.setattr(near_dedup, "SMALL", small)
+@pytest.mark.parametrize(("seed", "n", "block"), [(1, 4, 256), (2, 5, 256), (3, 4, 2)])
+def test_groups_are_those_of_brute_force(spark, seed, n, block, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     docs = corpus(seed)
     want = groups(docs, n)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
