@@ -120,7 +120,7 @@ def get(path: str):
 
     local = _local(path)
     if local:
-        return np.memmap(local, np.uint8, "r") if os.path.getsize(local) else np.zeros(0, np.uint8)
+        return np.memmap(local, np.uint8, "r").view(np.ndarray) if os.path.getsize(local) else np.zeros(0, np.uint8)
     from pyarrow import fs
 
     store, name = fs.FileSystem.from_uri(path)

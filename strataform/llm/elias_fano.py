@@ -71,20 +71,23 @@ class EliasFano:
             return out
         top = (values >> np.uint64(self.width)).astype(np.int64)
         tail = values & self.mask
-        # The run of ones behind zero number top - 1 holds what has this top.
-        nth = np.maximum(top - 1, 0)
-        word = np.searchsorted(self.zeros, nth, "right") - 1
-        at = word * 64 + _select(~self.high[word], nth - self.zeros[word]) + 1
-        at[top == 0] = 0
-        rows = np.arange(len(values))
+        # What has this top is the run of ones between zeros number top - 1 and top: a binary search by tails.
+        low = np.where(top == 0, 0, self._zero(np.maximum(top - 1, 0)) + 1 - top)
+        high = self._zero(top) - top
+        end = high.copy()
+        rows = np.flatnonzero(low < high)
         while len(rows):
-            here = at[rows]
-            one = (self.high[here >> 6] >> (here & 63).astype(np.uint64)) & _ONE == 1
-            rows, here = rows[one], here[one]
-            i = here - top[rows]
-            got = self._low(i)
-            hit = got == tail[rows]
-            out[rows[hit]] = i[hit]
-            rows = rows[got < tail[rows]]
-            at[rows] += 1
+            mid = (low[rows] + high[rows]) >> 1
+            less = self._low(mid) < tail[rows]
+            low[rows] = np.where(less, mid + 1, low[rows])
+            high[rows] = np.where(less, high[rows], mid)
+            rows = rows[low[rows] < high[rows]]
+        rows = np.flatnonzero(low < end)
+        hit = rows[self._low(low[rows]) == tail[rows]]
+        out[hit] = low[hit]
         return out
+
+    def _zero(self, nth: np.ndarray) -> np.ndarray:
+        """Position of zeros by number."""
+        word = np.searchsorted(self.zeros, nth, "right") - 1
+        return word * 64 + _select(~self.high[word], nth - self.zeros[word])

@@ -96,6 +96,7 @@ class Trie:
     def __init__(self, folder: str, levels: tuple[Level, ...], total: int):
         self.folder, self.levels, self.total = folder, levels, total
         self.words = int(levels[0].starts[-1]) if levels else 0
+        self.unit = self.words + 1  # of a context's range; its last place is the unknown word's and stays free
         self.unknown = float(np.log10(ADDED / (total + ADDED * (self.words + 1))))
 
     @lru_cache(maxsize=100_000)  # noqa: B019
@@ -124,21 +125,25 @@ class Trie:
         """Nodes of level k, -1 where there is none or an argument is -1."""
         out = np.full(len(contexts), -1, np.int64)
         known = np.flatnonzero((contexts >= 0) & (words >= 0))
-        if not len(known):
-            return out
-        keys, back = np.unique(contexts[known] * self.words + words[known], return_inverse=True)
-        level, nodes = self.levels[k - 1], np.full(len(keys), -1, np.int64)
-        asked = keys // self.words
+        out[known] = self._search(k, contexts[known], words[known])[0]
+        return out
+
+    def _search(self, k: int, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes of level k, -1 where there is none; their logarithms; what each context leaves to shorter ones."""
+        keys, back = np.unique(contexts * self.unit + words, return_inverse=True)
+        level, asked = self.levels[k - 1], keys // self.unit
+        nodes, log10, weight = np.full(len(keys), -1, np.int64), np.zeros(len(keys)), np.zeros(len(keys))
         for j, at in self._pieces(k, level.piece(asked)):
             p, lo = self._piece(k, j), int(level.bounds[j])
             own, again = np.unique(asked[at] - lo, return_inverse=True)
             begin, end = p.pointers.get(own)[again].astype(np.int64), p.pointers.get(own + 1)[again].astype(np.int64)
-            some = begin < end  # contexts without words end here
-            found = np.full(len(begin), -1, np.int64)
-            found[some] = p.keys.find((keys[at][some] - lo * self.words).astype(np.uint64))
-            nodes[at] = np.where(found >= 0, found + level.starts[j], -1)
-        out[known] = nodes[back]
-        return out
+            weight[at] = _value(p.weight[own])[again]
+            some = np.flatnonzero(begin < end)  # contexts without words end here
+            found = p.keys.find((keys[at][some] - lo * self.unit).astype(np.uint64))
+            hit = found >= 0
+            nodes[some[hit] + at.start] = found[hit] + level.starts[j]
+            log10[some[hit] + at.start] = _value(p.code[found[hit]])
+        return nodes[back], log10[back], weight[back]
 
     def _at(self, k: int, nodes: np.ndarray, read, kind=np.float64) -> np.ndarray:
         """``read(piece, positions)`` of nodes, none of them -1."""
@@ -161,67 +166,63 @@ class Trie:
     def base(self, words: np.ndarray) -> np.ndarray:
         return np.log10((self.counts(words) + ADDED) / (self.total + ADDED * (self.words + 1)))
 
-    def _weights(self, k: int, contexts: np.ndarray) -> np.ndarray:
-        """Logarithms of what contexts (nodes of level k - 1) leave to shorter ones: 0 for those with no words."""
-        out = np.zeros(len(contexts))
-        known = np.flatnonzero(contexts >= 0)
-        level = self.levels[k - 1]
-        ranked = np.sort(contexts[known])
-        order = np.argsort(contexts[known], kind="stable")
-        got = np.zeros(len(known))
-        for j, at in self._pieces(k, level.piece(ranked)):
-            got[at] = _value(self._piece(k, j).weight[ranked[at] - level.bounds[j]])
-        out[known[order]] = got
-        return out
-
     def _suffix(self, k: int, nodes: np.ndarray) -> np.ndarray:
         """Nodes of level k without their first word, at level k - 1."""
         level = self.levels[k - 1]
-        keys = self._at(k, nodes, lambda p, i, j: p.keys.get(i).astype(np.int64) + int(level.bounds[j]) * self.words, np.int64)
-        context, word = np.divmod(keys, self.words)
+        keys = self._at(k, nodes, lambda p, i, j: p.keys.get(i).astype(np.int64) + int(level.bounds[j]) * self.unit, np.int64)
+        context, word = np.divmod(keys, self.unit)
         return word if k == 2 else self.find(k - 1, self._suffix(k - 1, context), word)
 
     def log10(self, k: int, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Of known words behind contexts of k - 1 words, all of them nodes."""
         if k == 1:
             return self.base(words)
-        nodes = self.find(k, contexts, words)
-        out, seen = np.zeros(len(words)), nodes >= 0
-        out[seen] = self._at(k, nodes[seen], lambda p, i, j: _value(p.code[i]))
-        rest = ~seen
+        nodes, out, weight = self._search(k, contexts, words)
+        rest = nodes < 0
         if rest.any():
             shorter = self._suffix(k - 1, contexts[rest]) if k > 2 else contexts[rest]
-            out[rest] = self._weights(k, contexts[rest]) + self.log10(k - 1, shorter, words[rest])
+            out[rest] = weight[rest] + self.log10(k - 1, shorter, words[rest])
         return out
 
+    def words_of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct words' ids, their base logarithms, and where each token's is."""
+        distinct, back = np.unique(hashes, return_inverse=True)
+        ids = self.vocabulary(distinct)
+        return ids, self.base(ids), back
+
     def walk(self, hashes: np.ndarray, first: np.ndarray, upto: int) -> list[np.ndarray]:
         """For each token its node at levels 1 to ``upto``, -1 where its context or itself is unknown or a text begins."""
-        distinct, back = np.unique(hashes, return_inverse=True)
-        nodes = [self.vocabulary(distinct)[back]]
+        ids, _, back = self.words_of(hashes)
+        nodes = [ids[back]]
         for k in range(2, upto + 1):
-            contexts = np.concatenate([[-1], nodes[-1][:-1]])
-            contexts[first] = -1
-            nodes.append(self.find(k, contexts, nodes[0]))
+            nodes.append(self.find(k, _before(nodes[-1], first), nodes[0]))
         return nodes
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Tokens, known tokens, base score and score of each text."""
         hashes, sizes = token_hashes(texts)
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        distinct, back = np.unique(hashes, return_inverse=True)
-        ids = self.vocabulary(distinct)
-        base, known = self.base(ids)[back], (ids >= 0)[back]
-        nodes = self.walk(hashes, first, len(self.levels))
-        log10 = np.where(known, base, self.unknown)
+        ids, base, back = self.words_of(hashes)
+        ids, base = ids[back], base[back]
+        known, log10 = ids >= 0, base.copy()
+        words, nodes = np.where(known, ids, self.words), ids
         for k in range(2, len(self.levels) + 1):
-            contexts = np.concatenate([[-1], nodes[k - 2][:-1]])
-            contexts[first] = -1
-            seen = nodes[k - 1] >= 0
-            log10 = log10 + self._weights(k, contexts)
-            log10[seen] = self._at(k, nodes[k - 1][seen], lambda p, i, j: _value(p.code[i]))
+            contexts = _before(nodes, first)
+            some = np.flatnonzero(contexts >= 0)
+            found, full, weight = self._search(k, contexts[some], words[some])
+            nodes = np.full(len(ids), -1, np.int64)
+            nodes[some] = found
+            log10[some] = np.where(found >= 0, full, log10[some] + weight)
         return sizes, np.add.reduceat(known.astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(log10, first)
 
 
+def _before(nodes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The node before each token's, -1 where a text begins."""
+    out = np.concatenate([[-1], nodes[:-1]])
+    out[first] = -1
+    return out
+
+
 def _texts(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         step = max(1, batch.num_rows * TEXT // max(1, batch.column(at).nbytes)) if batch.num_rows else 1
@@ -233,7 +234,7 @@ def _count(texts: DataFrame, folder: str, trie: Trie, k: int, pieces: int, cutof
     """Counts the n-grams of level k and writes its pieces."""
     contexts = 1 << 32 if k == 1 else int(trie.levels[-1].starts[-1])
     bounds = Level([0] * pieces, contexts).bounds
-    unit = 1 << 32 if k == 1 else trie.words
+    unit = 1 << 32 if k == 1 else trie.unit
     edges = np.array([min(int(b) * unit, (1 << 64) - 1) for b in bounds[1:-1]], np.uint64)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,10 +251,9 @@ def _count(texts: DataFrame, folder: str, trie: Trie, k: int, pieces: int, cutof
             if k > 1:
                 first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                 nodes = trie.walk(hashes, first, k - 1)
-                before = np.concatenate([[-1], nodes[-1][:-1]])
-                before[first] = -1
+                before = _before(nodes[-1], first)
                 some = (before >= 0) & (nodes[0] >= 0)
-                hashes = (before[some] * trie.words + nodes[0][some]).astype(np.uint64)
+                hashes = (before[some] * trie.unit + nodes[0][some]).astype(np.uint64)
             if len(hashes):
                 held.append(hashes)
                 size += len(hashes)
@@ -298,7 +298,7 @@ def _count(texts: DataFrame, folder: str, trie: Trie, k: int, pieces: int, cutof
 
 def _smooth(trie: Trie, k: int, keys: np.ndarray, counts: np.ndarray, lo: int, hi: int, cutoff: int) -> tuple[np.ndarray, dict]:
     """Discounted probabilities of the kept nodes of contexts lo to hi, and what each context leaves."""
-    context, word = np.divmod(keys.astype(np.int64), trie.words)
+    context, word = np.divmod(keys.astype(np.int64), trie.unit)
     total = np.bincount(context - lo, counts, hi - lo)
     keep = counts >= cutoff
     keys, context, word, counts = keys[keep], context[keep], word[keep], counts[keep]
