@@ -12,8 +12,9 @@ becomes a file of its level in the shared folder. Scoring tasks map the files; n
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 
 from strataform.llm.common import get, pack, partitions, put, unpack, work_dir, written
 from strataform.llm.elias_fano import EliasFano
-from strataform.llm.words import token_hashes
+from strataform.llm.words import END, split
+from strataform.llm.words import hashes as word_hashes
 
 ORDER = 3
 #: Count below which a node of the highest level is dropped; its mass goes to its context's weight.
@@ -32,10 +34,12 @@ DISCOUNT = 0.75
 ADDED = 0.1
 #: Codes of probabilities: steps of 20 / 65535 in the decimal logarithm.
 STEP = 20 / 65535
-#: Tokens counted at a time by a task.
+#: Distinct words that a task counts, or knows the ids of, at a time.
+TABLE = 400_000
+#: N-grams counted at a time by a task.
 HELD = 1_000_000
 #: Bytes of text handled at a time.
-TEXT = 2 << 20
+TEXT = 4 << 20
 
 
 def _code(log10: np.ndarray) -> np.ndarray:
@@ -96,12 +100,16 @@ class Trie:
     def __init__(self, folder: str, levels: tuple[Level, ...], total: int):
         self.folder, self.levels, self.total = folder, levels, total
         self.words = int(levels[0].starts[-1]) if levels else 0
+        self.open: dict[tuple[int, int], Piece] = {}
+        self.table: dict[bytes, int] = {}
+        self.ids, self.bases = np.zeros(0, np.int64), np.zeros(0)
         self.unit = self.words + 1  # of a context's range; its last place is the unknown word's and stays free
         self.unknown = float(np.log10(ADDED / (total + ADDED * (self.words + 1))))
 
-    @lru_cache(maxsize=100_000)  # noqa: B019
     def _piece(self, level: int, j: int) -> Piece:
-        return Piece(f"{self.folder}/level-{level}-{j:06d}", level)
+        if (level, j) not in self.open:
+            self.open[level, j] = Piece(f"{self.folder}/level-{level}-{j:06d}", level)
+        return self.open[level, j]
 
     def _pieces(self, level: int, of: np.ndarray):
         """Slices of sorted piece numbers."""
@@ -135,16 +143,26 @@ class Trie:
         nodes, log10, weight = np.full(len(keys), -1, np.int64), np.zeros(len(keys)), np.zeros(len(keys))
         for j, at in self._pieces(k, level.piece(asked)):
             p, lo = self._piece(k, j), int(level.bounds[j])
-            own, again = np.unique(asked[at] - lo, return_inverse=True)
-            begin, end = p.pointers.get(own)[again].astype(np.int64), p.pointers.get(own + 1)[again].astype(np.int64)
-            weight[at] = _value(p.weight[own])[again]
-            some = np.flatnonzero(begin < end)  # contexts without words end here
+            left = p.weight[asked[at] - lo]
+            weight[at] = _value(left)
+            some = np.flatnonzero(left)  # contexts without words end here
             found = p.keys.find((keys[at][some] - lo * self.unit).astype(np.uint64))
             hit = found >= 0
             nodes[some[hit] + at.start] = found[hit] + level.starts[j]
             log10[some[hit] + at.start] = _value(p.code[found[hit]])
         return nodes[back], log10[back], weight[back]
 
+    def successors(self, k: int, context: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words behind a context of k - 1 words, and their logarithms, by the context's pointers."""
+        level = self.levels[k - 1]
+        j = int(level.piece(np.array([context]))[0])
+        if not level.sizes[j]:
+            return np.zeros(0, np.int64), np.zeros(0)
+        p, lo = self._piece(k, j), int(level.bounds[j])
+        begin, end = p.pointers.get(np.array([context - lo, context - lo + 1])).astype(np.int64)
+        at = np.arange(begin, end)
+        return p.keys.get(at).astype(np.int64) - (context - lo) * self.unit, _value(p.code[at])
+
     def _at(self, k: int, nodes: np.ndarray, read, kind=np.float64) -> np.ndarray:
         """``read(piece, positions)`` of nodes, none of them -1."""
         level = self.levels[k - 1]
@@ -184,26 +202,44 @@ class Trie:
             out[rest] = weight[rest] + self.log10(k - 1, shorter, words[rest])
         return out
 
-    def words_of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct words' ids, their base logarithms, and where each token's is."""
-        distinct, back = np.unique(hashes, return_inverse=True)
-        ids = self.vocabulary(distinct)
-        return ids, self.base(ids), back
-
-    def walk(self, hashes: np.ndarray, first: np.ndarray, upto: int) -> list[np.ndarray]:
+    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all tokens (-1: unknown), their base logarithms, and the number of each text's tokens.
+
+        Words asked for once keep their place in a table of bounded size, which starts anew when full.
+        """
+        lists = [split(x) if x else [] for x in texts]
+        for x in lists:
+            x.append(END)
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = list(chain.from_iterable(lists))
+        table = self.table
+        if len(table) > TABLE:
+            table.clear()
+            self.ids, self.bases = np.zeros(0, np.int64), np.zeros(0)
+        place = np.fromiter(map(table.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            fresh = list(dict.fromkeys([flat[i] for i in missing.tolist()]))
+            raw = word_hashes(fresh)
+            order = np.argsort(raw)
+            ids = np.empty(len(fresh), np.int64)
+            ids[order] = self.vocabulary(raw[order])
+            table.update(zip(fresh, range(len(self.ids), len(self.ids) + len(fresh)), strict=True))
+            self.ids, self.bases = np.concatenate([self.ids, ids]), np.concatenate([self.bases, self.base(ids)])
+            place[missing] = [table[flat[i]] for i in missing.tolist()]
+        return self.ids[place], self.bases[place], sizes
+
+    def walk(self, ids: np.ndarray, first: np.ndarray, upto: int) -> list[np.ndarray]:
         """For each token its node at levels 1 to ``upto``, -1 where its context or itself is unknown or a text begins."""
-        ids, _, back = self.words_of(hashes)
-        nodes = [ids[back]]
+        nodes = [ids]
         for k in range(2, upto + 1):
-            nodes.append(self.find(k, _before(nodes[-1], first), nodes[0]))
+            nodes.append(self.find(k, _before(nodes[-1], first), ids))
         return nodes
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Tokens, known tokens, base score and score of each text."""
-        hashes, sizes = token_hashes(texts)
+        ids, base, sizes = self.tokens(texts)
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        ids, base, back = self.words_of(hashes)
-        ids, base = ids[back], base[back]
         known, log10 = ids >= 0, base.copy()
         words, nodes = np.where(known, ids, self.words), ids
         for k in range(2, len(self.levels) + 1):
@@ -237,34 +273,49 @@ def _count(texts: DataFrame, folder: str, trie: Trie, k: int, pieces: int, cutof
     unit = 1 << 32 if k == 1 else trie.unit
     edges = np.array([min(int(b) * unit, (1 << 64) - 1) for b in bounds[1:-1]], np.uint64)
 
+    below, total = trie.levels, trie.total
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        trie = _opened(folder, total, below)
+        held, size, words = [], 0, Counter()
 
         def blocks():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            if k == 1:
+                raw = word_hashes(list(words))
+                order = np.argsort(raw)
+                keys, counts = raw[order], np.fromiter(words.values(), np.int64, len(words))[order]
+                words.clear()
+            else:
+                keys, counts = np.unique(np.concatenate(held), return_counts=True)
+                held.clear()
             cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
             rows = [(j, _pack_counts(keys[a:b], counts[a:b])) for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
             return pa.RecordBatch.from_arrays([pa.array([j for j, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["piece", "block"])
 
         for part in _texts(batches, 0):
-            hashes, sizes = token_hashes(part.column(0).to_pylist())
-            if k > 1:
-                first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                nodes = trie.walk(hashes, first, k - 1)
-                before = _before(nodes[-1], first)
-                some = (before >= 0) & (nodes[0] >= 0)
-                hashes = (before[some] * trie.unit + nodes[0][some]).astype(np.uint64)
-            if len(hashes):
-                held.append(hashes)
-                size += len(hashes)
+            if k == 1:
+                for text in part.column(0):
+                    words.update(split(text.as_py() or ""))
+                words[END] += part.num_rows
+                if len(words) >= TABLE:
+                    yield blocks()
+                continue
+            ids, _, sizes = trie.tokens(part.column(0).to_pylist())
+            first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            before = _before(trie.walk(ids, first, k - 1)[-1], first)
+            some = (before >= 0) & (ids >= 0)
+            keys = (before[some] * trie.unit + ids[some]).astype(np.uint64)
+            if len(keys):
+                held.append(keys)
+                size += len(keys)
             if size >= HELD:
                 yield blocks()
-                held.clear()
                 size = 0
-        if size:
+        if size or words:
             yield blocks()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = _opened(folder, total, below)
         held, waiting, j = [], 0, -1
         for batch in batches:
             for number, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -308,7 +359,8 @@ def _smooth(trie: Trie, k: int, keys: np.ndarray, counts: np.ndarray, lo: int, h
     below = 10 ** trie.log10(k - 1, shorter, word)
     number = np.bincount(context - lo, minlength=hi - lo)
     pointers = np.concatenate([[0], np.cumsum(number)])
-    parts = {"code": _code(np.log10(own + left[context - lo] * below)), "weight": _code(np.log10(np.where(number > 0, left, 1)))}
+    weight = np.where(number > 0, np.maximum(_code(np.log10(np.where(number > 0, left, 1))), 1), 0).astype("<u2")  # 0: no words
+    parts = {"code": _code(np.log10(own + left[context - lo] * below)), "weight": weight}
     return keys, parts | EliasFano.build(pointers, len(keys) + 1, "ptr_")
 
 
@@ -354,12 +406,13 @@ def score(df: DataFrame, trie: Trie, id_col: str = "doc_id", text_col: str = "te
     return src.mapInArrow(run, schema)
 
 
-_models: dict[str, Trie] = {}
+_models: dict[tuple, Trie] = {}
 
 
 def _opened(folder: str, total: int, levels: tuple[Level, ...]) -> Trie:
     """One model at a time in a worker, whose pieces stay mapped over tasks."""
-    if folder not in _models:
+    key = folder, len(levels)
+    if key not in _models:
         _models.clear()
-        _models[folder] = Trie(folder, levels, total)
-    return _models[folder]
+        _models[key] = Trie(folder, levels, total)
+    return _models[key]

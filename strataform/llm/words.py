@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import xxhash
@@ -29,15 +28,6 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_memo().__getitem__, words), np.uint64, len(words))
 
 
-def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, each text followed by the end, and the number of each text's tokens."""
-    lists = [split(x) if x else [] for x in texts]
-    for x in lists:
-        x.append(END)
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter(map(_memo().__getitem__, chain.from_iterable(lists)), np.uint64, int(sizes.sum())), sizes
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)

@@ -187,6 +187,19 @@ def test_scores_are_those_of_a_plain_model(spark, order):
         assert near.score == pytest.approx(want, abs=len(tokens) * 1e-3)
 
 
+def test_successors_sum_to_one(spark):
+    df = spark.createDataFrame([(i, "a b a c a b b a") for i in range(1, 9)], "doc_id long, text string")
+    trie = ngram.train(df, order=2)
+    for context in range(trie.words):
+        words, log10 = trie.successors(2, context)
+        unseen = np.setdiff1d(np.arange(trie.words), words)
+        both = trie.log10(2, np.full(trie.words, context), np.concatenate([words, unseen]))
+        assert both[: len(words)] == pytest.approx(log10)
+        if len(words):
+            left = 10 ** trie._search(2, np.array([context]), np.array([trie.words]))[2][0] * 10**trie.unknown
+            assert (10**both).sum() + left == pytest.approx(1, abs=2e-3)
+
+
 def test_scoring_without_training(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = df.where("false")
