@@ -28,3 +28,30 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .orderBy("l_returnflag", "l_linestatus")
     )
+
+
+def _register_functions() -> None:
+    from strataform.functions import CATALOGUE
+    from strataform.operators import aggregates
+
+    for f in [*CATALOGUE.values(), *aggregates.CATALOGUE.values()]:
+        QUERIES[f.query_name] = f.query
+        if f.oracle:
+            ORACLE_SQL[f.query_name] = f.oracle
+
+
+def _register_plans() -> None:
+    from strataform.plans import catalogue
+
+    QUERIES.update(catalogue.QUERIES)
+    ORACLE_SQL.update(catalogue.ORACLE)
+
+
+_register_functions()
+_register_plans()
+QUERIES["q1_pricing_summary"] = flagship
+ORACLE_SQL["q1_pricing_summary"] = """
+    SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price,
+           round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
+    FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2
+"""

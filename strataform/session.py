@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+from functools import lru_cache
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,6 +26,21 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g", nam
     )
 
 
+@lru_cache(maxsize=4)
+def _ship(sc) -> None:
+    root = Path(__file__).resolve().parents[1]
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or Path.cwd() == root:
+        return
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="strataform-"), "strataform"), "zip", root, "strataform")
+    sc.addPyFile(made)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each context, unless their path has it already."""
+    _ship(spark.sparkContext)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder; Spark's own reader, so any store it knows will do."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
