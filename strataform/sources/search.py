@@ -22,7 +22,7 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, terms: list[str], k: int)
     """The k best documents. Only postings of the terms are shuffled; document lengths are summed on the way."""
     words = F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     rows = docs.select(F.col(id_col).alias("doc"), words.alias("w")).withColumn("length", F.size("w"))
-    counts = [F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(terms)]
+    counts = [F.size(F.filter("w", (lambda t: lambda x: x == t)(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
     rows = rows.select("doc", "length", *counts)
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
     scored = rows.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row
