@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataform.llm.common import partitions, written
+from strataform.llm.common import get, pack, partitions, put, unpack, work_dir, written
 from strataform.llm.components import components
 from strataform.llm.words import mix, shingle_set
 
@@ -34,7 +34,11 @@ MISS = 1e-6
 #: Rounds of new leaders before the members of a bucket are paired across components.
 ROUNDS = 2
 #: Members of a block of a bucket.
-BLOCK = 256
+BLOCK = 1024
+#: Pairs whose signatures are compared at a time, and pairs verified at a time.
+PAIRS, FEW = 100_000, 5_000
+#: Cells of the matrices for exact intersections; sets that need more are intersected one by one.
+MATRIX = 1 << 26
 #: So many identifiers are broadcast at most to pick texts; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -168,9 +172,8 @@ class _Pass:
 
         return both.mapInArrow(run, "a long, b long")
 
-    def pick_texts(self, pairs: DataFrame) -> None:
-        """Texts of all that are in pairs, one for each identifier, once for all rounds to come."""
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    def pick_texts(self, ids: DataFrame) -> None:
+        """Adds the texts of identifiers to those at hand, one for each."""
         if self.texts is not None:
             ids = ids.join(self.texts.select("id"), "id", "left_anti")
         ids = written(ids, "text-ids")
@@ -203,13 +206,12 @@ class _Pass:
         moved = self.comps.join(of, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
         self.comps = written(moved.union(new.join(self.comps, "node", "left_anti")), "components")
 
-    def settle(self, close: DataFrame, best_first: bool) -> None:
+    def settle(self, close: DataFrame) -> None:
         """Finds the links among close pairs. First one pair for each document, the likeliest; then those that still matter."""
         best = Window.partitionBy("b").orderBy(F.desc("matches"), "a")  # with leaders only, b is in a pair for each band at most
-        close = written(close.withColumn("nth", F.row_number().over(best) if best_first else F.lit(0)), "close-pairs")
-        self.pick_texts(close)
-        if best_first:
-            self.add(written(self.verify(close.where("nth = 1")), "links"))
+        close = written(close.withColumn("nth", F.row_number().over(best)), "close-pairs")
+        self.pick_texts(close.select(F.col("a").alias("id")).union(close.select("b")).distinct())
+        self.add(written(self.verify(close.where("nth = 1")), "links"))
         self.add(written(self.verify(self.labelled(close.where("nth <> 1"), "a", "b").where("ca <> cb")), "links"))
 
     def run(self) -> None:
@@ -219,29 +221,51 @@ class _Pass:
             chosen = buckets.groupBy("key").agg(F.min_by("rep", F.xxhash64("key", "rep", F.lit(turn))).alias("leader"))
             pairs = buckets.join(chosen, "key").where("rep <> leader").select("rep", "leader")
             pairs = self.labelled(pairs, "rep", "leader").where("crep <> cleader") if turn else pairs
-            self.settle(self.close(pairs.select(F.greatest("rep", "leader").alias("b"), F.least("rep", "leader").alias("a")).distinct()), True)
+            self.settle(self.close(pairs.select(F.greatest("rep", "leader").alias("b"), F.least("rep", "leader").alias("a")).distinct()))
             sizes = self.labelled(buckets, "rep").groupBy("key", "crep").agg(F.count(F.lit(1)).alias("n"))
             several = written(sizes.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", "n"), "open-keys")
             buckets = written(buckets.select("key", "rep").join(several, "key").select("key", "rep", "n"), "open-buckets")
             if buckets.isEmpty():
                 return
-        self.settle(self.across(buckets), False)
+        self.add(written(self.across(buckets), "links"))
+
+    def store_sets(self, ids: DataFrame) -> tuple[str, int]:
+        """Writes the shingle sets of identifiers to files of the shared folder, from which any task can fetch one."""
+        spark, words = ids.sparkSession, self.words
+        folder, files = work_dir(spark, "shingle-sets"), partitions(spark)
+        self.pick_texts(ids)
+        rows = self.texts.join(ids.select("id"), "id", "left_semi").select("id", "text", F.pmod("id", F.lit(files)).cast("int").alias("file"))
+
+        def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, file = {}, 0
+            for batch in batches:
+                for i, text, file in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):  # noqa: B007
+                    held[i] = shingle_set(text.as_py(), words)
+            if held:
+                ids = np.array(sorted(held), np.int64)
+                sizes = np.array([len(held[i]) for i in ids.tolist()], np.int64)
+                put(f"{folder}/sets-{file:06d}", [pack({"ids": ids, "ends": np.cumsum(sizes), "sets": np.concatenate([held[i] for i in ids.tolist()])})])
+                yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([len(ids)], pa.int64())], ["file", "n"])
+
+        rows.repartitionById(files, "file").mapInArrow(store, "file int, n long").collect()  # one row for each file
+        return folder, files
 
     def across(self, buckets: DataFrame) -> DataFrame:
-        """``a, b, matches``: pairs of a bucket's members of different components that signatures can't rule out.
+        """``a, b``: verified links between members of a bucket that are in different components.
 
-        A bucket is dealt into blocks; each pair of blocks is one unit of work, compared in whole arrays, and
-        pairs that are ruled out never become rows.
+        A bucket is dealt into blocks; each pair of blocks is one unit of work, compared in whole arrays. Pairs
+        that signatures can't rule out are verified on full sets there and then, the likeliest first, until
+        their components are one: what a unit returns is at most a link for each component that it merges.
         """
         percent, least = self.percent, least_matches(self.similarity, MISS)
+        folder, files = self.store_sets(written(buckets.select(F.col("rep").alias("id")).distinct(), "open-ids"))
         rows = self.labelled(buckets, "rep").join(self.sets, "rep").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
         rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "crep", "n_shingles", "sig")
-        n = max(partitions(rows.sparkSession), 1)
-        units = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+        units = rows.repartition(partitions(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = None
+            held, stored = None, SetFiles(folder, files)
             for batch in batches:
                 table = pa.Table.from_batches([batch])
                 table = pa.concat_tables([held, table]) if held is not None else table
@@ -249,42 +273,86 @@ class _Pass:
                     continue
                 keys = [table.column(c).to_numpy() for c in ("key", "i", "j")]
                 edges = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
-                last = int(edges[-1]) if len(edges) else 0
-                held = table.slice(last)
-                yield from compared(table.slice(0, last), [0, *edges.tolist()])
+                held = table.slice(int(edges[-1]) if len(edges) else 0)
+                for at, end in zip([0, *edges.tolist()], edges.tolist(), strict=False):
+                    yield from linked(table.slice(at, end - at), stored)
             if held is not None:
-                yield from compared(held, [0, len(held)])
-
-        def compared(table: pa.Table, edges: list[int]) -> Iterator[pa.RecordBatch]:
-            if not len(table):
+                yield from linked(held, stored)
+
+        def linked(unit: pa.Table, stored: SetFiles) -> Iterator[pa.RecordBatch]:
+            own, rep, comp, size = (unit.column(c).to_numpy() for c in ("own", "rep", "crep", "n_shingles"))
+            i, j = unit.column("i")[0].as_py(), unit.column("j")[0].as_py()
+            one = np.flatnonzero(own == i)
+            two = np.flatnonzero(own == j)
+            pick = comp[one][:, None] != comp[two][None, :]
+            pick &= 100 * np.minimum(size[one][:, None], size[two][None, :]) >= percent * np.maximum(size[one][:, None], size[two][None, :])
+            if i == j:
+                pick &= rep[one][:, None] < rep[two][None, :]
+            x, y = (k[v] for k, v in zip((one, two), np.nonzero(pick), strict=True))
+            if not len(x):
                 return
-            own, rep, comp, size, i, j = (table.column(c).to_numpy() for c in ("own", "rep", "crep", "n_shingles", "i", "j"))
-            sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
-            found = []
-            for a, b in zip(edges, edges[1:], strict=False):
-                one = np.arange(a, b)
-                two = one
-                if i[a] != j[a]:
-                    one, two = one[own[a:b] == i[a]], one[own[a:b] == j[a]]
-                pick = comp[one][:, None] != comp[two][None, :]
-                pick &= 100 * np.minimum(size[one][:, None], size[two][None, :]) >= percent * np.maximum(size[one][:, None], size[two][None, :])
-                if i[a] == j[a]:
-                    pick &= rep[one][:, None] < rep[two][None, :]
-                x, y = (k[v] for k, v in zip((one, two), np.nonzero(pick), strict=True))
-                matches = np.zeros(len(x), np.int64)
+            sigs = np.frombuffer(b"".join(unit.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+            kept = []
+            for at in range(0, len(x), PAIRS):  # bounds what is compared at a time
+                p, q = x[at : at + PAIRS], y[at : at + PAIRS]
+                matches = np.zeros(len(p), np.int64)
                 for k, need in enumerate(least):
-                    if not len(x):
-                        break
-                    at = slice(k * BATCH, (k + 1) * BATCH)
-                    matches = matches + (sigs[x, at] == sigs[y, at]).sum(1)
+                    batch = slice(k * BATCH, (k + 1) * BATCH)
+                    matches += (sigs[p, batch] == sigs[q, batch]).sum(1)
                     alive = matches >= need
-                    x, y, matches = x[alive], y[alive], matches[alive]
-                if len(x):
-                    found.append((np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y]), matches))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b", "matches"])
-
-        return units.mapInArrow(run, "a long, b long, matches long").distinct()
+                    p, q, matches = p[alive], q[alive], matches[alive]
+                kept.append((p, q, matches))
+            x, y, matches = (np.concatenate(k) for k in zip(*kept, strict=True))
+            order = np.argsort(-matches, kind="stable")
+            root = {c: c for c in comp.tolist()}
+
+            def find(c):
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            links = []
+            for at in range(0, len(order), FEW):
+                some = order[at : at + FEW]
+                some = some[[find(comp[x[k]]) != find(comp[y[k]]) for k in some.tolist()]]
+                for k, same in zip(some.tolist(), stored.common(rep[x[some]], rep[y[some]]), strict=True):
+                    a, b = find(comp[x[k]]), find(comp[y[k]])
+                    if a != b and 100 * same >= percent * (size[x[k]] + size[y[k]] - same):
+                        root[max(a, b)] = min(a, b)
+                        links.append(sorted((rep[x[k]], rep[y[k]])))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
+
+        return units.mapInArrow(run, "a long, b long")
+
+
+class SetFiles:
+    """Shingle sets by identifier, from mapped files."""
+
+    def __init__(self, folder: str, files: int):
+        self.folder, self.files, self.open = folder, files, {}
+
+    def get(self, i: int) -> np.ndarray:
+        file = i % self.files
+        if file not in self.open:
+            self.open[file] = unpack(get(f"{self.folder}/sets-{file:06d}"))
+        parts = self.open[file]
+        at = int(np.searchsorted(parts["ids"], i))
+        return parts["sets"][parts["ends"][at - 1] if at else 0 : parts["ends"][at]]
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> list[int]:
+        """Sizes of intersections of pairs. Many pairs of few small sets go through a product of membership matrices."""
+        left, right = np.unique(a), np.unique(b)
+        one, two = ([self.get(i) for i in ids.tolist()] for ids in (left, right))
+        total = sum(map(len, one)) + sum(map(len, two))
+        if len(a) < 4 * (len(left) + len(right)) or (len(left) + len(right)) * total > MATRIX:
+            at, of = dict(zip(left.tolist(), one, strict=True)), dict(zip(right.tolist(), two, strict=True))
+            return [len(np.intersect1d(at[p], of[q], assume_unique=True)) for p, q in zip(a.tolist(), b.tolist(), strict=True)]
+        words, place = np.unique(np.concatenate([*one, *two]), return_inverse=True)
+        members = np.zeros((len(one) + len(two), len(words)), np.float32)
+        members[np.repeat(np.arange(len(members)), [len(s) for s in [*one, *two]]), place] = 1
+        product = members[: len(one)] @ members[len(one) :].T
+        return np.rint(product[np.searchsorted(left, a), np.searchsorted(right, b)]).astype(np.int64).tolist()
 
 
 def label_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
