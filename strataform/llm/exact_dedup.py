@@ -1,7 +1,8 @@
 """Exact deduplication by content sort, in DataFrame operations only.
 
-Sampled splitters range-partition the normalised text, the sort within each range (it spills to disk)
-places equal texts next to each other, and the window over a run of equals compares neighbours in full.
+Sampled splitters range-partition the normalised text by its first bytes, then by a hash where many texts begin
+alike (so splitters stay small whatever the texts); the sort within each range (it spills to disk) places equal
+texts next to each other, and the window over a run of equals compares neighbours in full.
 
 A text with a large share of all rows would fill one range. Texts whose 64-bit hash counts more than
 1 / (4 * partitions) of the rows are at most 4 * partitions in number; they are aggregated map-side
@@ -20,6 +21,8 @@ BROADCAST_BYTES = 64 << 20
 #: No group below so many copies is hot, however few the rows.
 LEAST_HOT = 64
 SALTS = 64
+#: Characters of a text in a splitter.
+HEAD = 32
 
 
 def label_copies(
@@ -63,16 +66,18 @@ def _best(keep: str) -> Column:
 
 
 def _sorted_copies(rows: DataFrame, n_out: int, keep: str) -> DataFrame:
-    """The window needs rows of a text together, which the range partitioning on it gives: no second shuffle."""
-    run = Window.partitionBy("key")
+    """The window needs rows of a text together, which the range partitioning on parts of it gives: no second shuffle."""
+    run = Window.partitionBy("head", "tail", "key")
     first = run.orderBy(F.desc_nulls_last("doc_id") if keep == "largest" else F.asc_nulls_last("doc_id"))
     return (
-        rows.repartitionByRange(n_out, "key")
+        rows.withColumn("head", F.substring("key", 1, HEAD))
+        .withColumn("tail", F.xxhash64("key"))
+        .repartitionByRange(n_out, "head", "tail")
         .withColumn("rn", F.row_number().over(first))
         .withColumn("keep_id", _best(keep).over(run))
         .withColumn("group_size", F.count(F.lit(1)).over(run))
         .withColumn("kept", F.col("rn") == 1)
-        .drop("rn")
+        .drop("rn", "head", "tail")
     )
 
 
