@@ -12,19 +12,18 @@ becomes a file of its level in the shared folder. Scoring tasks map the files; n
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataform.llm.common import get, pack, partitions, put, unpack, work_dir, written
 from strataform.llm.elias_fano import EliasFano
-from strataform.llm.words import END, split
-from strataform.llm.words import hashes as word_hashes
 
 ORDER = 3
 #: Count below which a node of the highest level is dropped; its mass goes to its context's weight.
@@ -34,14 +33,20 @@ DISCOUNT = 0.75
 ADDED = 0.1
 #: Codes of probabilities: steps of 20 / 65535 in the decimal logarithm.
 STEP = 20 / 65535
+#: Stands behind the words of a text. White space is never in a word.
+END = "\n"
 #: Distinct words that a task counts, or knows the ids of, at a time.
-TABLE = 400_000
+TABLE = 600_000
 #: N-grams counted at a time by a task.
 HELD = 1_000_000
 #: Bytes of text handled at a time.
 TEXT = 4 << 20
 
 
+def word_hashes(words: list) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
 def _code(log10: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-log10 / STEP), 0, 65535).astype("<u2")
 
@@ -136,8 +141,9 @@ class Trie:
         out[known] = self._search(k, contexts[known], words[known])[0]
         return out
 
-    def _search(self, k: int, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Nodes of level k, -1 where there is none; their logarithms; what each context leaves to shorter ones."""
+    def _search(self, k: int, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes of level k, -1 where there is none; their logarithms; what each context leaves to shorter ones;
+        and whether words stand behind a node at the next level."""
         keys, back = np.unique(contexts * self.unit + words, return_inverse=True)
         level, asked = self.levels[k - 1], keys // self.unit
         nodes, log10, weight = np.full(len(keys), -1, np.int64), np.zeros(len(keys)), np.zeros(len(keys))
@@ -150,7 +156,13 @@ class Trie:
             hit = found >= 0
             nodes[some[hit] + at.start] = found[hit] + level.starts[j]
             log10[some[hit] + at.start] = _value(p.code[found[hit]])
-        return nodes[back], log10[back], weight[back]
+        more = np.zeros(len(keys), bool)
+        if k < len(self.levels):
+            seen = np.flatnonzero(nodes >= 0)  # nodes rise with their keys
+            upper, ranked = self.levels[k], nodes[nodes >= 0]
+            for j, at in self._pieces(k + 1, upper.piece(ranked)):
+                more[seen[at]] = self._piece(k + 1, j).weight[ranked[at] - upper.bounds[j]] > 0
+        return nodes[back], log10[back], weight[back], more[back]
 
     def successors(self, k: int, context: int) -> tuple[np.ndarray, np.ndarray]:
         """The words behind a context of k - 1 words, and their logarithms, by the context's pointers."""
@@ -195,39 +207,35 @@ class Trie:
         """Of known words behind contexts of k - 1 words, all of them nodes."""
         if k == 1:
             return self.base(words)
-        nodes, out, weight = self._search(k, contexts, words)
+        nodes, out, weight, _ = self._search(k, contexts, words)
         rest = nodes < 0
         if rest.any():
             shorter = self._suffix(k - 1, contexts[rest]) if k > 2 else contexts[rest]
             out[rest] = weight[rest] + self.log10(k - 1, shorter, words[rest])
         return out
 
-    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all tokens (-1: unknown), their base logarithms, and the number of each text's tokens.
 
         Words asked for once keep their place in a table of bounded size, which starts anew when full.
         """
-        lists = [split(x) if x else [] for x in texts]
-        for x in lists:
-            x.append(END)
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = list(chain.from_iterable(lists))
-        table = self.table
-        if len(table) > TABLE:
-            table.clear()
+        place, words, sizes = words_of(texts)
+        if len(self.table) > TABLE:
+            self.table.clear()
             self.ids, self.bases = np.zeros(0, np.int64), np.zeros(0)
-        place = np.fromiter(map(table.get, flat, repeat(-1)), np.int64, len(flat))
-        missing = np.flatnonzero(place < 0)
+        table = self.table
+        at = np.fromiter(map(table.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
         if len(missing):
-            fresh = list(dict.fromkeys([flat[i] for i in missing.tolist()]))
+            fresh = [words[i] for i in missing.tolist()]
             raw = word_hashes(fresh)
             order = np.argsort(raw)
             ids = np.empty(len(fresh), np.int64)
             ids[order] = self.vocabulary(raw[order])
-            table.update(zip(fresh, range(len(self.ids), len(self.ids) + len(fresh)), strict=True))
+            at[missing] = np.arange(len(self.ids), len(self.ids) + len(fresh))
+            table.update(zip(fresh, at[missing].tolist(), strict=True))
             self.ids, self.bases = np.concatenate([self.ids, ids]), np.concatenate([self.bases, self.base(ids)])
-            place[missing] = [table[flat[i]] for i in missing.tolist()]
-        return self.ids[place], self.bases[place], sizes
+        return self.ids[at][place], self.bases[at][place], sizes
 
     def walk(self, ids: np.ndarray, first: np.ndarray, upto: int) -> list[np.ndarray]:
         """For each token its node at levels 1 to ``upto``, -1 where its context or itself is unknown or a text begins."""
@@ -236,7 +244,7 @@ class Trie:
             nodes.append(self.find(k, _before(nodes[-1], first), ids))
         return nodes
 
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Tokens, known tokens, base score and score of each text."""
         ids, base, sizes = self.tokens(texts)
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -245,13 +253,31 @@ class Trie:
         for k in range(2, len(self.levels) + 1):
             contexts = _before(nodes, first)
             some = np.flatnonzero(contexts >= 0)
-            found, full, weight = self._search(k, contexts[some], words[some])
+            found, full, weight, more = self._search(k, contexts[some], words[some])
             nodes = np.full(len(ids), -1, np.int64)
-            nodes[some] = found
+            nodes[some] = np.where(more, found, -1)  # a node without words behind it changes nothing further up
             log10[some] = np.where(found >= 0, full, log10[some] + weight)
         return sizes, np.add.reduceat(known.astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(log10, first)
 
 
+def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Tokens as places in a list of distinct words, the list, and the number of each text's tokens.
+
+    Texts are lower-cased from A to Z, split at the bytes 9 to 13 and 32, and followed by the end each.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, edges = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    edges -= edges[0] if len(edges) else 0
+    real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # blanks at the ends make empty ones
+    before = np.concatenate([[0], np.cumsum(real)])
+    counts = before[edges[1:]] - before[edges[:-1]]
+    coded = flat.filter(pa.array(real)).dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    place = np.full(int(counts.sum()) + len(counts), len(words), np.int64)
+    place[np.arange(len(coded)) + np.repeat(np.arange(len(counts)), counts)] = coded.indices.to_numpy()
+    return place, [*words, END], counts + 1
+
+
 def _before(nodes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The node before each token's, -1 where a text begins."""
     out = np.concatenate([[-1], nodes[:-1]])
@@ -277,41 +303,30 @@ def _count(texts: DataFrame, folder: str, trie: Trie, k: int, pieces: int, cutof
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = _opened(folder, total, below)
-        held, size, words = [], 0, Counter()
+        held, size = [], 0
 
         def blocks():
-            if k == 1:
-                raw = word_hashes(list(words))
-                order = np.argsort(raw)
-                keys, counts = raw[order], np.fromiter(words.values(), np.int64, len(words))[order]
-                words.clear()
-            else:
-                keys, counts = np.unique(np.concatenate(held), return_counts=True)
-                held.clear()
+            keys, counts = _summed(held)
+            held.clear()
             cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
             rows = [(j, _pack_counts(keys[a:b], counts[a:b])) for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
             return pa.RecordBatch.from_arrays([pa.array([j for j, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["piece", "block"])
 
         for part in _texts(batches, 0):
             if k == 1:
-                for text in part.column(0):
-                    words.update(split(text.as_py() or ""))
-                words[END] += part.num_rows
-                if len(words) >= TABLE:
-                    yield blocks()
-                continue
-            ids, _, sizes = trie.tokens(part.column(0).to_pylist())
-            first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            before = _before(trie.walk(ids, first, k - 1)[-1], first)
-            some = (before >= 0) & (ids >= 0)
-            keys = (before[some] * trie.unit + ids[some]).astype(np.uint64)
-            if len(keys):
-                held.append(keys)
-                size += len(keys)
+                place, words, _ = words_of(part.column(0))
+                held.append((word_hashes(words), np.bincount(place, minlength=len(words))))
+            else:
+                ids, _, sizes = trie.tokens(part.column(0))
+                first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                before = _before(trie.walk(ids, first, k - 1)[-1], first)
+                some = (before >= 0) & (ids >= 0)
+                held.append(np.unique((before[some] * trie.unit + ids[some]).astype(np.uint64), return_counts=True))
+            size += len(held[-1][0])
             if size >= HELD:
                 yield blocks()
                 size = 0
-        if size or words:
+        if size:
             yield blocks()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,7 +409,7 @@ def score(df: DataFrame, trie: Trie, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _opened(folder, total, levels)
         for part in _texts(batches, 2):
-            sizes, known, base, full = model.score(part.column(2).to_pylist())
+            sizes, known, base, full = model.score(part.column(2))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), total)), pa.array(base), pa.array(full)],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
