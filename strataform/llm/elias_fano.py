@@ -71,9 +71,18 @@ class EliasFano:
             return out
         top = (values >> np.uint64(self.width)).astype(np.int64)
         tail = values & self.mask
-        # What has this top is the run of ones between zeros number top - 1 and top: a binary search by tails.
-        low = np.where(top == 0, 0, self._zero(np.maximum(top - 1, 0)) + 1 - top)
-        high = self._zero(top) - top
+        # What has this top is the run of ones before zero number top: a binary search by tails. Runs of up to 31
+        # are measured by leading ones of the 32 bits before, longer ones by the place of the zero before.
+        zero = self._zero(top)
+        high = zero - top
+        word, bit = zero >> 6, (zero & 63).astype(np.uint64)
+        bits = self.high[word] << (np.uint64(63) - bit) << _ONE | np.where(word > 0, self.high[np.maximum(word - 1, 0)] >> bit, np.uint64(0))
+        gap = ((~bits) >> np.uint64(32)).astype(np.float64)
+        run = 32 - np.frexp(gap)[1]
+        low = high - run
+        long = np.flatnonzero(run >= 32)
+        if len(long):
+            low[long] = np.where(top[long] == 0, 0, self._zero(np.maximum(top[long] - 1, 0)) + 1 - top[long])
         end = high.copy()
         rows = np.flatnonzero(low < high)
         while len(rows):

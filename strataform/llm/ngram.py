@@ -13,7 +13,6 @@ becomes a file of its level in the shared folder. Scoring tasks map the files; n
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +34,8 @@ ADDED = 0.1
 STEP = 20 / 65535
 #: Stands behind the words of a text. White space is never in a word.
 END = "\n"
-#: Distinct words that a task counts, or knows the ids of, at a time.
-TABLE = 600_000
+#: Distinct words whose ids a task keeps.
+TABLE = 1_500_000
 #: N-grams counted at a time by a task.
 HELD = 1_000_000
 #: Bytes of text handled at a time.
@@ -106,8 +105,8 @@ class Trie:
         self.folder, self.levels, self.total = folder, levels, total
         self.words = int(levels[0].starts[-1]) if levels else 0
         self.open: dict[tuple[int, int], Piece] = {}
-        self.table: dict[bytes, int] = {}
-        self.ids, self.bases = np.zeros(0, np.int64), np.zeros(0)
+        #: Sorted hashes of words asked for, their ids, and their base logarithms.
+        self.table = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
         self.unit = self.words + 1  # of a context's range; its last place is the unknown word's and stays free
         self.unknown = float(np.log10(ADDED / (total + ADDED * (self.words + 1))))
 
@@ -138,24 +137,27 @@ class Trie:
         """Nodes of level k, -1 where there is none or an argument is -1."""
         out = np.full(len(contexts), -1, np.int64)
         known = np.flatnonzero((contexts >= 0) & (words >= 0))
-        out[known] = self._search(k, contexts[known], words[known])[0]
+        out[known] = self._search(k, contexts[known], words[known], False)[0]
         return out
 
-    def _search(self, k: int, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Nodes of level k, -1 where there is none; their logarithms; what each context leaves to shorter ones;
-        and whether words stand behind a node at the next level."""
+    def _search(self, k: int, contexts: np.ndarray, words: np.ndarray, full: bool = True) -> tuple[np.ndarray, ...]:
+        """Nodes of level k, -1 where there is none. If in full also their logarithms; what each context leaves to
+        shorter ones; and whether words stand behind a node at the next level."""
         keys, back = np.unique(contexts * self.unit + words, return_inverse=True)
         level, asked = self.levels[k - 1], keys // self.unit
         nodes, log10, weight = np.full(len(keys), -1, np.int64), np.zeros(len(keys)), np.zeros(len(keys))
         for j, at in self._pieces(k, level.piece(asked)):
             p, lo = self._piece(k, j), int(level.bounds[j])
             left = p.weight[asked[at] - lo]
-            weight[at] = _value(left)
             some = np.flatnonzero(left)  # contexts without words end here
             found = p.keys.find((keys[at][some] - lo * self.unit).astype(np.uint64))
             hit = found >= 0
             nodes[some[hit] + at.start] = found[hit] + level.starts[j]
-            log10[some[hit] + at.start] = _value(p.code[found[hit]])
+            if full:
+                weight[at] = _value(left)
+                log10[some[hit] + at.start] = _value(p.code[found[hit]])
+        if not full:
+            return (nodes[back],)
         more = np.zeros(len(keys), bool)
         if k < len(self.levels):
             seen = np.flatnonzero(nodes >= 0)  # nodes rise with their keys
@@ -220,22 +222,23 @@ class Trie:
         Words asked for once keep their place in a table of bounded size, which starts anew when full.
         """
         place, words, sizes = words_of(texts)
-        if len(self.table) > TABLE:
-            self.table.clear()
-            self.ids, self.bases = np.zeros(0, np.int64), np.zeros(0)
-        table = self.table
-        at = np.fromiter(map(table.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            fresh = [words[i] for i in missing.tolist()]
-            raw = word_hashes(fresh)
-            order = np.argsort(raw)
-            ids = np.empty(len(fresh), np.int64)
-            ids[order] = self.vocabulary(raw[order])
-            at[missing] = np.arange(len(self.ids), len(self.ids) + len(fresh))
-            table.update(zip(fresh, at[missing].tolist(), strict=True))
-            self.ids, self.bases = np.concatenate([self.ids, ids]), np.concatenate([self.bases, self.base(ids)])
-        return self.ids[at][place], self.bases[at][place], sizes
+        raw = word_hashes(words)
+        order = np.argsort(raw)
+        raw = raw[order]
+        known, ids, bases = self.table
+        at = np.minimum(np.searchsorted(known, raw), max(0, len(known) - 1))
+        fresh = raw[known[at] != raw] if len(known) else raw
+        if len(fresh):
+            if len(known) > TABLE:
+                known, ids, bases, fresh = known[:0], ids[:0], bases[:0], raw
+            found = self.vocabulary(fresh)
+            into = np.searchsorted(known, fresh)
+            self.table = known, ids, bases = np.insert(known, into, fresh), np.insert(ids, into, found), np.insert(bases, into, self.base(found))
+            at = np.searchsorted(known, raw)
+        spot = np.empty(len(order), np.int64)
+        spot[order] = at
+        spot = spot[place]
+        return ids[spot], bases[spot], sizes
 
     def walk(self, ids: np.ndarray, first: np.ndarray, upto: int) -> list[np.ndarray]:
         """For each token its node at levels 1 to ``upto``, -1 where its context or itself is unknown or a text begins."""
