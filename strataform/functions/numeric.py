@@ -187,7 +187,7 @@ add(84, "tan", F.tan, "h", "d", "tan(h)")
 add(85, "asin", lambda a: F.when(F.abs(a) <= 1, F.asin(a)), "z * 1.5D", "d", "CASE WHEN abs(z * 1.5) <= 1 THEN asin(z * 1.5) END")
 add(86, "acos", lambda a: F.when(F.abs(a) <= 1, F.acos(a)), "z * 1.5D", "d", "CASE WHEN abs(z * 1.5) <= 1 THEN acos(z * 1.5) END")
 add(87, "atan", F.atan, "h", "d", "atan(h)")
-add(88, "pow", F.pow, "abs(z) ; h", "d", "CASE WHEN z = 0 AND h < 0 THEN 'Infinity'::DOUBLE ELSE pow(abs(z), h) END")
+add(88, "pow", F.pow, "abs(z) + 0.5D ; z * 3", "d", "pow(abs(z) + 0.5, z * 3)")
 add(89, "roundToExp2", lambda a: F.when(a <= 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.floor(F.log2(a)).cast("int"))), "n", "l", "CASE WHEN n <= 0 THEN 0 ELSE 1 << CAST(floor(log2(n)) AS INT) END")
 
 #: Lower ends of the buckets.

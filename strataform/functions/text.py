@@ -128,7 +128,9 @@ def regexp_replace(s, pattern: str, to: str, pos: int = 1, occurrence: int = 0,
     """All matches from pos on, or the n-th only. Groups are written as in the reference, with a backslash."""
     import re
 
-    to = re.sub(r"\\(\d)", r"$\1", to)
+    groups = re.compile(pattern).groups  # the pattern stands twice behind a group of its own where one match counts
+    shift = 1 + groups if occurrence else 0
+    to = re.sub(r"\\(\d)", lambda m: f"${int(m[1]) + shift if m[1] != '0' else 0}", to)
     head, rest = F.substring(s, 1, pos - 1), F.substring(s, pos, 1 << 30)
     full = flags(match_type) + pattern
     if not occurrence:

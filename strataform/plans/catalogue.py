@@ -288,9 +288,9 @@ def _(s, d):
 # --- projections and filters
 
 
-@op(38, "projection", "SELECT l_orderkey, round(l_extendedprice * (1 - l_discount) + 0.0001, 2) AS price FROM lineitem")
+@op(38, "projection", "SELECT l_orderkey, round(l_extendedprice * (1 - l_discount), 4) AS price FROM lineitem")
 def _(s, d):
-    return table(s, d, "lineitem").select("l_orderkey", F.round(c("l_extendedprice") * (1 - c("l_discount")) + 0.0001, 2).alias("price"))
+    return table(s, d, "lineitem").select("l_orderkey", F.round(c("l_extendedprice") * (1 - c("l_discount")), 4).alias("price"))
 
 
 @op(39, "final_projection", "SELECT CAST(o_orderkey AS VARCHAR) AS k, strftime(o_orderdate + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS local FROM orders")

@@ -6,19 +6,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+_TSV = {"sep": "\t", "quote": "", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 #: Reader and writer of Spark, and their options.
 FORMATS = {
     "Native": ("parquet", {}),
     "RowBinary": ("orc", {}),
-    "TabSeparated": ("csv", {"sep": "\t", "nullValue": "\\N", "emptyValue": "", "escape": "\\", "quote": ""}),
-    "TabSeparatedWithNames": ("csv", {"sep": "\t", "nullValue": "\\N", "emptyValue": "", "header": "true", "quote": ""}),
+    "TabSeparated": ("csv", _TSV),
+    "TabSeparatedWithNames": ("csv", _TSV | {"header": "true"}),
     "JSONEachRow": ("json", {"ignoreNullFields": "false"}),
     "Null": ("noop", {}),
 }
 
 
+def _escaped(c):
+    """Backslash, tab and line ends as two characters, NULL as \\N."""
+    text = F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\"))
+    for raw, code in (("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(raw), F.lit(code))
+    return F.coalesce(text, F.lit("\\N"))
+
+
+def _unescaped(c, kind: str):
+    def part(p):
+        for raw, code in (("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+            p = F.replace(p, F.lit(code), F.lit(raw))
+        return p
+
+    text = F.array_join(F.transform(F.split(F.coalesce(c, F.lit("")), r"\\\\"), part), "\\")
+    return F.when(F.coalesce(c, F.lit("")) != "\\N", text).cast(kind)
+
+
 def write(df: DataFrame, path: str, name: str, mode: str = "overwrite") -> None:
     kind, options = FORMATS[name]
+    if kind == "csv":
+        df = df.select(*[_escaped(F.col(f"`{c}`")).alias(c) for c in df.columns])
     writer = df.write.format(kind).options(**options).mode(mode)
     writer.save() if kind == "noop" else writer.save(path)
 
@@ -26,7 +47,10 @@ def write(df: DataFrame, path: str, name: str, mode: str = "overwrite") -> None:
 def read(spark: SparkSession, path: str, name: str, schema: StructType) -> DataFrame:
     """Schemas are given, never inferred: no pass over the data to guess them."""
     kind, options = FORMATS[name]
-    return spark.read.format(kind).options(**options).schema(schema).load(path)
+    if kind != "csv":
+        return spark.read.format(kind).options(**options).schema(schema).load(path)
+    text = spark.read.format(kind).options(**options).schema(", ".join(f"`{f.name}` string" for f in schema)).load(path)
+    return text.select(*[_unescaped(F.col(f"`{f.name}`"), f.dataType.simpleString()).alias(f.name) for f in schema])
 
 
 def literal(c) -> F.col:
