@@ -31,7 +31,7 @@ class ByteBpe:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.memo = Memo(self.encode_piece)
+        self.memo = Memo(self.encode_piece, size=200_000)
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         """The ids of one match of the pattern."""

@@ -36,9 +36,9 @@ ROUNDS = 2
 #: Members of a block of a bucket.
 BLOCK = 1024
 #: Pairs whose signatures are compared at a time, and pairs verified at a time.
-PAIRS, FEW = 100_000, 5_000
+PAIRS, FEW = 50_000, 2_000
 #: Cells of the matrices for exact intersections; sets that need more are intersected one by one.
-MATRIX = 1 << 26
+MATRIX = 1 << 23
 #: So many identifiers are broadcast at most to pick texts; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -344,11 +344,11 @@ class SetFiles:
         """Sizes of intersections of pairs. Many pairs of few small sets go through a product of membership matrices."""
         left, right = np.unique(a), np.unique(b)
         one, two = ([self.get(i) for i in ids.tolist()] for ids in (left, right))
-        total = sum(map(len, one)) + sum(map(len, two))
-        if len(a) < 4 * (len(left) + len(right)) or (len(left) + len(right)) * total > MATRIX:
+        few = len(a) < 4 * (len(left) + len(right))
+        words, place = (None, None) if few else np.unique(np.concatenate([*one, *two]), return_inverse=True)
+        if few or (len(left) + len(right)) * len(words) > MATRIX:
             at, of = dict(zip(left.tolist(), one, strict=True)), dict(zip(right.tolist(), two, strict=True))
             return [len(np.intersect1d(at[p], of[q], assume_unique=True)) for p, q in zip(a.tolist(), b.tolist(), strict=True)]
-        words, place = np.unique(np.concatenate([*one, *two]), return_inverse=True)
         members = np.zeros((len(one) + len(two), len(words)), np.float32)
         members[np.repeat(np.arange(len(members)), [len(s) for s in [*one, *two]]), place] = 1
         product = members[: len(one)] @ members[len(one) :].T

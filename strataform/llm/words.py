@@ -14,7 +14,7 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 
 @lru_cache(maxsize=1)
 def _memo() -> Memo:
-    return Memo(xxhash.xxh64_intdigest, size=200_000)
+    return Memo(xxhash.xxh64_intdigest, size=100_000)
 
 
 def split(text: str) -> list[bytes]:
