@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
-from functools import lru_cache
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strataform.session import ship
+
 #: A word is a run of anything but these bytes (space and the ASCII controls 9 to 13).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -50,17 +49,7 @@ def prepare(spark: SparkSession) -> None:
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(rows) == "10000":
         spark.conf.set(rows, ARROW_ROWS)
-    _ship(spark.sparkContext)
-
-
-@lru_cache(maxsize=4)
-def _ship(sc) -> None:
-    """Sends this package to the executors, once for each context, unless their path has it already."""
-    root = Path(__file__).resolve().parents[2]
-    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or Path.cwd() == root:
-        return
-    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="strataform-"), "strataform"), "zip", root, "strataform")
-    sc.addPyFile(made)
+    ship(spark)
 
 
 def partitions(spark: SparkSession) -> int:
