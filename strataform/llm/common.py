@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -23,6 +24,8 @@ def work_dir(spark: SparkSession, label: str) -> str:
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="strataform-")
         sc.setCheckpointDir(base)
