@@ -30,35 +30,41 @@ def label_copies(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: str = "smallest",
-    normalise=lambda text: text,
+    normalise=None,
     payload: bool = False,
 ) -> DataFrame:
     """One row for each row of ``df``: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     ``keep``: "smallest" or "largest", the identifier that stays of a group of equals. ``normalise`` maps the
-    text column to what is compared. With ``payload`` a column ``row`` carries the whole input row as a struct,
-    so that input columns of any name do no harm.
+    text column to what is compared; without it texts are compared as they are. With ``payload`` a column ``row``
+    carries the whole input row as a struct, so that input columns of any name do no harm.
 
     A null text counts as empty. Null identifiers never win over others; a group of only nulls has a null
     keep_id. Of rows equal in text and identifier exactly one is kept. An empty table gives no rows.
     """
     spark = df.sparkSession
     n_out = partitions(spark)
-    work = df.select(
-        F.col(id_col).alias("doc_id"),
-        normalise(F.coalesce(F.col(text_col), F.lit(""))).alias("key"),
-        *([F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if payload else []),
-    )
+    compared = F.coalesce(F.col(text_col), F.lit(""))
+    compared = normalise(compared) if normalise else compared
+    # A text that is compared as it is travels once: the row has only whether it is null.
+    kept_columns = [(F.col(c).isNull() if c == text_col and not normalise else F.col(f"`{c}`")).alias(f"c{k}") for k, c in enumerate(df.columns)]
+    work = df.select(F.col(id_col).alias("doc_id"), compared.alias("key"), *([F.struct(*kept_columns).alias("row")] if payload else []))
+
+    def finish(labelled: DataFrame) -> DataFrame:
+        back = [F.when(~F.col(f"row.c{k}"), F.col("key")) if c == text_col and not normalise else F.col(f"row.c{k}") for k, c in enumerate(df.columns)]
+        row = [F.struct(*[x.alias(c) for x, c in zip(back, df.columns, strict=True)]).alias("row")] if payload else []
+        return labelled.select("doc_id", "keep_id", "group_size", "kept", F.sha2(F.col("key").cast("binary"), 256).alias("text_sha256"), *row)
+
     total = df.count()
     least = max(LEAST_HOT, total // (4 * n_out))
-    counted = df.select(F.xxhash64(normalise(F.coalesce(F.col(text_col), F.lit("")))).alias("h")).groupBy("h").count()
+    counted = df.select(F.xxhash64(compared).alias("h")).groupBy("h").count()
     hot_hashes = [r.h for r in counted.where(F.col("count") > least).select("h").collect()]  # at most 4 * n_out
     if not hot_hashes:
-        return _finish(_sorted_copies(work, n_out, keep), payload)
+        return finish(_sorted_copies(work, n_out, keep))
     hot = F.broadcast(spark.createDataFrame([(h,) for h in hot_hashes], "h long"))
     work = work.withColumn("h", F.xxhash64("key"))
     cold = _sorted_copies(work.join(hot, "h", "left_anti").drop("h"), n_out, keep)
-    return _finish(cold.unionByName(_hot_copies(work.join(hot, "h", "left_semi").drop("h"), keep)), payload)
+    return finish(cold.unionByName(_hot_copies(work.join(hot, "h", "left_semi").drop("h"), keep)))
 
 
 def _best(keep: str) -> Column:
@@ -99,12 +105,6 @@ def _hot_copies(rows: DataFrame, keep: str) -> DataFrame:
     return joined.withColumn("win", winner).withColumn("kept", F.col("win") & (F.row_number().over(tie) == 1)).drop("win")
 
 
-def _finish(labelled: DataFrame, payload: bool) -> DataFrame:
-    return labelled.select(
-        "doc_id", "keep_id", "group_size", "kept", F.sha2(F.col("key").cast("binary"), 256).alias("text_sha256"), *(["row"] if payload else [])
-    )
-
-
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The rows of ``df`` that stay, with its columns as they were."""
     return label_copies(df, id_col, text_col, keep, payload=True).where("kept").select("row.*")
