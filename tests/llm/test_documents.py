@@ -285,3 +285,19 @@ def test_memo_is_bounded():
     for i in range(1000):
         assert memo[str(i)] == len(str(i))
     assert len(memo) + len(memo.old) <= 22
+
+
+def test_exact_dedup_is_native_and_shuffles_once(docs):
+    plan = exact_dedup.label_copies(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and plan.count("Exchange hashpartitioning") == 0
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_operators_on_texts_without_a_break(spark):
+    """One word of a million letters: nothing grows faster than n log n."""
+    one = spark.createDataFrame([(1, "ab" * 500_000)], "doc_id long, text string")
+    ranks, model = P.path("byte_bpe_multi_50k.tiktoken"), P.path("piece_bpe_32k.model")
+    coded = bpe.round_trip(one, ranks, P.PATTERN).first()
+    assert coded.decoded_sha256 == hashlib.sha256(b"ab" * 500_000).hexdigest()
+    assert token_counts.count_tokens(one, model).first().n_bytes == 1_000_000
+    assert flac.describe(flac.with_media(one)).first().payload_bytes == 1_000_000

@@ -206,3 +206,16 @@ def test_scoring_without_training(spark):
     assert ngram.score(none, ngram.train(df)).count() == 0
     row = ngram.score(df, ngram.train(none)).first()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (3, 0, 0, 0.0)
+
+
+def test_words_of_odd_texts():
+    import pyarrow as pa
+
+    r = random.Random(1)
+    letters = " \t\n\x0b\x0c\r\x1c\x1f\x85\xa0　aBÉßİ\x00|"
+    texts = ["".join(r.choices(letters, k=r.randint(0, 12))) for _ in range(2000)] + [None, ""]
+    place, found, sizes = ngram.words_of(pa.array(texts))
+    assert [found[i] for i in place] == [w for t in texts for w in [*words(t), "\n"]]
+    assert sizes.tolist() == [len(words(t)) + 1 for t in texts]
+    place, _, sizes = ngram.words_of(pa.array(texts).slice(100, 500))
+    assert len(place) == sizes.sum() and len(sizes) == 500
