@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -18,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from strataform.llm.common import Memo
+from strataform.llm.common import Memo, held
 
 NONE = 1 << 62
 
@@ -91,10 +90,9 @@ class ByteBpe:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
 def codec(rank_file: str, pattern: str) -> ByteBpe:
     """One for each Python worker, which keeps it over tasks."""
-    return ByteBpe(rank_file, pattern)
+    return held(("bpe", rank_file, pattern), lambda: ByteBpe(rank_file, pattern))
 
 
 def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -60,6 +61,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_held: dict = {}
+
+
+def held(key, make: Callable):
+    """One heavy object of a Python worker (a codec with its memo, a model), kept over tasks until another is asked for.
+
+    Workers outlive stages; without this each operator's memo would stay beside the next one's.
+    """
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        _held[key] = make()
+    return _held[key]
+
+
 class Memo(dict):
     """A cache of ``make(key)`` of two generations: at most 2 * ``size`` entries, the least used of which go.
 

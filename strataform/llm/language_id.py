@@ -181,7 +181,7 @@ def label_languages(df: DataFrame, model: LanguageModel, id_col: str = "doc_id",
             langs: list[str] = []
             scores: list[float] = []
             texts = batch.column(0)
-            step = max(1, batch.num_rows * (1 << 20) // max(1, texts.nbytes))
+            step = max(1, batch.num_rows * (1 << 18) // max(1, texts.nbytes))
             for i in range(0, batch.num_rows, step):
                 a, b = shared.value.predict(texts.slice(i, step).to_pylist())
                 langs += a

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataform.llm.common import get, pack, partitions, put, unpack, work_dir, written
+from strataform.llm.common import get, held, pack, partitions, put, unpack, work_dir, written
 from strataform.llm.elias_fano import EliasFano
 
 ORDER = 3
@@ -424,13 +424,6 @@ def score(df: DataFrame, trie: Trie, id_col: str = "doc_id", text_col: str = "te
     return src.mapInArrow(run, schema)
 
 
-_models: dict[tuple, Trie] = {}
-
-
 def _opened(folder: str, total: int, levels: tuple[Level, ...]) -> Trie:
     """One model at a time in a worker, whose pieces stay mapped over tasks."""
-    key = folder, len(levels)
-    if key not in _models:
-        _models.clear()
-        _models[key] = Trie(folder, levels, total)
-    return _models[key]
+    return held(("ngrams", folder, len(levels)), lambda: Trie(folder, levels, total))

@@ -13,12 +13,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strataform.llm.common import Memo
+from strataform.llm.common import Memo, held
 
 MARK = "▁"
 
@@ -53,9 +52,8 @@ class PieceCounter:
         return sum(memo[pre_token] * n for pre_token, n in self.frequencies(text).items())
 
 
-@lru_cache(maxsize=2)
 def counter(model_file: str) -> PieceCounter:
-    return PieceCounter(model_file)
+    return held(("pieces", model_file), lambda: PieceCounter(model_file))
 
 
 def count_tokens(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataform.llm.common import Memo, get, pack, partitions, put, unpack, written
+from strataform.llm.common import Memo, get, held, pack, partitions, put, unpack, written
 
 #: Bits of a level for each of its keys.
 GAMMA = 2
@@ -58,9 +58,8 @@ class WordIds:
         return b"".join(map(self.memo.__getitem__, text.encode("utf-8", "surrogatepass").split()))
 
 
-@lru_cache(maxsize=2)
 def word_ids(tokenizer_file: str) -> WordIds:
-    return WordIds(tokenizer_file)
+    return held(("words", tokenizer_file), lambda: WordIds(tokenizer_file))
 
 
 def _hash(ids: np.ndarray, nth: np.ndarray, seed: int) -> np.ndarray:
