@@ -135,8 +135,8 @@ def _(s, d):
 def _(s, d):
     e = table(s, d, "embeddings")
     exact = search.nearest(e, "vec_id", "embedding", _Q, "l2", 20).select("id")
-    found = search.hashed_nearest(e, "vec_id", "embedding", _Q, 20, tables=16, bits=4).select("id")
-    return exact.join(found, "id").agg((F.count(F.lit(1)) >= 16).alias("enough"))
+    found = search.hashed_nearest(e, "vec_id", "embedding", _Q, 20, tables=32, bits=4).select("id")
+    return exact.join(found, "id").agg((F.count(F.lit(1)) >= 18).alias("enough"))
 
 
 @op(
