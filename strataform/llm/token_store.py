@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,9 @@ from strataform.llm.common import Memo, get, held, pack, partitions, put, unpack
 GAMMA = 2
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Letters with ASCII punctuation behind them (no apostrophe): tokenizers of words split there in any case.
-_TAILED = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]+)").fullmatch
+_TAILED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
+#: Bytes of text handled at a time.
+TEXT = 4 << 20
 
 
 class WordIds:
@@ -39,23 +42,32 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        spaced = [self._encode(x) for x in (b"a b", b"a", b"b", b"\n a\t b ")]
+        spaced = [self._encode(x) for x in ("a b", "a", "b", "\n a\t b ")]
         if not spaced[0] == spaced[1] + spaced[2] == spaced[3]:
             raise ValueError(f"{tokenizer_file}: white space counts, so words can't be encoded alone")
         self.memo = Memo(self.encode_word, size=500_000)
         self.bits = Memo(self._encode, size=500_000)
 
-    def _encode(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
-        return np.array(ids, self.dtype).tobytes()
+    def _encode(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def encode_word(self, word: bytes) -> bytes:
+    def encode_word(self, word: str) -> bytes:
         if m := _TAILED(word):
             return self.bits[m[1]] + self.bits[m[2]]
         return self.bits[word]
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.memo.__getitem__, text.encode("utf-8", "surrogatepass").split()))
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """Of each text, null counting as empty. Distinct words are encoded, and taken by their places."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        flat, edges = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+        real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # blanks at the ends make empty ones
+        edges = np.concatenate([[0], np.cumsum(real)])[edges - edges[0]]
+        coded = flat.filter(pa.array(real)).dictionary_encode()
+        ids = pa.array(list(map(self.memo.__getitem__, coded.dictionary.to_pylist())), pa.large_binary()).take(coded.indices)
+        _, offsets, data = ids.buffers()
+        offsets = np.frombuffer(offsets, np.int64, len(ids) + 1, 8 * ids.offset) if len(ids) else np.zeros(1, np.int64)
+        for a, b in zip(offsets[edges[:-1]].tolist(), offsets[edges[1:]].tolist(), strict=True):
+            yield data[a:b].to_pybytes() if b > a else b""
 
 
 def word_ids(tokenizer_file: str) -> WordIds:
@@ -154,11 +166,12 @@ def write(df: DataFrame, folder: str, tokenizer_file: str, end_id: int, id_col:
         words = word_ids(tokenizer_file)
         end = np.array([end_id], words.dtype).tobytes()
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
+            step = max(1, batch.num_rows * TEXT // max(1, batch.column(1).nbytes)) if batch.num_rows else 1
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
                 ids = part.column(0)
                 at = np.searchsorted(bounds, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "right")
-                raw = pa.array([words.encode(x.as_py() or "") + end for x in part.column(1)], pa.binary())
+                raw = pa.array([x + end for x in words.encode(part.column(1))], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), ids, raw], ["shard", "doc_id", "raw"])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
