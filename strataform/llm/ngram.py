@@ -25,8 +25,8 @@ from strataform.llm.common import get, held, pack, partitions, put, unpack, work
 from strataform.llm.elias_fano import EliasFano
 
 ORDER = 3
-#: Count below which a node of the highest level is dropped; its mass goes to its context's weight.
-CUTOFF = 2
+#: Count below which a node of the highest level is dropped; its mass goes to its context's weight. At 1 all stay.
+CUTOFF = 1
 DISCOUNT = 0.75
 #: Added to each count of a word.
 ADDED = 0.1

@@ -187,6 +187,20 @@ def test_scores_are_those_of_a_plain_model(spark, order):
         assert near.score == pytest.approx(want, abs=len(tokens) * 1e-3)
 
 
+def test_default_model_keeps_every_trigram(spark):
+    r = random.Random(11)
+    docs = [(i, " ".join(r.choices("abcdefghij", k=r.randint(3, 30)))) for i in range(150)]
+    grams, _, _, p = plain_model(docs, 3, 1)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    trie = ngram.train(df)
+    assert min(grams[3].values()) == 1 and sum(trie.levels[2].sizes) == len(grams[3])
+    got = {x.doc_id: x.score for x in ngram.score(df, trie).collect()}
+    for d, text in docs:
+        tokens = [*words(text), None]
+        want = sum(math.log10(p(tuple(tokens[max(0, i - 2) : i]), w)) for i, w in enumerate(tokens))
+        assert got[d] == pytest.approx(want, abs=len(tokens) * 1e-3)
+
+
 def test_successors_sum_to_one(spark):
     df = spark.createDataFrame([(i, "a b a c a b b a") for i in range(1, 9)], "doc_id long, text string")
     trie = ngram.train(df, order=2)
