@@ -88,21 +88,27 @@ def _sorted_copies(rows: DataFrame, n_out: int, keep: str) -> DataFrame:
 
 
 def _hot_copies(rows: DataFrame, keep: str) -> DataFrame:
-    groups = written(rows.groupBy("key").agg(_best(keep).alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "hot-texts")
+    groups = rows.groupBy("key").agg(_best(keep).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = written(groups.withColumn("group", F.monotonically_increasing_id()), "hot-texts")
+    rows = rows.withColumn("part", F.spark_partition_id())
     size = groups.agg(F.coalesce(F.sum(F.octet_length("key") + 32), F.lit(0)).alias("b")).first().b
     if size <= BROADCAST_BYTES:
         joined = rows.join(F.broadcast(groups), "key")
     else:
-        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+        salt = F.pmod(F.xxhash64("doc_id", "part"), F.lit(SALTS))
         joined = (
             rows.withColumn("salt", salt)
             .join(groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["key", "salt"])
             .drop("salt")
         )
-    winner = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    # Only rows that share the winning identifier meet; the others are spread by their own.
-    tie = Window.partitionBy("keep_id", "win", F.when(~F.col("win"), F.xxhash64("doc_id")), "group_size").orderBy(F.lit(1))
-    return joined.withColumn("win", winner).withColumn("kept", F.col("win") & (F.row_number().over(tie) == 1)).drop("win")
+    # Rows that share a text's winning identifier, maybe all of its rows, meet by input partition first, then one
+    # of each partition; the others are spread by their own.
+    spread = F.xxhash64("doc_id")
+    near = Window.partitionBy("group", "win", "part", F.when(~F.col("win"), spread)).orderBy(F.lit(1))
+    far = Window.partitionBy("group", "win", F.when(~F.col("win"), F.col("part")), F.when(~F.col("win"), spread)).orderBy(F.lit(1))
+    for tie, win in ((near, F.col("doc_id").eqNullSafe(F.col("keep_id"))), (far, F.col("win") & (F.col("rn") == 1))):
+        joined = joined.withColumn("win", win).withColumn("rn", F.row_number().over(tie))
+    return joined.withColumn("kept", F.col("win") & (F.col("rn") == 1)).drop("win", "rn", "part", "group")
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:

@@ -67,6 +67,18 @@ def test_exact_dedup_of_a_hot_group(spark):
     assert out.where("text_sha256 = sha2('same text', 256)").selectExpr("min(keep_id)", "max(keep_id)", "max(group_size)").first()[:] == (0, 0, 1334)
 
 
+@pytest.mark.parametrize("share", [64 << 20, 0])
+def test_exact_dedup_of_hot_groups_with_the_same_identifiers(spark, share, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", share)
+    monkeypatch.setattr(exact_dedup, "partitions", lambda spark: 40)
+    ids = {"null a": [None] * 200, "null b": [None] * 200, "same a": [7] * 200, "same b": [7] * 200, "one a": [1, *range(5, 204)], "one b": [1, *range(5, 204)], "cold": [1, 1]}
+    data = spark.createDataFrame([(d, t) for t, all_of in ids.items() for d in all_of], "doc_id long, text string").repartition(5)
+    kept = exact_dedup.drop_copies(data).collect()
+    assert sorted(x.text for x in kept) == sorted(ids)
+    assert {x.text: x.doc_id for x in kept} == {t: all_of[0] for t, all_of in ids.items()}
+    assert exact_dedup.label_copies(data).count() == data.count()
+
+
 def test_mixing(spark, docs, none):
     got = mixing.label_mix(docs).collect()
     assert len(got) == len(rows())
