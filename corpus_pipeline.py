@@ -2,7 +2,7 @@
 
 Language identification rejects documents without an identifiable language; exact and near copies go, one of
 each group staying; sources are mixed to their targets, documents repeated as needed; the rest is encoded.
-Only the last stage adds columns. It has no SQL; tests hold it against a brute-force version.
+Only the last stage adds columns: the token ids, their number, and digests. It has no SQL; tests hold it against a brute-force version.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, carry=True)
+    return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, carry=True, ids_col="ids")
 
 
 STAGES = [

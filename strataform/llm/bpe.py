@@ -15,6 +15,7 @@ from itertools import chain
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from strataform.llm.common import Memo, held
@@ -121,8 +122,9 @@ def decode(df: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids", by
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(rank_file, pattern)
         for batch in batches:
-            raw = pa.array([None if x is None else bpe.decode(x) for x in batch.column(at).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, raw], [*batch.schema.names, bytes_col])
+            for part in slices(batch, at):
+                raw = pa.array([None if x is None else bpe.decode(x) for x in part.column(at).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, raw], [*part.schema.names, bytes_col])
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(bytes_col, BinaryType())]))
 
@@ -136,35 +138,23 @@ def slices(batch: pa.RecordBatch, at: int, size: int = 4 << 20) -> Iterator[pa.R
         yield batch.slice(i, step)
 
 
-def round_trip(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+def round_trip(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, ids_col: str | None = None) -> DataFrame:
     """Digests of an encoding and of its decoding: ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
 
-    Each text is encoded to ids and these are decoded within the same batch, so ids never leave the worker.
-    With ``carry`` all columns of ``df`` stay in front; clashing names of theirs are dropped.
+    They are those of the columns that ``encode`` and ``decode`` append. ``ids_col`` names a column for the ids
+    themselves, behind the digests. With ``carry`` all columns of ``df`` stay in front; clashing names of theirs
+    are dropped.
     """
-    from hashlib import sha256
-
-    new = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    new = ["n_tokens", "ids_sha256", "decoded_sha256", *([ids_col] if ids_col else [])]
     kept = [c for c in df.columns if c not in new] if carry else []
     src = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"), *[df[c] for c in kept if c not in ("doc_id", "text")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(rank_file, pattern)
-        names: dict[int, str] = {i: str(i) for i in bpe.tokens}
-        for batch in batches:
-            counts, ids_sha, decoded_sha = [], [], []
-            for text in batch.column(1):
-                ids = bpe.encode(text.as_py() or "")
-                counts.append(len(ids))
-                ids_sha.append(sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
-                decoded_sha.append(sha256(bpe.decode(ids)).hexdigest())
-            out = batch.columns if carry else [batch.column(0)]
-            yield pa.RecordBatch.from_arrays(
-                [*out, pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())],
-                [*(batch.schema.names if carry else ["doc_id"]), *new],
-            )
-
-    schema = StructType(list(src.schema.fields) if carry else [src.schema["doc_id"]])
-    for c, kind in zip(new, ("long", "string", "string"), strict=True):
-        schema = schema.add(c, kind)
-    return src.mapInArrow(run, schema)
+    front = src.columns if carry else ["doc_id"]
+    ids, raw = "ids of a round trip", "bytes of a round trip"
+    coded = encode(src, rank_file, pattern, "text", ids).select(*[f"`{c}`" for c in front], ids)
+    digests = [
+        F.size(ids).cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col(ids).cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(raw, 256).alias("decoded_sha256"),
+    ]
+    back = decode(coded, rank_file, pattern, ids, raw)
+    return back.select(*[f"`{c}`" for c in front], *digests, *([F.col(ids).alias(ids_col)] if ids_col else []))

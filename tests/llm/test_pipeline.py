@@ -93,6 +93,20 @@ def test_stages_are_those_of_a_plain_version(spark, folder):
         assert r.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
 
 
+def test_last_stage_gives_ids(spark, folder):
+    stage = dict(corpus_pipeline.STAGES)["byte_bpe"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = stage(spark, docs.withColumn("ids", docs.doc_id), folder)
+    assert got.columns == [*docs.columns, "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    rows = got.collect()
+    assert len(rows) == len(corpus())
+    for r in rows:
+        assert r.ids == library.encode_ordinary(r.text or "") and r.n_tokens == len(r.ids)
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest()
+
+
 def test_run_gives_the_last_stage(spark, folder):
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, folder).collect()) == Counter({d: n for d, n in plain(corpus())[3].items() if n})
 
