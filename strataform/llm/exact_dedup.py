@@ -1,26 +1,24 @@
 """Exact deduplication by content sort, in DataFrame operations only.
 
-Sampled splitters range-partition the normalised text by its first bytes, then by a hash where many texts begin
-alike (so splitters stay small whatever the texts); the sort within each range (it spills to disk) places equal
-texts next to each other, and the window over a run of equals compares neighbours in full.
-
-A text with a large share of all rows would fill one range. Texts whose 64-bit hash counts more than
-1 / (4 * partitions) of the rows are at most 4 * partitions in number; they are aggregated map-side
-before their shuffle, and the few results are joined back.
+Sampled splitters range-partition the normalised text by its first characters (whose order is that of their
+bytes), then by a hash where many texts begin alike, so that splitters stay small whatever the texts. The sort
+within each range (it spills to disk) places equal texts next to each other, and the window over a run of equals
+compares neighbours in full.
+
+A text with a large share of all rows would fill one range. Rows whose text's 64-bit hash counts more than
+1 / (4 * partitions) of all rows carry a salt as a third splitter, so that such a text is sorted as several runs of
+a bounded size, in the same sort; the few runs, a row each, are then merged and their results joined back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataform.llm.common import partitions, written
 
-#: The joined-back texts of hot groups are broadcast up to so many bytes; beyond, the join is salted.
+#: Merged runs, texts included, are broadcast up to so many bytes; beyond, they are joined by a shuffle on text and salt.
 BROADCAST_BYTES = 64 << 20
-#: No group below so many copies is hot, however few the rows.
-LEAST_HOT = 64
-SALTS = 64
 #: Characters of a text in a splitter.
 HEAD = 32
 
@@ -56,59 +54,53 @@ def label_copies(
         return labelled.select("doc_id", "keep_id", "group_size", "kept", F.sha2(F.col("key").cast("binary"), 256).alias("text_sha256"), *row)
 
     total = df.count()
-    least = max(LEAST_HOT, total // (4 * n_out))
-    counted = df.select(F.xxhash64(compared).alias("h")).groupBy("h").count()
-    hot_hashes = [r.h for r in counted.where(F.col("count") > least).select("h").collect()]  # at most 4 * n_out
+    least = max(1, total // (4 * n_out))
+    counted = df.select(F.xxhash64(compared).alias("tail")).groupBy("tail").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+    hot_hashes = [(r.tail, -(-r.n // least)) for r in counted.collect()]  # at most 4 * n_out + 3, each with its number of runs
+    work = work.withColumn("head", F.substring("key", 1, HEAD)).withColumn("tail", F.xxhash64("key"))
     if not hot_hashes:
-        return finish(_sorted_copies(work, n_out, keep))
-    hot = F.broadcast(spark.createDataFrame([(h,) for h in hot_hashes], "h long"))
-    work = work.withColumn("h", F.xxhash64("key"))
-    cold = _sorted_copies(work.join(hot, "h", "left_anti").drop("h"), n_out, keep)
-    return finish(cold.unionByName(_hot_copies(work.join(hot, "h", "left_semi").drop("h"), keep)))
-
+        return finish(_sorted(work, n_out, keep))
+    hot = F.broadcast(spark.createDataFrame(hot_hashes, "tail long, runs long"))
+    cold = _sorted(work.join(hot.select("tail"), "tail", "left_anti"), n_out, keep)
+    # Rows of one identifier, null ones too, are told apart by their partition.
+    salt = F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.col("runs")).cast("int")
+    runs = written(_sorted(work.join(hot, "tail").withColumn("salt", salt).drop("runs"), n_out, keep, "salt"), "hot-runs")
+    return finish(cold.unionByName(_merged(runs, keep).drop("salt")))
 
-def _best(keep: str) -> Column:
-    return F.max("doc_id") if keep == "largest" else F.min("doc_id")
 
+def _sorted(rows: DataFrame, n_out: int, keep: str, *salt: str) -> DataFrame:
+    """The sort, and what neighbours say: of each run of equal texts (and salts) the winner (``kept``), its id and the run's size.
 
-def _sorted_copies(rows: DataFrame, n_out: int, keep: str) -> DataFrame:
-    """The window needs rows of a text together, which the range partitioning on parts of it gives: no second shuffle."""
-    run = Window.partitionBy("head", "tail", "key")
+    The window needs rows of a run together, which the range partitioning on parts of it gives: no second shuffle.
+    """
+    run = Window.partitionBy("head", "tail", *salt, "key")
     first = run.orderBy(F.desc_nulls_last("doc_id") if keep == "largest" else F.asc_nulls_last("doc_id"))
     return (
-        rows.withColumn("head", F.substring("key", 1, HEAD))
-        .withColumn("tail", F.xxhash64("key"))
-        .repartitionByRange(n_out, "head", "tail")
+        rows.repartitionByRange(n_out, "head", "tail", *salt)
         .withColumn("rn", F.row_number().over(first))
-        .withColumn("keep_id", _best(keep).over(run))
+        .withColumn("keep_id", (F.max if keep == "largest" else F.min)("doc_id").over(run))
         .withColumn("group_size", F.count(F.lit(1)).over(run))
         .withColumn("kept", F.col("rn") == 1)
-        .drop("rn", "head", "tail")
+        .drop("rn", "head")
     )
 
 
-def _hot_copies(rows: DataFrame, keep: str) -> DataFrame:
-    groups = rows.groupBy("key").agg(_best(keep).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = written(groups.withColumn("group", F.monotonically_increasing_id()), "hot-texts")
-    rows = rows.withColumn("part", F.spark_partition_id())
-    size = groups.agg(F.coalesce(F.sum(F.octet_length("key") + 32), F.lit(0)).alias("b")).first().b
-    if size <= BROADCAST_BYTES:
-        joined = rows.join(F.broadcast(groups), "key")
-    else:
-        salt = F.pmod(F.xxhash64("doc_id", "part"), F.lit(SALTS))
-        joined = (
-            rows.withColumn("salt", salt)
-            .join(groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["key", "salt"])
-            .drop("salt")
-        )
-    # Rows that share a text's winning identifier, maybe all of its rows, meet by input partition first, then one
-    # of each partition; the others are spread by their own.
-    spread = F.xxhash64("doc_id")
-    near = Window.partitionBy("group", "win", "part", F.when(~F.col("win"), spread)).orderBy(F.lit(1))
-    far = Window.partitionBy("group", "win", F.when(~F.col("win"), F.col("part")), F.when(~F.col("win"), spread)).orderBy(F.lit(1))
-    for tie, win in ((near, F.col("doc_id").eqNullSafe(F.col("keep_id"))), (far, F.col("win") & (F.col("rn") == 1))):
-        joined = joined.withColumn("win", win).withColumn("rn", F.row_number().over(tie))
-    return joined.withColumn("kept", F.col("win") & (F.col("rn") == 1)).drop("win", "rn", "part", "group")
+def _merged(runs: DataFrame, keep: str) -> DataFrame:
+    """Rows of salted runs with the results of the whole text. One row for each run, of which there are few, is merged."""
+    text = Window.partitionBy("tail", "key")
+    first = text.orderBy(F.desc_nulls_last("keep_id") if keep == "largest" else F.asc_nulls_last("keep_id"), "salt")
+    whole = runs.where("kept").select(
+        "tail",
+        "key",
+        "salt",
+        (F.row_number().over(first) == 1).alias("wins"),
+        F.first("keep_id").over(first).alias("best"),
+        F.sum("group_size").over(text).alias("size"),
+    )
+    whole = written(whole, "merged-runs")
+    size = whole.agg(F.coalesce(F.sum(F.octet_length("key") + 64), F.lit(0)).alias("b")).first().b
+    rows = runs.join(F.broadcast(whole) if size <= BROADCAST_BYTES else whole, ["tail", "salt", "key"])
+    return rows.withColumn("keep_id", F.col("best")).withColumn("group_size", F.col("size")).withColumn("kept", F.col("kept") & F.col("wins")).drop("best", "size", "wins")
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:

@@ -43,7 +43,6 @@ def none(spark):
 @pytest.mark.parametrize("hot", [False, True])
 def test_exact_dedup(spark, docs, none, keep, hot, monkeypatch):
     if hot:
-        monkeypatch.setattr(exact_dedup, "LEAST_HOT", 1)
         monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", 0)
         monkeypatch.setattr(exact_dedup, "partitions", lambda spark: 40)
     groups = defaultdict(list)
@@ -76,7 +75,12 @@ def test_exact_dedup_of_hot_groups_with_the_same_identifiers(spark, share, monke
     kept = exact_dedup.drop_copies(data).collect()
     assert sorted(x.text for x in kept) == sorted(ids)
     assert {x.text: x.doc_id for x in kept} == {t: all_of[0] for t, all_of in ids.items()}
-    assert exact_dedup.label_copies(data).count() == data.count()
+    labelled = exact_dedup.label_copies(data).collect()
+    assert len(labelled) == data.count()
+    sizes = {hashlib.sha256(t.encode()).hexdigest(): len(all_of) for t, all_of in ids.items()}
+    assert all(x.group_size == sizes[x.text_sha256] for x in labelled)
+    one = spark.createDataFrame([(5, "x")] * 900, "doc_id long, text string").repartition(1)  # can't be told apart at all
+    assert exact_dedup.label_copies(one).where("kept").count() == 1
 
 
 def test_mixing(spark, docs, none):
