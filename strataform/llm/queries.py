@@ -115,7 +115,9 @@ ORACLE_SQL = {
     """,
     "op9_mix_sources": """
         WITH docs AS (
-            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest,
+                   row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) - 1 AS nth
+            FROM documents
         ), sizes AS (
             SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS rank
             FROM docs GROUP BY source
@@ -131,7 +133,7 @@ ORACLE_SQL = {
             SELECT source, source_size, CASE WHEN cap <= weight * share THEN CAST(cap AS DOUBLE) ELSE weight * share END AS target FROM weighed, chosen
         ), rates AS (
             SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-                   CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS draw
+                   CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || digest || CASE WHEN nth > 0 THEN ':' || nth ELSE '' END), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS draw
             FROM docs JOIN targets ON docs.source IS NOT DISTINCT FROM targets.source
         )
         SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM rates

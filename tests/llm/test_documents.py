@@ -117,6 +117,34 @@ def test_taken_words_come_near_targets(spark):
     assert len(near) == 4 and all(x["sum(taken)"] == pytest.approx(x["max(target)"], rel=0.05) for x in near)
 
 
+@pytest.mark.parametrize("few", [mixing.BROADCAST_SOURCES, 0])
+def test_rows_without_an_identifier_of_their_own_draw_apart(spark, few, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", few)
+    data = [(None, "w " * (1 + i % 7), "a") for i in range(700)] + [(5, "same text", "b")] * 900 + [(i, f"t {i}", "c") for i in range(800)] + [(None, None, None)] * 3
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(7)
+    got = mixing.label_mix(df, payload=True)
+    near = got.groupBy("row.source").agg({"taken": "sum", "target": "max", "copies": "count"}).collect()
+    assert {x["source"]: x["count(copies)"] for x in near} == {"a": 700, "b": 900, "c": 800, None: 3}
+    for x in near:
+        assert x["sum(taken)"] == pytest.approx(x["max(target)"], rel=0.08)
+    rows = lambda df: sorted(map(str, mixing.label_mix(df).collect()))
+    assert rows(df) == rows(df.repartition(3))
+
+
+def test_levels_of_many_sources(spark):
+    """Where many are cut, one after the other."""
+    r = random.Random(8)
+    sizes = [int(1.35**i) + 1 for i in range(40)]
+    r.shuffle(sizes)
+    df = spark.createDataFrame([(i, f"s{i:02d}", "w " * n) for i, n in enumerate(sizes)], "doc_id long, source string, text string")
+    capped, total, weight = set(), sum(sizes), [1 + i % 3 for i in range(40)]
+    while more := {i for i in range(40) if i not in capped and 3 * sizes[i] <= weight[i] * (total - sum(3 * sizes[j] for j in capped)) / sum(weight[j] for j in range(40) if j not in capped)}:
+        capped |= more
+    share = (total - sum(3 * sizes[j] for j in capped)) / sum(weight[j] for j in range(40) if j not in capped)
+    got = {x.source: x.target for x in mixing.source_targets(df, "source", "text", (1, 2, 3), 3).collect()}
+    assert got == {f"s{i:02d}": pytest.approx(3 * sizes[i] if i in capped else weight[i] * share) for i in range(40)} and len(capped) > 20
+
+
 def test_byte_bpe(spark, docs, none):
     import tiktoken
 

@@ -59,7 +59,7 @@ def plain(docs):
     taken = {}
     for x in near:
         rate = (3.0 * sizes[x[3]] if x[3] in capped else weight[x[3]] * share) / sizes[x[3]]
-        draw = int(hashlib.md5(f"42:{x[0]}".encode()).hexdigest()[:13], 16) / 16**13
+        draw = int(hashlib.md5(f"42:{x[0]}:{hashlib.md5(x[1].encode()).hexdigest()}".encode()).hexdigest()[:13], 16) / 16**13
         taken[x[0]] = int(rate) + (draw < rate - int(rate))
     return [x[0] for x in named], [x[0] for x in exact], [x[0] for x in near], taken
 
