@@ -81,7 +81,7 @@ ORACLE_SQL = {
     "op2_chat_perspectives": r"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '<\|') AS text,
-                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS nth
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(coalesce(role, 'unknown')), md5(coalesce(text, ''))) - 1 AS nth
             FROM conversations
         ), speakers AS (
             SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role <> 'system'
@@ -90,7 +90,7 @@ ORACLE_SQL = {
                    CASE WHEN role = 'system' THEN '<|system|>
 ' WHEN role = perspective THEN '<|assistant|>
 '
-                        ELSE '<|user name=' || replace(role, '<|', '<\|') || '|>
+                        ELSE '<|user name=' || replace(replace(replace(replace(role, '<|', '<\|'), '|>', '|\>'), chr(10), '\n'), chr(13), '\r') || '|>
 ' END AS head
             FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
         ), sized AS (
