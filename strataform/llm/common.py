@@ -101,7 +101,10 @@ class Memo(dict):
 
 
 def put(path: str, parts) -> None:
-    """Writes a file by a temporary name and a rename, so that a retried task leaves whole files only."""
+    """Writes a file of the shared folder, so that a retried task leaves whole files only.
+
+    By a temporary name and a rename; in object stores, where a file appears when it is complete, at once.
+    """
     local = _local(path)
     if local:
         os.makedirs(os.path.dirname(local), exist_ok=True)
@@ -111,15 +114,16 @@ def put(path: str, parts) -> None:
                 out.write(part)
         os.replace(draft, local)
         return
-    from pyarrow import fs
-
-    store, name = fs.FileSystem.from_uri(path)
-    draft = f"{name}.{uuid.uuid4().hex}"
-    store.create_dir(os.path.dirname(name), recursive=True)
+    store, name = _store(path)
+    whole = path.startswith(OBJECT_STORES)
+    draft = name if whole else f"{name}.{uuid.uuid4().hex}"
+    if not whole:
+        store.create_dir(os.path.dirname(name), recursive=True)
     with store.open_output_stream(draft) as out:
         for part in parts:
             out.write(part)
-    store.move(draft, name)
+    if not whole:
+        store.move(draft, name)
 
 
 def get(path: str):
@@ -129,13 +133,48 @@ def get(path: str):
     local = _local(path)
     if local:
         return np.memmap(local, np.uint8, "r").view(np.ndarray) if os.path.getsize(local) else np.zeros(0, np.uint8)
-    from pyarrow import fs
-
-    store, name = fs.FileSystem.from_uri(path)
+    store, name = _store(path)
     with store.open_input_stream(name) as f:
         return np.frombuffer(f.read(), np.uint8)
 
 
+class Files(dict):
+    """Unpacked files of the shared folder by path, through ``make``, at most so many and of so many bytes.
+
+    Those asked for longest ago go first. A mapped file counts for its place only: its pages are the system's.
+    """
+
+    def __init__(self, make: Callable = lambda parts: parts, size: int = 256 << 20, files: int = 10_000):
+        super().__init__()
+        self.make, self.size, self.files, self.held = make, size, files, 0
+
+    def __missing__(self, path: str):
+        raw = get(path)
+        self.held += (cost := 0 if _local(path) else raw.nbytes)
+        self[path] = cost, self.make(unpack(raw))
+        while len(self) > 1 and (self.held > self.size or len(self) > self.files):
+            self.held -= self.pop(next(iter(self)))[0]
+        return self[path]
+
+    def open(self, path: str):
+        if path in self:
+            self[path] = self.pop(path)  # to the end
+        return self[path][1]
+
+
+#: Schemes that Spark and Arrow name differently, and stores whose files appear when they are complete.
+ALIASES = {"s3a://": "s3://", "s3n://": "s3://"}
+OBJECT_STORES = ("s3a://", "s3n://", "s3://", "gs://", "abfs://", "abfss://")
+
+
+def _store(path: str):
+    from pyarrow import fs
+
+    for spark_name, arrow_name in ALIASES.items():
+        path = path.replace(spark_name, arrow_name, 1) if path.startswith(spark_name) else path
+    return fs.FileSystem.from_uri(path)
+
+
 def _local(path: str) -> str:
     return path.split(":", 1)[1].replace("//", "", 1) if path.startswith("file:") else "" if "://" in path else path
 
