@@ -1,8 +1,10 @@
 """FLAC as a media column: an encoder, and a decoder of Rice residuals and linear predictors.
 
-Mono streams of 8-bit samples. Frames are decoded side by side: the seek table tells where each begins, so
-one step reads one residual of every frame of a batch, in whole arrays. Header and frame checksums and the
-digest of the samples are verified. Streams without a seek table are decoded frame after frame.
+Mono streams of 8-bit samples; others are named as a row's problem. Frames are decoded side by side: the seek
+table tells where each begins, so one step reads one residual of every frame of a batch, in whole arrays. Header
+and frame checksums and the digest of the samples are verified. Streams without a seek table, or with one that
+leaves frames out, are decoded frame after frame. Frames are worked on in batches of a bounded size, so a stream
+takes a few times its own bytes however long it is.
 """
 
 from __future__ import annotations
@@ -14,10 +16,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType
 
 BLOCK = 1024
+#: Frames that are encoded or decoded at a time.
+FRAMES = 2048
+#: A seek table's length has 24 bits; streams with more frames get a point for each of so many.
+POINTS = 900_000
+#: Bytes in which a frame of unknown size must end.
+MOST_FRAME = 1 << 22
 RATE = 8000
 LPC_ORDER = 4
 #: Bits of a quantised coefficient, sign included.
@@ -113,14 +122,10 @@ def _lpc(x: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.clip(np.rint(a * (1 << shift)[:, None]), -limit, limit).astype(np.int32), shift
 
 
-def encode(payloads: list[bytes]) -> list[bytes]:
-    """A stream for each payload, whose bytes are samples above -128. Block by block the shortest form wins:
-    constant, verbatim, a fixed predictor of order 0 to 2, or a linear one fitted to the block."""
-    if not payloads:
-        return []
-    stream, number, size = _frames(payloads)
+def _encode_frames(flat: np.ndarray, number: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The frames of blocks that lie one after the other, and where each begins and the last ends. Block by block the
+    shortest form wins: constant, verbatim, a fixed predictor of order 0 to 2, or a linear one fitted to the block."""
     n = len(size)
-    flat = np.frombuffer(b"".join(payloads), np.uint8)
     at = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
     column = np.arange(BLOCK)
     real = column < size[:, None]
@@ -197,6 +202,23 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         out[inside[i] : inside[i] + size[i]] = flat[at[i] : at[i] + size[i]] ^ 0x80
     sums = crc16(out, starts[:-1], starts[1:] - 2)
     out[starts[1:] - 2], out[starts[1:] - 1] = sums >> 8, sums & 0xFF
+    return out, starts
+
+
+def encode(payloads: list[bytes]) -> list[bytes]:
+    """A stream for each payload, whose bytes are samples above -128."""
+    if not payloads:
+        return []
+    stream, number, size = _frames(payloads)
+    flat = np.frombuffer(b"".join(payloads), np.uint8)
+    at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    parts, starts = [], [np.zeros(1, np.int64)]
+    for i in range(0, len(size), FRAMES):
+        some = slice(i, i + FRAMES)
+        part, edges = _encode_frames(flat[at[i] : at[min(i + FRAMES, len(size))]], number[some], size[some])
+        parts.append(part)
+        starts.append(edges[1:] + starts[-1][-1])
+    out, starts = np.concatenate(parts) if parts else np.zeros(0, np.uint8), np.concatenate(starts)
     streams, frames_at = [], np.searchsorted(stream, np.arange(len(payloads) + 1))
     for i, payload in enumerate(payloads):
         a, b = int(frames_at[i]), int(frames_at[i + 1])
@@ -205,7 +227,8 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         info = BLOCK.to_bytes(2, "big") * 2 + int(sizes.min(initial=0)).to_bytes(3, "big") + int(sizes.max(initial=0)).to_bytes(3, "big")
         info += (RATE << 44 | 0 << 41 | 7 << 36 | len(payload)).to_bytes(8, "big") + hashlib.md5(signed).digest()
         points = b"".join(
-            (f * BLOCK).to_bytes(8, "big") + int(starts[a + f] - starts[a]).to_bytes(8, "big") + int(size[a + f]).to_bytes(2, "big") for f in range(b - a)
+            (f * BLOCK).to_bytes(8, "big") + int(starts[a + f] - starts[a]).to_bytes(8, "big") + int(size[a + f]).to_bytes(2, "big")
+            for f in range(0, b - a, -(-(b - a) // POINTS) or 1)
         )
         streams.append(b"fLaC\x00\x00\x00\x22" + info + b"\x83" + len(points).to_bytes(3, "big") + points + out[starts[a] : starts[b]].tobytes())
     return streams
@@ -246,6 +269,7 @@ class Info:
             block = raw[at + 4 : at + 4 + size]
             if kind == 0:
                 packed = int.from_bytes(block[10:18], "big")
+                self.block, self.most = int.from_bytes(block[2:4], "big"), int.from_bytes(block[7:10], "big") or MOST_FRAME
                 self.rate, self.channels, self.bits, self.samples, self.md5 = packed >> 44, (packed >> 41 & 7) + 1, (packed >> 36 & 31) + 1, packed & (1 << 36) - 1, block[18:34]
             elif kind == 3:
                 self.points = [(int.from_bytes(block[i : i + 8], "big"), int.from_bytes(block[i + 8 : i + 16], "big")) for i in range(0, size, 18) if block[i : i + 8] != b"\xff" * 8]
@@ -392,14 +416,17 @@ def decode(streams: list[bytes]) -> list[list[bytes]]:
         owner += [i] * len(offsets)
         starts += [base[i] + infos[i].frames + o for o in offsets]
         ends += [base[i] + infos[i].frames + o for o in offsets[1:]] + [base[i + 1]] * bool(offsets)
-    if starts:
-        rows, _ = _decode_frames(buf, np.array(starts, np.int64), np.array(ends, np.int64))
-        for i, row in zip(owner, rows, strict=True):
+    for k in range(0, len(starts), FRAMES):
+        first, last = starts[k], ends[min(k + FRAMES, len(starts)) - 1]
+        some = [np.array(x[k : k + FRAMES], np.int64) - first for x in (starts, ends)]
+        rows, _ = _decode_frames(buf[first : last + 16], *some)
+        for i, row in zip(owner[k : k + FRAMES], rows, strict=True):
             blocks[i].append(row)
     for i in set(range(len(streams))) - set(seekable):
         at, held = int(base[i]) + infos[i].frames, 0
         while held < infos[i].samples:
-            (row,), at = _decode_frames(buf, np.array([at], np.int64), None)
+            (row,), size = _decode_frames(buf[at : at + infos[i].most + 16], np.zeros(1, np.int64), None)
+            at += size
             blocks[i].append(row)
             held += len(row)
     for info, parts in zip(infos, blocks, strict=True):
@@ -413,7 +440,7 @@ def _covers(info: Info) -> bool:
     """Whether each frame has a seek point: points of fixed blocks one after the other from 0 on."""
     firsts = [a for a, _ in info.points]
     step = firsts[1] if len(firsts) > 1 else max(1, info.samples)
-    return firsts == list(range(0, info.samples, step)) and step <= 65535
+    return firsts == list(range(0, info.samples, step)) and step <= info.block
 
 
 def _decode_frames(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray | None):
@@ -457,46 +484,86 @@ def with_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return src.mapInArrow(run, src.select("doc_id").schema.add("n_bytes", "long").add("media", "binary"))
 
 
-def pcm_blocks(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """``doc_id, block, sample_offset, pcm``: the blocks of each stream with their offsets. A null stream has none."""
-    src = df.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media")).where("media IS NOT NULL")
+def _decoded(streams: list[bytes | None]) -> list[tuple[list[bytes] | None, str | None]]:
+    """The blocks of each stream, or what is wrong with it."""
+    try:
+        real = iter(decode([x for x in streams if x is not None]))
+        return [(None, None) if x is None else (next(real), None) for x in streams]
+    except (ValueError, IndexError) as wrong:
+        if len(streams) == 1:
+            return [(None, str(wrong) or "not a sound stream")]
+        return [y for x in streams for y in _decoded([x])]
+
+
+def with_pcm(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, media_bytes, media_sha256, sample_offset, pcm, problem``: the blocks of samples of each stream, and
+    the place in the stream of each block's first sample; columns named in ``carry`` stand behind the identifier.
+
+    A null stream has nulls. So has one that isn't sound, or isn't mono of 8 bits, but for its size and digest;
+    ``problem`` says why.
+    """
+    src = media.select(F.col(id_col).alias("doc_id"), *carry, F.col(media_col).alias("media"))
+    kinds = [pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.string()]
+    names = [*src.columns[:-1], "media_bytes", "media_sha256", "sample_offset", "pcm", "problem"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _grouped(batch, 1, 2 << 20):
-                rows = [(i, j, block) for i, blocks in enumerate(decode(part.column(1).to_pylist())) for j, block in enumerate(blocks)]
-                sizes = np.array([len(b) for _, _, b in rows], np.int64)
-                first = np.array([j == 0 for _, j, _ in rows], bool)
-                before = np.cumsum(sizes) - sizes
-                offset = before - np.maximum.accumulate(np.where(first, before, 0)) if len(rows) else before
-                ids = part.column(0).take(pa.array([i for i, _, _ in rows], pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([j for _, j, _ in rows], pa.int64()), pa.array(offset, pa.int64()), pa.array([b for _, _, b in rows], pa.binary())],
-                    ["doc_id", "block", "sample_offset", "pcm"],
-                )
+            at = batch.num_columns - 1
+            for part in _grouped(batch, at, 2 << 20):
+                rows = []
+                streams = part.column(at).to_pylist()
+                for raw, (blocks, problem) in zip(streams, _decoded(streams), strict=True):
+                    size, digest = (None, None) if raw is None else (len(raw), hashlib.sha256(raw).hexdigest())
+                    offsets = None if blocks is None else np.cumsum([0, *map(len, blocks)])[:-1].tolist()
+                    rows.append((size, digest, offsets, blocks, problem))
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], *columns], names)
 
-    return src.mapInArrow(run, src.select("doc_id").schema.add("block", "long").add("sample_offset", "long").add("pcm", "binary"))
+    schema = src.drop("media").schema.add("media_bytes", "long").add("media_sha256", "string")
+    return src.mapInArrow(run, schema.add("sample_offset", ArrayType(LongType())).add("pcm", ArrayType(BinaryType())).add("problem", "string"))
 
 
-def describe(media: DataFrame) -> DataFrame:
-    """Digests and features of streams read back: a row for each of ``with_media``."""
-    new = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+def pcm_blocks(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """``doc_id, block, sample_offset, pcm``: a row for each block. A null or unsound stream has none."""
+    blocks = with_pcm(df, id_col, media_col).select("doc_id", F.posexplode(F.arrays_zip("sample_offset", "pcm")).alias("block", "of"))
+    return blocks.select("doc_id", F.col("block").cast("long").alias("block"), "of.sample_offset", "of.pcm")
+
+
+def samples(first: int, count: int) -> Column:
+    """So many samples from a place on, of a row of ``with_pcm``: only the blocks that hold them are touched."""
+    blocks = F.filter(F.arrays_zip("sample_offset", "pcm"), lambda b: (b["sample_offset"] < first + count) & (b["sample_offset"] + F.octet_length(b["pcm"]) > first))
+    joined = F.aggregate(blocks, F.lit(b""), lambda held, b: F.concat(held, b["pcm"]))
+    return F.substring(joined, F.lit(first + 1) - F.try_element_at(blocks, F.lit(1))["sample_offset"].cast("int"), F.lit(count))
+
+
+def describe(pcm: DataFrame) -> DataFrame:
+    """``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature`` of rows of
+    ``with_pcm`` that carry ``n_bytes``; nulls where there are no blocks."""
+    new = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string())]
+
+    def one(blocks: list[bytes] | None) -> tuple:
+        if blocks is None:
+            return None, None, None, None
+        digest, size, peak, energy, crossings, before, tail = hashlib.sha256(), 0, 0, 0, 0, np.zeros(0, np.int64), b""
+        for i in range(0, len(blocks), FRAMES):
+            raw = b"".join(blocks[i : i + FRAMES])
+            s = np.frombuffer(raw, np.uint8).astype(np.int64) - 128
+            negative = np.concatenate([before, s]) < 0
+            crossings += int(np.count_nonzero(negative[1:] != negative[:-1]))
+            peak, energy, before, tail, size = max(peak, int(np.abs(s).max())), energy + int(s @ s), s[-1:], (tail + raw)[-64:], size + len(raw)
+            digest.update(raw)
+        return size, digest.hexdigest(), zlib.crc32(tail), f"rate={RATE};blocks={len(blocks)};peak={peak};energy={energy};crossings={crossings}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _grouped(batch, 2, 2 << 20):
-                streams = part.column(2).to_pylist()
-                rows = []
-                for raw, blocks in zip(streams, decode(streams), strict=True):
-                    payload = b"".join(blocks)
-                    s = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
-                    crossings = int(np.count_nonzero((s[1:] < 0) != (s[:-1] < 0)))
-                    feature = f"rate={RATE};blocks={len(blocks)};peak={int(np.abs(s).max())};energy={int(s @ s)};crossings={crossings}"
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature))
-                columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), new, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["doc_id", "n_bytes", *[name for name, _ in new]])
-
-    schema = media.select("doc_id", "n_bytes").schema
+            for part in _grouped(batch, 4, 8 << 20):
+                rows = [one(blocks.as_py()) for blocks in part.column(4)]
+                columns = [pa.array(c, kind) for c, (_, kind) in zip(zip(*rows, strict=True), new, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], *columns], ["doc_id", "n_bytes", "media_bytes", "media_sha256", *[name for name, _ in new]])
+
+    src = pcm.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "pcm")
+    schema = src.drop("pcm").schema
     for name, kind in new:
         schema = schema.add(name, "long" if kind == pa.int64() else "string")
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    out = src.mapInArrow(run, schema)
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from strataform.llm import bpe, chat, exact_dedup, flac, language_id, mixing, near_dedup, ngram, token_counts, token_store
-from strataform.llm.common import prepare, work_dir
+from strataform.llm.common import prepare, work_dir, written
 from strataform.session import table as stored
 
 
@@ -48,7 +48,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.describe(flac.with_media(table(spark, sf_dir, "documents")))
+    media = written(flac.with_media(table(spark, sf_dir, "documents")), "media")
+    return flac.describe(written(flac.with_pcm(media, carry=("n_bytes",)), "pcm"))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

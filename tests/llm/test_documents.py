@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 
 from strataform.llm import bpe, chat, common, exact_dedup, flac, language_id, mixing, token_counts, token_store
-from strataform.llm.common import Memo, get, unpack, work_dir
+from strataform.llm.common import Memo, get, unpack, work_dir, written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, start int, held_out string"
 ODD = ["", "  a  b ", "▁x▁ ▁y", "a\n\n b\tc", "<s> </s> <unk> hi", "日本語 テスト 🙂🙂", "don't it's I'LL", "x" * 3000, "\x1c a b", " ", "é,,, à;b ×÷ …,x", "<|endoftext|>a <|endoftext|> x,'s", "ab" * 2000 + " " * 50, "12 34!5"]
@@ -329,15 +329,43 @@ def test_flac(spark, docs, none):
     texts = defaultdict(list)
     for d, t, *_ in rows():
         texts[d].append(flac.payload_of(t))
-    for x in flac.describe(media).collect():
-        payload = texts[x.doc_id][0]
-        assert (x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    pcm = written(flac.with_pcm(written(media, "media"), carry=("n_bytes",)), "pcm")
+    raw = defaultdict(set)
+    for x in media.collect():
+        raw[x.doc_id].add(bytes(x.media))
+    for x in flac.describe(pcm).collect():
+        payload = next(p for p in texts[x.doc_id] if hashlib.sha256(p).hexdigest() == x.payload_sha256)
+        assert (x.payload_bytes, x.tail_crc32) == (len(payload), zlib.crc32(payload[-64:]))
+        assert x.n_bytes == len(payload.rstrip(b"\0")) and (x.media_bytes, x.media_sha256) in {(len(m), hashlib.sha256(m).hexdigest()) for m in raw[x.doc_id]}
+        s = [v - 128 for v in payload]
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(s, s[1:], strict=False))
+        assert x.feature == f"rate=8000;blocks={-(-len(payload) // 1024)};peak={max(map(abs, s))};energy={sum(v * v for v in s)};crossings={crossings}"
+    for first, count in ((0, 10), (1000, 50), (2047, 1), (2048, 600)):
+        for x in pcm.select("doc_id", flac.samples(first, count).alias("got")).where("doc_id = 7").collect():
+            assert bytes(x.got or b"") == texts[7][0][first : first + count]
     blocks = defaultdict(dict)
     for x in flac.pcm_blocks(media.where("doc_id < 60")).collect():
         assert x.sample_offset == x.block * flac.BLOCK
         blocks[x.doc_id][x.block] = bytes(x.pcm)
     assert all(b"".join(v for _, v in sorted(b.items())) == texts[d][0] for d, b in blocks.items()) and len(blocks) == 60
-    assert flac.describe(flac.with_media(none)).count() == 0
+    assert flac.describe(flac.with_pcm(flac.with_media(none), carry=("n_bytes",))).count() == 0
+    stereo = bytearray(streams[1])
+    stereo[20] |= 2
+    odd = spark.createDataFrame([(1, streams[4]), (2, bytes(broken)), (3, None), (4, b"RIFF"), (5, bytes(stereo)), (6, b"")], "doc_id int, media binary").repartition(1)
+    got = {x.doc_id: x for x in flac.with_pcm(odd).collect()}
+    assert b"".join(map(bytes, got[1].pcm)) == payloads[4] and got[1].problem is None and got[3].media_bytes is got[3].pcm is got[3].problem is None
+    assert all(got[k].pcm is None and got[k].problem and got[k].media_bytes is not None for k in (2, 4, 5, 6))
+
+
+def test_long_streams_go_in_batches(monkeypatch):
+    r = random.Random(9)
+    payloads = [r.randbytes(5000), b"abc " * 4000, b"\0" * 64, bytes(r.choices(b"etaoin shrdlu", k=30_000))]
+    whole = flac.encode(payloads)
+    monkeypatch.setattr(flac, "FRAMES", 3)
+    assert flac.encode(payloads) == whole and [b"".join(x) for x in flac.decode(whole)] == payloads
+    monkeypatch.setattr(flac, "POINTS", 4)  # not every frame has a seek point
+    few = flac.encode(payloads)
+    assert len(flac.Info(few[3]).points) <= 4 < len(flac.Info(whole[3]).points) and [b"".join(x) for x in flac.decode(few)] == payloads
 
 
 class Bits:
@@ -443,4 +471,4 @@ def test_operators_on_texts_without_a_break(spark):
     coded = bpe.round_trip(one, ranks, P.PATTERN).first()
     assert coded.decoded_sha256 == hashlib.sha256(b"ab" * 500_000).hexdigest()
     assert token_counts.count_tokens(one, model).first().n_bytes == 1_000_000
-    assert flac.describe(flac.with_media(one)).first().payload_bytes == 1_000_000
+    assert flac.describe(flac.with_pcm(flac.with_media(one), carry=("n_bytes",))).first().payload_bytes == 1_000_000
