@@ -1,13 +1,16 @@
 """Near-duplicate groups by MinHash bands and sequential Bayesian verification.
 
 1. Each text's shingle set becomes a signature. Sets that are equal become one class from the start.
-2. Bands of the signature make buckets. Within a bucket all members are paired with one leader, drawn anew
-   for each bucket, so that a document meets many leaders of its group.
+2. Bands of the signature make buckets; how many hashes a band has follows from the threshold. Within a bucket
+   all members are paired with one leader, drawn anew for each bucket, so that a document meets many leaders of
+   its group. A leader of many pairs is joined to them in several runs, so no task gets them all.
 3. A pair's signatures are compared batch by batch. It is dropped once the posterior probability that its
    similarity reaches the threshold is below the chosen miss probability. Survivors are verified on full sets.
 4. Verified links are contracted to components. Where buckets still hold several components, further rounds
    draw other leaders, and in the end members are paired across components. So members of one component cost
-   about a pair each, and no pair of different components that shares a bucket goes unseen.
+   about a pair each, and no pair of different components that shares a bucket goes unseen. A bucket too large
+   for that (documents around one passage, say) is dealt into buckets by shared rare shingles first: of two sets
+   at the threshold, each one's rarest shingles, a fifth at 0.8, have one in common.
 """
 
 from __future__ import annotations
@@ -26,11 +29,11 @@ from strataform.llm.common import get, pack, partitions, put, unpack, work_dir,
 from strataform.llm.components import components
 from strataform.llm.words import mix, shingle_set
 
-#: 40 bands of 6: a pair at 0.8 shares no band with a probability of 5e-6, one at 0.9 with 1e-13.
-BANDS, ROWS = 40, 6
-HASHES = BANDS * ROWS
+HASHES = 240
 BATCH = 40
 MISS = 1e-6
+#: Probability at most that a pair at the threshold shares no band.
+APART = 1e-5
 #: Rounds of new leaders before the members of a bucket are paired across components.
 ROUNDS = 2
 #: Members of a block of a bucket.
@@ -45,7 +48,17 @@ BROADCAST_IDS = 2_000_000
 _RANDOM = np.random.default_rng(20240229)
 _A = _RANDOM.integers(0, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RANDOM.integers(0, 1 << 32, HASHES, np.uint32)
-_BAND = _RANDOM.integers(0, 1 << 63, (BANDS, ROWS + 1), np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = _RANDOM.integers(0, 1 << 63, (2, HASHES), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+@lru_cache(maxsize=8)
+def band_rows(similarity: float) -> int:
+    """Hashes of a band: as many as let a pair at the threshold share a band, but for ``APART``. 6 at 0.8, where a
+    pair shares none of the 40 with a probability of 5e-6, and one at 0.9 with 1e-13."""
+    fit = [r for r in range(1, HASHES + 1) if HASHES % r == 0 and (1 - similarity**r) ** (HASHES // r) <= APART]
+    if not fit:
+        raise ValueError(f"a similarity of {similarity} is too low for {HASHES} hashes")
+    return max(fit)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -58,8 +71,9 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    return mix((sig.reshape(BANDS, ROWS).astype(np.uint64) * _BAND[:, :ROWS]).sum(1, dtype=np.uint64) + _BAND[:, ROWS]).view(np.int64)
+def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
+    """A key for each band, its number among what is hashed."""
+    return mix((sig * _BAND[0]).reshape(-1, rows).sum(1, dtype=np.uint64) + _BAND[1, : HASHES // rows]).view(np.int64)
 
 
 @lru_cache(maxsize=8)
@@ -83,7 +97,7 @@ def least_matches(similarity: float, miss: float) -> tuple[int, ...]:
     return tuple(out)
 
 
-def _sketches(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+def _sketches(df: DataFrame, id_col: str, text_col: str, words: int, band: int) -> DataFrame:
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +113,7 @@ def _sketches(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFram
                         continue
                     sig = signature(shingles)
                     digests.append(blake2b(shingles.tobytes(), digest_size=16).digest())
-                    bands.append(band_keys(sig))
+                    bands.append(band_keys(sig, band))
                     sigs.append(sig.astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
@@ -116,7 +130,7 @@ class _Pass:
         self.words, self.similarity = words, similarity
         self.percent = round(100 * similarity)
         self.texts_of = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        self.all = written(_sketches(df, id_col, text_col, words), "sketches")
+        self.all = written(_sketches(df, id_col, text_col, words, band_rows(similarity)), "sketches")
         classes = self.all.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
         self.classes = written(classes, "classes")
         own = self.classes.select(F.col("digest").alias("d"), "rep")
@@ -130,11 +144,29 @@ class _Pass:
         several = rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key")
         return written(rows.join(several, "key", "left_semi"), "buckets")
 
+    def beside(self, pairs: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
+        """Pairs ``a, b`` of leaders and members, with the row of ``one`` that has their ``a`` and that of ``two`` for ``b``.
+
+        What belongs to members travels, what belongs to a leader is sent to its pairs. Leaders of over
+        1 / (4 * partitions) of all pairs, which are few, have their pairs in several runs.
+        """
+        spark = pairs.sparkSession
+        pairs = written(pairs, "pairs")
+        least = max(1, pairs.count() // (4 * partitions(spark)))
+        counted = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+        hot = [(r.a, -(-r.n // least)) for r in counted.collect()]  # at most 4 * partitions + 3
+        if not hot:
+            return pairs.join(two, "b").join(one, "a")
+        hot = F.broadcast(spark.createDataFrame(hot, "a long, runs long"))
+        pairs = pairs.join(hot, "a", "left").withColumn("run", F.coalesce(F.pmod(F.xxhash64("b"), "runs"), F.lit(0).cast("long"))).drop("runs")
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("runs", F.lit(1).cast("long")) - 1))
+        return pairs.join(two, "b").join(one.join(hot, "a", "left").withColumn("run", every).drop("runs"), ["a", "run"])
+
     def close(self, pairs: DataFrame) -> DataFrame:
-        """``a, b, matches``: the pairs that signatures can't rule out, sizes first."""
+        """``a, b, matches``: the pairs of leaders and members that signatures can't rule out, sizes first."""
         p = self.percent
         one, two = (self.sets.select(F.col("rep").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in "ab")
-        both = pairs.join(one, "a").join(two, "b").where(f"100 * least(na, nb) >= {p} * greatest(na, nb)").select("a", "b", "sa", "sb")
+        both = self.beside(pairs, one, two).where(f"100 * least(na, nb) >= {p} * greatest(na, nb)").select("a", "b", "sa", "sb")
         least = least_matches(self.similarity, MISS)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +186,7 @@ class _Pass:
         """``a, b``: the pairs whose full sets reach the similarity."""
         words, percent = self.words, self.percent
         one, two = (self.texts.select(F.col("id").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
-        both = pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "ta", "tb")
+        both = self.beside(pairs.select("a", "b"), one, two).select("a", "b", "ta", "tb")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last, held = None, None
@@ -207,12 +239,13 @@ class _Pass:
         self.comps = written(moved.union(new.join(self.comps, "node", "left_anti")), "components")
 
     def settle(self, close: DataFrame) -> None:
-        """Finds the links among close pairs. First one pair for each document, the likeliest; then those that still matter."""
-        best = Window.partitionBy("b").orderBy(F.desc("matches"), "a")  # with leaders only, b is in a pair for each band at most
-        close = written(close.withColumn("nth", F.row_number().over(best)), "close-pairs")
+        """Finds the links among close pairs. First one pair for each member, the likeliest; then those that still matter."""
+        close = written(close, "close-pairs")
         self.pick_texts(close.select(F.col("a").alias("id")).union(close.select("b")).distinct())
-        self.add(written(self.verify(close.where("nth = 1")), "links"))
-        self.add(written(self.verify(self.labelled(close.where("nth <> 1"), "a", "b").where("ca <> cb")), "links"))
+        first = close.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a"))
+        self.add(written(self.verify(first.select("a", "b")), "links"))
+        rest = close.join(first.withColumnRenamed("a", "first"), "b").where("a <> first").select("a", "b")
+        self.add(written(self.verify(self.labelled(rest, "a", "b").where("ca <> cb")), "links"))
 
     def run(self) -> None:
         """Rounds of random leaders, then all pairs across components of the buckets that still have several."""
@@ -221,14 +254,51 @@ class _Pass:
             chosen = buckets.groupBy("key").agg(F.min_by("rep", F.xxhash64("key", "rep", F.lit(turn))).alias("leader"))
             pairs = buckets.join(chosen, "key").where("rep <> leader").select("rep", "leader")
             pairs = self.labelled(pairs, "rep", "leader").where("crep <> cleader") if turn else pairs
-            self.settle(self.close(pairs.select(F.greatest("rep", "leader").alias("b"), F.least("rep", "leader").alias("a")).distinct()))
+            self.settle(self.close(pairs.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()))
             sizes = self.labelled(buckets, "rep").groupBy("key", "crep").agg(F.count(F.lit(1)).alias("n"))
             several = written(sizes.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", "n"), "open-keys")
             buckets = written(buckets.select("key", "rep").join(several, "key").select("key", "rep", "n"), "open-buckets")
             if buckets.isEmpty():
                 return
+        large = buckets.where(F.col("n") > BLOCK).select("rep").distinct()
+        large = written(large, "large-buckets")
+        if not large.isEmpty():
+            buckets = written(buckets.where(F.col("n") <= BLOCK).select("key", "rep", "n").unionByName(self.by_rare_shingles(large)), "open-buckets")
         self.add(written(self.across(buckets), "links"))
 
+    def by_rare_shingles(self, ids: DataFrame) -> DataFrame:
+        """``key, rep, n``: buckets in which any two of these sets that reach the similarity are together.
+
+        Of two such sets, in one order of all shingles, the first |set| - least(|set|) + 1 of each have one in common,
+        where least is what the intersection must have at least. Rare shingles come first in the order; so buckets
+        are small, unless sets have nothing but what many have.
+        """
+        words, percent = self.words, self.percent
+        ids = ids.select(F.col("rep").alias("id"))
+        self.pick_texts(ids)
+        rows = self.texts.join(ids, "id", "left_semi").select("id", "text")
+
+        def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    found = shingle_set(text.as_py(), words)
+                    for at in range(0, len(found), PAIRS):
+                        part = found[at : at + PAIRS].view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), i)), pa.array(np.full(len(part), len(found)))], ["a", "b", "size"])
+
+        found = rows.mapInArrow(shingles, "a long, b long, size long")
+        found = written(found, "shingles")
+        often = written(found.groupBy("a").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "shared-shingles")
+        sizes = found.groupBy("b").agg(F.max("size").alias("size"))
+        shared = written(self.beside(found.select("a", "b"), often, sizes).select("a", "b", "sets", "size"), "shared")
+        # Shingles that one set alone has come before these in the order.
+        alone = F.col("size") - F.count(F.lit(1)).over(Window.partitionBy("b"))
+        place = F.row_number().over(Window.partitionBy("b").orderBy("sets", "a")) + alone
+        kept = shared.withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1)
+        kept = written(self.labelled(kept.select(F.col("a").alias("key"), F.col("b").alias("rep")), "rep"), "prefixes")
+        several = kept.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("crep").alias("lo"), F.max("crep").alias("hi")).where("lo <> hi").select("key", "n")
+        return kept.select("key", "rep").join(several, "key").select("key", "rep", "n")
+
     def store_sets(self, ids: DataFrame) -> tuple[str, int]:
         """Writes the shingle sets of identifiers to files of the shared folder, from which any task can fetch one."""
         spark, words = ids.sparkSession, self.words

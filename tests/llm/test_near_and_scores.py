@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from strataform.llm import near_dedup, ngram
+from strataform.llm.common import written
 from strataform.llm.components import components
 from strataform.llm.elias_fano import EliasFano
 
@@ -75,6 +76,63 @@ def test_groups_are_those_of_brute_force(spark, seed, n, block, monkeypatch):
     assert all(x.kept == (d == x.component_id) for d, x in got.items())
 
 
+def test_groups_around_one_passage(spark, monkeypatch):
+    """A bucket of many that aren't alike, but for a few: dealt by rare shingles, not compared all with all."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    r = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    passage = r.choices(vocabulary, k=120)
+    docs = []
+    for family in range(90):
+        own = r.choices(vocabulary, k=60)
+        for copy in range(3 if family % 9 == 0 else 1):
+            docs.append((len(docs) * 7 % 1001, " ".join([*passage, *own[: 60 - copy]])))
+    want = groups(docs, 5)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    work = near_dedup._Pass(df, "doc_id", "text", 5, 0.8)
+    large = written(work.sets.select("rep"), "test")
+    dealt = work.by_rare_shingles(large).collect()
+    assert {x.key for x in dealt} and max(x.n for x in dealt) <= 16
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.label_groups(df).collect()}
+    assert got == want and len({c for _, c in want.values()}) == 90
+
+
+@pytest.mark.parametrize("similarity", [0.3, 0.5, 0.7, 0.9])
+def test_links_of_other_thresholds_are_found(spark, similarity):
+    r = random.Random(int(similarity * 100))
+    docs, linked = [], 0
+    for k in range(60):
+        own = [f"p{k}w{i}" for i in range(200)]
+        cut = int(200 * (1 - similarity) / (1 + similarity)) - r.randint(0, 3)
+        docs += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own[:-cut] + [f"q{k}w{i}" for i in range(cut)]))]
+    want = groups(docs, 1, round(100 * similarity))
+    linked = sum(c != d for d, (_, c) in want.items())
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    got = {x.doc_id: x.component_id for x in near_dedup.label_groups(df, words=1, similarity=similarity).collect()}
+    assert linked >= 45 and all(got[d] in (c, d) for d, (_, c) in want.items())
+    assert sum(got[d] == c != d for d, (_, c) in want.items()) >= 0.99 * linked
+
+
+def test_bands_follow_from_the_threshold():
+    assert near_dedup.band_rows(0.8) == 6 and near_dedup.band_rows(0.5) == 2
+    for t in (0.1, 0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 0.99):
+        rows = near_dedup.band_rows(t)
+        assert (1 - t**rows) ** (near_dedup.HASHES // rows) <= 1e-5
+    with pytest.raises(ValueError):
+        near_dedup.band_rows(0.01)
+
+
+@pytest.mark.parametrize("shape", ["hot", "even"])
+def test_pairs_of_a_hot_leader_are_dealt(spark, shape):
+    df = spark.createDataFrame([(i, f"a b c {i // 2}") for i in range(6)], "doc_id long, text string")
+    work = near_dedup._Pass(df, "doc_id", "text", 5, 0.8)
+    pairs = [(1 if shape == "hot" and i % 3 else i, i + 1000) for i in range(900)]
+    one = spark.createDataFrame([(i, f"x{i}") for i in range(900)], "a long, ta string")
+    two = spark.createDataFrame([(i + 1000, f"y{i}") for i in range(900)], "b long, tb string")
+    got = work.beside(spark.createDataFrame(pairs, "a long, b long"), one, two)
+    assert sorted((x.a, x.b, x.ta, x.tb) for x in got.collect()) == sorted((a, b, f"x{a}", f"y{b - 1000}") for a, b in pairs)
+
+
 def test_groups_of_odd_rows(spark):
     long = " ".join(f"x{i}" for i in range(30_000))
     docs = [(5, None, "a"), (6, "", "b"), (7, " \t\n", "c"), (8, "one", "d"), (4, "ONE", "e"), (9, "one two", "f"), (10, long, "g"), (11, long + " y", "h"), (None, "one", "i"), (12, "one", "j"), (12, "one", "j"), (13, "one\x85two\xa0", "k")]
