@@ -147,7 +147,7 @@ add(116, "toUUID", lambda s: F.when(s.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}
 add(117, "toString", lambda a: a.cast("string"), "j", "s", "CAST(j AS VARCHAR)")
 add(118, "toFixedString", lambda s, n: F.rpad(s, n, "\0"), "s ; 16", "s", "rpad(s, 16, chr(0))")
 add(119, "toUnixTimestamp", lambda a: F.unix_seconds(a.cast("timestamp")), "ts", "l", "epoch(ts)")
-add(120, "CAST", lambda a, kind="string": a.cast(kind if isinstance(kind, str) else "string"), "i", "s", "CAST(i AS VARCHAR)")
+add(120, "CAST", lambda a, kind="string": a.cast(kind), "i", "s", "CAST(i AS VARCHAR)", constants=1)
 add(129, "toFloat32OrZero", or_zero(parse_real("float"), lambda: F.lit(0.0).cast("float")), "sn", "d", "coalesce(" + _FLOAT.format("FLOAT") + ", 0)")
 add(130, "toFloat64OrZero", or_zero(parse_real("double"), lambda: F.lit(0.0)), "sn", "d", "coalesce(" + _FLOAT.format("DOUBLE") + ", 0)")
 add(131, "toDateOrZero", or_zero(parse_date, lambda: F.lit("1970-01-01").cast("date")), "sd", "D", "coalesce(TRY_CAST(sd AS DATE), DATE '1970-01-01')")
@@ -184,10 +184,10 @@ for k, unit in enumerate(("second", "minute", "hour", "day", "week", "month", "y
     add(150 + k, f"toInterval{unit.capitalize()}", build, "j ; ts", "T", f"ts + to_{unit}s(CAST(j AS INTEGER))")
 
 add(157, "fromUnixTime", lambda a: F.when(a >= 0, F.timestamp_seconds(a)).cast("timestamp_ntz"), "bi", "T", "CASE WHEN bi >= 0 THEN make_timestamp(bi * 1000000) END")
-add(158, "dateFormat", lambda ts, fmt="%Y/%m/%d %H-%i-%s %j": date_format(fmt)(ts), "ts", "s", "strftime(ts, '%Y/%m/%d %H-%M-%S %j')")
+add(158, "dateFormat", lambda ts, fmt="%Y/%m/%d %H-%i-%s %j": date_format(fmt)(ts), "ts", "s", "strftime(ts, '%Y/%m/%d %H-%M-%S %j')", constants=1)
 add(159, "getFormat", get_format, "CASE id % 3 WHEN 0 THEN 'date' WHEN 1 THEN 'TIME' ELSE 'DATETIME' END ; CASE id % 2 WHEN 0 THEN 'USA' ELSE 'EUR' END", "s", "CASE id % 6 WHEN 0 THEN '%m.%d.%Y' WHEN 1 THEN '%H.%i.%s' WHEN 2 THEN '%Y-%m-%d %H.%i.%s' WHEN 3 THEN '%d.%m.%Y' WHEN 4 THEN '%h:%i:%s %p' ELSE '%Y-%m-%d %H.%i.%s' END")
 add(160, "tidbUnixTimeStampInt", lambda ts: F.unix_seconds(ts.cast("timestamp")), "ts", "l", "epoch(ts)")
 add(161, "tidbUnixTimeStampDec", lambda ts: (F.unix_micros(ts.cast("timestamp")) / F.lit(1000000)).cast("decimal(18,6)"), "ts", "d", "epoch(ts)")
-add(162, "strToDateDate", lambda s, fmt="%d/%m/%Y": str_to_time(fmt, "date")(s), "date_format(d, 'dd/MM/yyyy')", "D", "d")
-add(163, "strToDateDatetime", lambda s, fmt="%d/%m/%Y %H:%i:%s": str_to_time(fmt, "timestamp_ntz")(s), "date_format(ts, 'dd/MM/yyyy HH:mm:ss')", "T", "ts")
+add(162, "strToDateDate", lambda s, fmt="%d/%m/%Y": str_to_time(fmt, "date")(s), "date_format(d, 'dd/MM/yyyy')", "D", "d", constants=1)
+add(163, "strToDateDatetime", lambda s, fmt="%d/%m/%Y %H:%i:%s": str_to_time(fmt, "timestamp_ntz")(s), "date_format(ts, 'dd/MM/yyyy HH:mm:ss')", "T", "ts", constants=1)
 add(164, "tidb_cast", lenient_int, "sn", "l", "CASE WHEN sn IS NOT NULL THEN coalesce(TRY_CAST(nullif(regexp_extract(sn, '^\\s*([-+]?[0-9]+)', 1), '') AS BIGINT), 0) END")

@@ -18,6 +18,8 @@ KINDS = {
     "b": ("CAST({} AS BOOLEAN)", lambda c: c.cast("boolean")),
     "D": ("CAST({} AS DATE)", lambda c: c.cast("date")),
     "T": ("strftime({}, '%Y-%m-%d %H:%M:%S')", lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")),
+    "V": ("list_transform({}, lambda x: round(x::DOUBLE, 6))", lambda c: F.transform(c, lambda x: F.round(x.cast("double"), 6))),
+    "x": ("UPPER({})", lambda c: F.hex(c)),
 }
 
 #: Sample rows by name: table, then columns for Spark, and for the SQL where they differ.
@@ -86,7 +88,11 @@ SAMPLES = {
 
 @dataclass
 class Function:
-    """``build`` makes the Column from argument Columns."""
+    """``build`` makes the Column from argument Columns, and from constants from the argument ``constants`` on.
+
+    Formats, units, paths and the like are constants: plain Python values. What the sample query passes for them
+    is in ``given``.
+    """
 
     row: int
     name: str
@@ -95,9 +101,15 @@ class Function:
     kind: str
     sql: str | None
     sample: str = "o"
+    constants: int | None = None
+    given: tuple = ()
 
     def __call__(self, *args) -> Column:
-        return self.build(*[a if isinstance(a, Column) else F.lit(a) for a in args])
+        at = len(args) if self.constants is None else self.constants
+        for k, a in enumerate(args[at:], at + 1):
+            if isinstance(a, Column):
+                raise TypeError(f"argument {k} of {self.name} is a constant: pass a plain value, not a Column")
+        return self.build(*[a if isinstance(a, Column) else F.lit(a) for a in args[:at]], *args[at:])
 
     @property
     def query_name(self) -> str:
@@ -106,7 +118,7 @@ class Function:
     def query(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = sample(spark, sf_dir, self.sample)
         args = [F.expr(a) for a in self.args.split(" ; ")] if self.args else []
-        return rows.select("id", KINDS[self.kind][1](self.build(*args)).alias("v"))
+        return rows.select("id", KINDS[self.kind][1](self(*args, *self.given)).alias("v"))
 
     @property
     def oracle(self) -> str | None:
@@ -125,10 +137,10 @@ def sample(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     return table(spark, sf_dir, name).selectExpr(*[f"{x} AS {k}" for k, x in columns.items()])
 
 
-def add(row: int, name: str, build: Callable[..., Column], args: str, kind: str, sql: str | None, sample: str = "o") -> None:
+def add(row: int, name: str, build: Callable[..., Column], args: str, kind: str, sql: str | None, sample: str = "o", constants: int | None = None, given: tuple = ()) -> None:
     if name in CATALOGUE:
         raise ValueError(f"{name} is there already")
-    CATALOGUE[name] = Function(row, name, build, args, kind, sql, sample)
+    CATALOGUE[name] = Function(row, name, build, args, kind, sql, sample, constants, given)
 
 
 def unsigned(c: Column) -> Column:

@@ -80,11 +80,13 @@ def duration_part(low: int, size: int | None):
     return build
 
 
-def now(**_):
-    return F.current_timestamp()
+def clock(fsp: int = 0):
+    """The time of the query, with so many digits of a second."""
+    if not 0 <= fsp <= 6:
+        raise ValueError("0 to 6 digits")
+    return F.timestamp_micros(F.floor(F.unix_micros(F.current_timestamp()) / 10 ** (6 - fsp)).cast("long") * 10 ** (6 - fsp)).cast("timestamp_ntz")
 
 
-_PAST = "1 = 1"
 add(165, "ConvertTimeZoneFromUTC", lambda ts, tz: F.from_utc_timestamp(ts, tz).cast("timestamp_ntz"), "ts ; 'Asia/Shanghai'", "T", "ts + INTERVAL 8 HOUR")
 add(166, "ConvertTimeZoneToUTC", lambda ts, tz: F.to_utc_timestamp(ts, tz).cast("timestamp_ntz"), "ts ; 'Asia/Shanghai'", "T", "ts - INTERVAL 8 HOUR")
 add(167, "ConvertTimeZoneByOffsetFromUTC", lambda ts, n: ts + span(secs=n), "ts ; n", "T", "ts + to_seconds(n)")
@@ -116,9 +118,9 @@ add(192, "toRelativeHourNum", lambda ts: F.floor(seconds(ts) / 3600), "ts", "l",
 add(193, "toRelativeMinuteNum", lambda ts: F.floor(seconds(ts) / 60), "ts", "l", "floor(epoch(ts) / 60)")
 add(194, "toRelativeSecondNum", seconds, "ts", "l", "epoch(ts)")
 add(195, "toTime", lambda ts: from_seconds(F.pmod(seconds(ts), F.lit(86400))), "ts", "T", "TIMESTAMP '1970-01-01' + (ts - date_trunc('day', ts))")
-add(196, "now", lambda since=None: F.current_timestamp() if since is None else F.current_timestamp() >= since.cast("timestamp"), "ts", "b", _PAST)
-add(197, "today", lambda since=None: F.current_date() if since is None else F.current_date() >= since, "d", "b", _PAST)
-add(198, "yesterday", lambda since=None: F.date_sub(F.current_date(), 1) if since is None else F.date_sub(F.current_date(), 1) >= since, "d", "b", _PAST)
+add(196, "now", clock, "", "D", "CURRENT_DATE", constants=0)
+add(197, "today", F.current_date, "", "D", "CURRENT_DATE")
+add(198, "yesterday", lambda: F.date_sub(F.current_date(), 1), "", "D", "CURRENT_DATE - 1")
 add(199, "timeSlot", floor_to(1800), "ts", "T", "time_bucket(INTERVAL 30 MINUTE, ts)")
 
 
@@ -146,12 +148,12 @@ for k, (name, move, unit) in enumerate(
 ):
     add(206 + k, f"add{name}", move, "ts ; j", "T", f"ts + to_{unit}(j)")
     add(213 + k, f"subtract{name}", (lambda f: lambda ts, n: f(ts, -n))(move), "ts ; j", "T", f"ts + to_{unit}(-j)")
-add(220, "sysDateWithFsp", lambda since=None: F.current_timestamp() if since is None else F.current_timestamp() >= since.cast("timestamp"), "ts", "b", _PAST)
-add(221, "sysDateWithoutFsp", lambda since=None: F.date_trunc("SECOND", F.current_timestamp()) if since is None else F.date_trunc("SECOND", F.current_timestamp()) >= since.cast("timestamp"), "ts", "b", _PAST)
-add(222, "dateDiff", lambda a, b, unit="DAY": diff(unit)(a, b), "ts ; ts2", "l", "date_sub('day', ts, ts2)")
-add(223, "tidbTimestampDiff", lambda a, b, unit="MONTH": timestamp_diff(unit)(a, b), "ts ; ts2", "l", "(year(ts2) - year(ts)) * 12 + month(ts2) - month(ts) - CASE WHEN ts <= ts2 AND strftime(ts2, '%d%H%M%S%f') < strftime(ts, '%d%H%M%S%f') THEN 1 WHEN ts > ts2 AND strftime(ts2, '%d%H%M%S%f') > strftime(ts, '%d%H%M%S%f') THEN -1 ELSE 0 END")
-add(224, "extractMyDateTime", lambda ts, unit="DAY_MINUTE": extract(unit)(ts), "ts", "l", "CAST(strftime(ts, '%d%H%M') AS BIGINT)")
-add(225, "extractMyDateTimeFromString", lambda s, unit="YEAR_MONTH": extract(unit)(s.try_cast("timestamp_ntz")), "st", "l", "CAST(strftime(TRY_CAST(st AS TIMESTAMP), '%Y%m') AS BIGINT)")
+add(220, "sysDateWithFsp", clock, "", "D", "CURRENT_DATE", constants=0, given=(3,))
+add(221, "sysDateWithoutFsp", lambda: clock(0), "", "D", "CURRENT_DATE")
+add(222, "dateDiff", lambda a, b, unit="DAY": diff(unit)(a, b), "ts ; ts2", "l", "date_sub('day', ts, ts2)", constants=2)
+add(223, "tidbTimestampDiff", lambda a, b, unit="MONTH": timestamp_diff(unit)(a, b), "ts ; ts2", "l", "(year(ts2) - year(ts)) * 12 + month(ts2) - month(ts) - CASE WHEN ts <= ts2 AND strftime(ts2, '%d%H%M%S%f') < strftime(ts, '%d%H%M%S%f') THEN 1 WHEN ts > ts2 AND strftime(ts2, '%d%H%M%S%f') > strftime(ts, '%d%H%M%S%f') THEN -1 ELSE 0 END", constants=2)
+add(224, "extractMyDateTime", lambda ts, unit="DAY_MINUTE": extract(unit)(ts), "ts", "l", "CAST(strftime(ts, '%d%H%M') AS BIGINT)", constants=1)
+add(225, "extractMyDateTimeFromString", lambda s, unit="YEAR_MONTH": extract(unit)(s.try_cast("timestamp_ntz")), "st", "l", "CAST(strftime(TRY_CAST(st AS TIMESTAMP), '%Y%m') AS BIGINT)", constants=1)
 add(226, "tidbDateDiff", F.date_diff, "d ; d2", "l", "date_diff('day', d2, d)")
 add(227, "tidbDayOfWeek", F.dayofweek, "d", "l", "dayofweek(d) + 1")
 add(228, "tidbDayOfYear", F.dayofyear, "d", "l", "dayofyear(d)")
@@ -180,4 +182,4 @@ def extract_duration(iv, unit="HOUR_SECOND"):
     return out * F.when(total_seconds(iv) < 0, -1).otherwise(1)
 
 
-add(241, "extractMyDuration", extract_duration, "-iv", "l", "-(ivh * 10000 + ivm * 100 + ivx)")
+add(241, "extractMyDuration", extract_duration, "-iv", "l", "-(ivh * 10000 + ivm * 100 + ivx)", constants=1)

@@ -10,35 +10,66 @@ from pyspark.sql import functions as F
 
 from strataform.functions.core import add
 
-_STEP = re.compile(r'\.\*|\.("(?:[^"\\]|\\.)*"|[A-Za-z_$][\w$]*)|\[\*\]|\[(\d+)\]|(\*\*)')
+_STEP = re.compile(r'\.\*|\.("(?:[^"\\]|\\.)*"|[A-Za-z_$][\w$]*)|\[\*\]|\[(\d+|last(?:\s*-\s*\d+)?)(?:\s+to\s+(\d+|last(?:\s*-\s*\d+)?))?\]|(\*\*)')
+
+
+def _index(text: str, size: int) -> int:
+    """Of an element, counted from the end after ``last``."""
+    return size - 1 - int(text[4:].strip(" -") or 0) if text.startswith("last") else int(text)
 
 
 def _load(s) -> list:
-    """The value alone in a list, or nothing."""
+    """The value alone in a list, or nothing. What is nested deeper than the parser goes is no value."""
     try:
         return [json.loads(s)] if isinstance(s, str) else []
-    except ValueError:
+    except (ValueError, RecursionError):
         return []
 
 
-def dump(v) -> str:
+def _ordered(names) -> list[str]:
     """Keys by length, then by bytes, as the reference stores objects."""
-    if isinstance(v, dict):
-        keys = sorted(v, key=lambda k: (len(k.encode()), k.encode()))
-        return "{" + ", ".join(f"{json.dumps(k, ensure_ascii=False)}: {dump(v[k])}" for k in keys) + "}"
-    if isinstance(v, list):
-        return "[" + ", ".join(map(dump, v)) + "]"
-    return json.dumps(v, ensure_ascii=False)
+    return sorted(names, key=lambda k: (len(k.encode()), k.encode()))
+
+
+def dump(v) -> str:
+    """Of any depth: what is still to write is on a stack, texts as they are, values in a list of their own."""
+    out, todo = [], [[v]]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        (x,) = x
+        parts: list = []
+        if isinstance(x, dict):
+            for k in _ordered(x):
+                parts += [", " if parts else "{", json.dumps(k, ensure_ascii=False) + ": ", [x[k]]]
+            parts = [*parts, "}"] if parts else ["{}"]
+        elif isinstance(x, list):
+            for y in x:
+                parts += [", " if parts else "[", [y]]
+            parts = [*parts, "]"] if parts else ["[]"]
+        else:
+            parts = [json.dumps(x, ensure_ascii=False)]
+        todo += reversed(parts)
+    return "".join(out)
+
+
+def _inside(v) -> list:
+    return list(v.values()) if isinstance(v, dict) else v if isinstance(v, list) else []
 
 
 def _below(v):
-    yield v
-    for x in v.values() if isinstance(v, dict) else v if isinstance(v, list) else ():
-        yield from _below(x)
+    """A value and all in it, depth first."""
+    todo = [v]
+    while todo:
+        x = todo.pop()
+        yield x
+        todo += reversed(_inside(x))
 
 
 def walk(v, path: str) -> tuple[list, bool]:
-    """Values at a path, and whether the path has a wildcard. A scalar is its own element 0."""
+    """Values at a path, and whether the path has a wildcard or a range. A scalar is its own element 0."""
     found, wild, at = [v], False, 1
     while at < len(path):
         m = _STEP.match(path, at)
@@ -49,11 +80,13 @@ def walk(v, path: str) -> tuple[list, bool]:
             wild, found = True, [y for x in found if isinstance(x, dict) for y in x.values()]
         elif m[0] == "[*]":
             wild, found = True, [y for x in found if isinstance(x, list) for y in x]
-        elif m[3]:
+        elif m[4]:
             wild, found = True, [y for x in found for y in _below(x)]
         elif m[2]:
-            i = int(m[2])
-            found = [x[i] if isinstance(x, list) else x for x in found if (i < len(x) if isinstance(x, list) else i == 0)]
+            wild |= bool(m[3])
+            lists = [x if isinstance(x, list) else [x] for x in found]
+            spans = [(_index(m[2], len(x)), _index(m[3] or m[2], len(x))) for x in lists]
+            found = [y for x, (i, j) in zip(lists, spans, strict=True) for y in x[max(i, 0) : max(j + 1, 0)] if i >= 0 or m[3]]
         else:
             key = json.loads(m[1]) if m[1][0] == '"' else m[1]
             found = [x[key] for x in found if isinstance(x, dict) and key in x]
@@ -88,8 +121,10 @@ def json_unquote(js):
 
 
 def depth(v) -> int:
-    below = v.values() if isinstance(v, dict) else v if isinstance(v, list) else ()
-    return 1 + max(map(depth, below), default=0)
+    levels, now = 0, [v]
+    while now:
+        levels, now = levels + 1, [y for x in now for y in _inside(x)]
+    return levels
 
 
 def contains_path(js, how: str, *paths: str):
@@ -100,30 +135,30 @@ def contains_path(js, how: str, *paths: str):
 def keys(js, path: str = "$"):
     def one(v):
         found, _ = walk(v, path)
-        return dump(sorted(found[0], key=lambda k: (len(k.encode()), k.encode()))) if found and isinstance(found[0], dict) else None
+        return dump(_ordered(found[0])) if found and isinstance(found[0], dict) else None
 
     return _over(one, "string")(js)
 
 
-def _values(cs):
-    return [F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}) for c in cs]
+def _json(c):
+    """A SQL value as JSON text, whatever its length."""
+    text = F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
+    return F.substr(text, F.lit(6), F.char_length(text) - 6)
 
 
 def json_array(*cs):
     """From SQL values: strings are JSON strings, NULL is null."""
-    inner = [F.regexp_extract(x, r'^\{"v":(.*)\}$', 1) for x in _values(cs)]
-    return F.concat(F.lit("["), F.concat_ws(", ", *inner), F.lit("]"))
+    return F.concat(F.lit("["), F.concat_ws(", ", *map(_json, cs)), F.lit("]"))
 
 
 def json_object(*cs):
     """From keys and values in turn, keys by length and bytes; the last of equal keys counts."""
-    pairs = F.concat_ws(", ", *[F.concat(F.to_json(F.struct(k.cast("string").alias("v"))).substr(6, 1 << 20), F.lit("\x01"), F.regexp_extract(v, r'^\{"v":(.*)\}$', 1)) for k, v in zip(cs[::2], _values(cs[1::2]), strict=True)])
-    text = F.concat(F.lit("{"), F.regexp_replace(pairs, "\\}\x01", ": "), F.lit("}"))
-    return _over(dump, "string")(text)
+    pairs = [F.concat(_json(k.cast("string")), F.lit(": "), _json(v)) for k, v in zip(cs[::2], cs[1::2], strict=True)]
+    return _over(dump, "string")(F.concat(F.lit("{"), F.concat_ws(", ", *pairs), F.lit("}")))
 
 
 def scalar_json(c):
-    return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'^\{"v":(.*)\}$', 1)
+    return F.when(c.isNotNull(), _json(c))
 
 
 def duration_text(iv):
@@ -133,7 +168,7 @@ def duration_text(iv):
     return F.concat(F.when(iv.cast("interval second").cast("decimal(18,6)") < 0, "-").otherwise(""), text)
 
 
-add(270, "json_extract", lambda js, *p: json_extract(js, *(p or ("$.a[2].b",))), "js", "s", "CASE WHEN id % 6 = 1 THEN '3' END", "e")
+add(270, "json_extract", lambda js, *p: json_extract(js, *(p or ("$.a[2].b",))), "js", "s", "CASE WHEN id % 6 = 1 THEN '3' END", "e", constants=1)
 add(271, "json_unquote", json_unquote, "js", "s", "CASE WHEN id % 6 = 3 THEN 'text' ELSE js END", "e")
 add(272, "cast_json_as_string", _over(dump, "string"), "js", "s", "CASE id % 6 WHEN 2 THEN '[1, \"two\", null]' ELSE js END", "e")
 add(273, "jsonLength", _over(lambda v: len(v) if isinstance(v, dict | list) else 1, "long"), "js", "l", "CASE id % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 1 WHEN 4 THEN 1 END", "e")
@@ -143,16 +178,16 @@ add(276, "cast_json_as_json", lambda js: js, "js", "s", "js", "e")
 add(277, "cast_real_as_json", scalar_json, "v", "d", "v", "e")
 add(278, "cast_decimal_as_json", lambda d: scalar_json(d.cast("double")), "CAST(v AS DECIMAL(12,2))", "d", "v", "e")
 add(279, "cast_int_as_json", scalar_json, "k", "s", "CAST(k AS VARCHAR)", "e")
-add(280, "cast_string_as_json", lambda s, parse=False: F.when(s.isNotNull(), s if parse else F.substring(scalar_json(s), 1, 1 << 20)), "et", "s", "'\"' || et || '\"'", "e")
+add(280, "cast_string_as_json", lambda s, parse=False: s if parse else scalar_json(s), "et", "s", "'\"' || et || '\"'", "e", constants=1)
 add(281, "cast_time_as_json", lambda ts: F.concat(F.lit('"'), F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit('"')), "ts", "s", "'\"' || strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || '\"'")
 add(282, "cast_duration_as_json", lambda iv: F.concat(F.lit('"'), duration_text(iv), F.lit('"')), "iv", "s", "printf('\"%02d:%02d:%02d.000000\"', ivh, ivm, ivx)")
 add(283, "json_depth", _over(depth, "long"), "js", "l", "CASE id % 6 WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 2 WHEN 3 THEN 1 WHEN 4 THEN 1 END", "e")
-add(284, "json_contains_path", lambda js, how="one", *p: contains_path(js, how, *(p or ("$.k", "$.kk"))), "js", "b", "CASE WHEN id % 6 < 5 THEN id % 6 < 2 END", "e")
+add(284, "json_contains_path", lambda js, how="one", *p: contains_path(js, how, *(p or ("$.k", "$.kk"))), "js", "b", "CASE WHEN id % 6 < 5 THEN id % 6 < 2 END", "e", constants=1)
 add(285, "json_valid_others", lambda c: F.when(c.isNotNull(), F.lit(False)), "k", "b", "false", "e")
 add(286, "json_valid_json", lambda c: F.when(c.isNotNull(), F.lit(True)), "js", "b", "CASE WHEN js IS NOT NULL THEN true END", "e")
 add(287, "json_valid_string", lambda s: F.when(s.isNotNull(), F.coalesce(_over(lambda v: True, "boolean")(s), F.lit(False))), "jt", "b", "json_valid(jt)", "e")
 add(288, "json_keys", keys, "js", "s", "CASE id % 6 WHEN 0 THEN '[\"k\"]' WHEN 1 THEN '[\"a\", \"kk\"]' END", "e")
-add(289, "json_keys_2_args", lambda js, path="$.a[2]": keys(js, path), "js", "s", "CASE WHEN id % 6 = 1 THEN '[\"b\"]' END", "e")
+add(289, "json_keys_2_args", lambda js, path="$.a[2]": keys(js, path), "js", "s", "CASE WHEN id % 6 = 1 THEN '[\"b\"]' END", "e", constants=1)
 
 # --- geography
 
@@ -182,8 +217,8 @@ def in_polygon(x, y, points):
 
 
 add(313, "greatCircleDistance", great_circle, "h ; z * 50 ; CAST(i AS DOUBLE) ; h", "d", f"2 * {RADIUS} * asin(sqrt(pow(sin(radians(h - z * 50) / 2), 2) + cos(radians(z * 50)) * cos(radians(h)) * pow(sin(radians(i - h) / 2), 2)))")
-add(314, "pointInEllipses", lambda x, y, *e: in_ellipses(x, y, *(e or ((0, 0, 2, 3), (5, 5, 1, 1)))), "h ; i", "b", "pow(h / 2, 2) + pow(i / 3.0, 2) <= 1 OR pow(h - 5, 2) + pow(i - 5, 2) <= 1")
-add(315, "pointInPolygon", lambda x, y, p=((0.25, 0.25), (6.25, 0.25), (0.25, 6.25)): in_polygon(x, y, p), "h ; i", "b", "h > 0.25 AND i > 0.25 AND h + i < 6.5")
+add(314, "pointInEllipses", lambda x, y, *e: in_ellipses(x, y, *(e or ((0, 0, 2, 3), (5, 5, 1, 1)))), "h ; i", "b", "pow(h / 2, 2) + pow(i / 3.0, 2) <= 1 OR pow(h - 5, 2) + pow(i - 5, 2) <= 1", constants=2)
+add(315, "pointInPolygon", lambda x, y, p=((0.25, 0.25), (6.25, 0.25), (0.25, 6.25)): in_polygon(x, y, p), "h ; i", "b", "h > 0.25 AND i > 0.25 AND h + i < 6.5", constants=2)
 
 # --- tuples and vectors
 
@@ -221,9 +256,9 @@ def cosine(v, w):
 
 
 add(316, "tuple", lambda *cs: F.to_json(F.struct(*[c.alias(f"_{k}") for k, c in enumerate(cs, 1)])), "i ; s", "s", "'{\"_1\":' || i || ',\"_2\":\"' || s || '\"}'")
-add(317, "tupleElement", lambda t, n=2: t.getField(f"col{n}") if isinstance(n, int) else t.getField(n), "struct(i AS col1, s AS col2)", "s", "s")
-add(318, "cast_vector_float32_as_string", lambda v: F.substring(vec_text(v), 1, 1), "v", "s", "'['", "v")
-add(319, "cast_vector_float32_as_vector_float32", lambda v: F.size(v), "v", "l", "len(v)", "v")
+add(317, "tupleElement", lambda t, n=2: t.getField(f"col{n}") if isinstance(n, int) else t.getField(n), "struct(i AS col1, s AS col2)", "s", "s", constants=1)
+add(318, "cast_vector_float32_as_string", vec_text, "transform(v, x -> CAST(CAST(x * 8 AS INT) AS FLOAT) / CAST(8 AS FLOAT))", "s", "'[' || array_to_string(list_transform(v, lambda x: regexp_replace(CAST(trunc(x * 8)::INT / 8.0 AS VARCHAR), '\\.?0+$', '')), ',') || ']'", "v")
+add(319, "cast_vector_float32_as_vector_float32", lambda v, dims=None: v if dims is None else F.when(F.size(v) == dims, v).otherwise(F.raise_error(F.lit(f"vector doesn't have {dims} dimensions"))), "v", "V", "v", "v", constants=1)
 add(320, "vecAsText", vec_text, "array(CAST(1.5 AS FLOAT), CAST(label AS FLOAT))", "s", "'[1.5,' || label || ']'", "v")
 add(321, "vecDims", F.size, "v", "l", "len(v)", "v")
 add(322, "vecL1Distance", lambda v, w: _pairs(v, w, lambda p, q: F.abs(p - q)), "v ; w", "d", "list_sum(list_transform(range(1, len(v) + 1), lambda k: abs(v[k]::DOUBLE - w[k]::DOUBLE)))", "v")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from strataform.functions.core import add, unsigned
@@ -23,16 +27,50 @@ def greatest(*cs):
     return F.when(~_any_null(*cs), F.greatest(*cs))
 
 
-def decimal_divide(a, b, scale: int = 6):
-    """Division of decimals: NULL by zero, halves away from zero at the dividend's scale + 4."""
-    return F.try_divide(a.cast("decimal(20,2)"), F.nullif(b, F.lit(0)).cast("decimal(10,0)")).cast(f"decimal(38,{scale})")
+def decimal_divide(a, b):
+    """NULL by zero. Exact numbers divide exactly, rounded half away from zero at the dividend's scale + 4 (which
+    the type of the result may go beyond); where one is a double, both do as doubles."""
+    one = F.lit(Decimal(1))  # makes integers decimals, and leaves decimals and doubles what they are
+    a, b = a * one, b * one
+    q = F.try_divide(a, F.nullif(b, F.lit(0)))
+    kind = F.typeof(q)
+    scale = F.coalesce(F.regexp_extract(F.typeof(a), r",(\d+)\)", 1).try_cast("int"), F.lit(0))
+    return F.when(kind.startswith("decimal"), F.round(q, scale + 4)).otherwise(q)
 
 
 def _gcd(a, b):
-    """Euclid's algorithm by folding over as many steps as 64-bit numbers can need."""
-    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.pmod(s["a"], s["b"]).alias("b")))
-    start = F.struct(F.abs(a.cast("long")).alias("a"), F.abs(b.cast("long")).alias("b"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(93)), start, step, lambda s: s["a"])
+    """In Arrow batches: Euclid's algorithm has no form without a loop, and a fold takes all its steps for each row."""
+
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        x, y = (pc.fill_null(v, 0).to_numpy(zero_copy_only=False) for v in (a, b))
+        return pa.array(np.gcd(x, y), mask=pc.or_(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False))
+
+    return F.arrow_udf(run, "long")(a.cast("long"), b.cast("long"))
+
+
+def _lcm(a, b):
+    """In decimals, for it may have 128 bits."""
+    a, b = a.cast("long"), b.cast("long")
+    wide = lambda v: F.abs(v.cast("decimal(19,0)"))
+    return F.when((a == 0) | (b == 0), F.lit(0).cast("decimal(38,0)")).otherwise((F.call_function("div", wide(a), wide(_gcd(a, b))).cast("decimal(19,0)") * wide(b)).cast("decimal(38,0)"))
+
+
+def int_exp2(a):
+    """As an unsigned number; 0 for negative arguments, and no bits are left from 64 on."""
+    power = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.least(a.cast("int"), F.lit(63)), F.lit(0)))
+    return F.when(a.isNotNull(), F.when(a.between(0, 63), unsigned(power)).otherwise(F.lit(0).cast("decimal(20,0)")))
+
+
+def int_exp10(a):
+    """0 for negative arguments, and the largest unsigned number above 19."""
+    power = F.concat(F.lit("1"), F.repeat(F.lit("0"), F.greatest(F.least(a.cast("int"), F.lit(19)), F.lit(0)))).cast("decimal(20,0)")
+    top = F.lit("18446744073709551615").cast("decimal(20,0)")
+    return F.when(a < 0, F.lit(0).cast("decimal(20,0)")).when(a > 19, top).when(a.isNotNull(), power)
+
+
+def bit_test(a, p):
+    """Bits beyond 63 are 0."""
+    return F.when(p.between(0, 63), F.getbit(a.cast("long"), F.greatest(F.least(p, F.lit(63)), F.lit(0)))).when(p.isNotNull() & a.isNotNull(), F.lit(0).cast("tinyint"))
 
 
 def _shift(left: bool):
@@ -86,7 +124,7 @@ add(1, "plus", lambda a, b: a + b, "i ; j", "l", "i + j")
 add(2, "minus", lambda a, b: a - b, "i ; j", "l", "i - j")
 add(3, "multiply", lambda a, b: a * b, "bi ; j", "l", "bi * j")
 add(4, "divide", F.try_divide, "x ; y + 0.0037D", "d", "x / (y + 0.0037)")
-add(5, "tidbDivide", decimal_divide, "dc ; j", "d", "CASE WHEN j = 0 THEN NULL ELSE CAST(dc AS DOUBLE) / j END")
+add(5, "tidbDivide", decimal_divide, "dc ; CAST(j AS DECIMAL(6,2)) / 4", "d", "CASE WHEN j <> 0 THEN sign(dc) * sign(j) * floor(abs(dc) * 4 * 1000000 / abs(j) + 0.5) / 1000000 END")
 add(6, "intDiv", lambda a, b: F.call_function("div", a, b), "bi ; nullif(j, 0)", "l", "bi // nullif(j, 0)")
 add(7, "intDivOrZero", lambda a, b: F.when(b == 0, F.lit(0).cast("long")).otherwise(F.call_function("div", a, F.nullif(b, F.lit(0)))), "bi ; j", "l", "CASE WHEN j = 0 THEN 0 ELSE bi // nullif(j, 0) END")
 add(8, "modulo", F.try_mod, "bi ; j", "l", "CASE WHEN j = 0 THEN NULL ELSE bi % j END")
@@ -103,13 +141,13 @@ add(18, "bitShiftLeft", _shift(True), "id % 1000 ; n", "s", "CASE WHEN n >= 64 T
 add(19, "bitShiftRight", _shift(False), "bi ; n", "s", f"CASE WHEN n >= 64 THEN 0::HUGEINT ELSE ({U64.format('bi')}) // (1::HUGEINT << (n % 64)) END")
 add(20, "bitRotateLeft", _rotate(True), "id % 1000 ; n % 50", "l", "CAST(id % 1000 AS BIGINT) * (1::BIGINT << (n % 50))")
 add(21, "bitRotateRight", _rotate(False), "(id % 1000) * 1024 ; n % 10", "l", "((id % 1000) * 1024) // (1 << (n % 10))")
-add(22, "bitTest", lambda a, p: F.getbit(a.cast("long"), p), "bi ; n % 30", "l", "CAST(floor(bi / (1::BIGINT << (n % 30))) AS BIGINT) & 1")
+add(22, "bitTest", bit_test, "bi ; n", "l", "CASE WHEN n > 63 THEN 0 ELSE ((bi::HUGEINT + 18446744073709551616::HUGEINT) // (1::HUGEINT << (n % 64))) % 2 END")
 add(23, "bitTestAny", lambda a, *ps: a.bitwiseAND(reduce(lambda m, p: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), p.cast("int"))), ps, F.lit(0).cast("long"))) != 0, "bi ; 1 ; 2", "b", f"(bi & {_mask(1, 2)}) <> 0")
 add(24, "bitTestAll", lambda a, *ps: (lambda m: a.bitwiseAND(m) == m)(reduce(lambda m, p: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), p.cast("int"))), ps, F.lit(0).cast("long"))), "bi ; 1 ; 2", "b", f"(bi & {_mask(1, 2)}) = {_mask(1, 2)}")
 add(25, "gcd", _gcd, "id ; i", "l", "gcd(id, i)")
-add(26, "lcm", lambda a, b: F.when((a == 0) | (b == 0), F.lit(0).cast("long")).otherwise(F.abs(a.cast("long") * b) / _gcd(a, b)), "id ; i", "l", "lcm(id, i)")
-add(27, "intExp2", lambda a: F.call_function("shiftleft", F.lit(1).cast("long"), a.cast("int")), "n % 60", "l", "1::BIGINT << (n % 60)")
-add(28, "intExp10", lambda a: F.concat(F.lit("1"), F.repeat(F.lit("0"), a)).cast("long"), "n % 19", "l", "CAST('1' || repeat('0', n % 19) AS BIGINT)")
+add(26, "lcm", _lcm, "bi ; 1000003 + n", "s", "CASE WHEN bi = 0 THEN 0::HUGEINT ELSE abs(bi)::HUGEINT // gcd(bi, 1000003 + n) * (1000003 + n) END")
+add(27, "intExp2", int_exp2, "n - 3", "s", "CASE WHEN n < 3 OR n > 66 THEN 0::HUGEINT ELSE 1::HUGEINT << (n - 3) % 64 END")
+add(28, "intExp10", int_exp10, "n - 3", "s", "CASE WHEN n < 3 THEN 0::HUGEINT WHEN n > 22 THEN 18446744073709551615::HUGEINT ELSE CAST('1' || repeat('0', n - 3) AS HUGEINT) END")
 add(29, "tidbLeast", least, "i ; j", "l", "CASE WHEN j IS NOT NULL THEN least(i, j) END")
 add(30, "tidbLeastString", least, "s ; t", "s", "CASE WHEN t IS NOT NULL THEN least(s, t) END")
 add(31, "tidbGreatest", greatest, "i ; j", "l", "CASE WHEN j IS NOT NULL THEN greatest(i, j) END")
@@ -217,13 +255,12 @@ def trunc(a):
     return F.when(a < 0, F.ceil(a)).otherwise(F.floor(a))
 
 
-def truncate_frac(a, n):
-    """Cuts a decimal to n places; a negative n cuts before the point."""
-    unit = F.pow(F.lit(10.0), n)
-    return F.signum(a) * F.floor(F.round(F.abs(a) * unit, 6)) / unit
+def truncate_frac(a, n: int = 0):
+    """Cut to n places, or before the point where n is negative; decimals as decimals."""
+    return F.when(a < 0, F.ceil(a, F.lit(n))).otherwise(F.floor(a, F.lit(n)))
 
 
-add(92, "round", lambda a, n=None: F.round(a, 0 if n is None else n), "dc", "d", "round(dc, 0)")
+add(92, "round", lambda a, n=0: F.round(a, n), "dc", "d", "round(dc, 0)", constants=1)
 add(93, "floor", F.floor, "x", "l", "floor(x)")
 add(94, "ceil", F.ceil, "x", "l", "ceil(x)")
 add(95, "trunc", trunc, "x", "l", "trunc(x)")
@@ -233,6 +270,6 @@ add(98, "floorDecimalToInt", lambda a: F.floor(a).cast("long"), "dc", "l", "floo
 add(99, "truncDecimalToInt", lambda a: trunc(a).cast("long"), "dc", "l", "trunc(CAST(dc AS DOUBLE))")
 add(100, "ceiling", F.ceil, "h", "l", "ceil(h)")
 add(101, "truncate", trunc, "h", "l", "trunc(h)")
-add(102, "tidbRoundWithFrac", F.round, "dc ; 1", "d", "round(dc, 1)")
-add(103, "tidbTruncateWithFrac", truncate_frac, "dc ; 1", "d", "sign(dc) * floor(abs(CAST(dc AS DECIMAL(18,2))) * 10) / 10")
+add(102, "tidbRoundWithFrac", lambda a, n=0: F.round(a, n), "dc", "d", "round(dc, 1)", constants=1, given=(1,))
+add(103, "tidbTruncateWithFrac", truncate_frac, "CAST(dc AS DECIMAL(30,2)) * 100000000000001 + 0.07", "s", "regexp_replace(CAST(CAST(dc AS DECIMAL(30,2)) * 100000000000001::DECIMAL(15,0) + 0.07 AS VARCHAR), '([.][0-9])[0-9]*$', '\\1')", constants=1, given=(1,))
 add(375, "tidbRound", F.rint, "h", "d", "CASE WHEN abs(h) - floor(abs(h)) = 0.5 THEN sign(h) * (floor(abs(h)) + (floor(abs(h)) % 2)) ELSE round(h) END")

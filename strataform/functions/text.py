@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from strataform.functions.core import add
@@ -64,24 +66,24 @@ def is_ipv4(s):
 
 
 V6 = "CASE id % 3 WHEN 0 THEN '2001:db8::1' WHEN 1 THEN '::1' ELSE 'no' END"
-add(242, "cutIPv6", lambda a, n6=2, n4=1: cut_ipv6(a, n6, n4), "unhex('20010DB8000000000000000000000001')", "s", "'2001:db8::'")
-add(243, "IPv6StringToNum", _address(lambda s: ipaddress.IPv6Address(s).packed, "binary"), V6, "s", None)
+add(242, "cutIPv6", lambda a, n6=2, n4=1: cut_ipv6(a, n6, n4), "unhex('20010DB8000000000000000000000001')", "s", "'2001:db8::'", constants=1)
+add(243, "IPv6StringToNum", _address(lambda s: ipaddress.IPv6Address(s).packed, "binary"), V6, "x", "CASE id % 3 WHEN 0 THEN '20010DB8000000000000000000000001' WHEN 1 THEN '00000000000000000000000000000001' END")
 add(244, "IPv4NumToString", quad, "id * 70001", "s", "concat_ws('.', (id * 70001) // 16777216, (id * 70001) // 65536 % 256, (id * 70001) // 256 % 256, (id * 70001) % 256)")
 add(245, "IPv4NumToStringClassC", lambda n: quad(n, "xxx"), "id * 70001", "s", "concat_ws('.', (id * 70001) // 16777216, (id * 70001) // 65536 % 256, (id * 70001) // 256 % 256, 'xxx')")
 add(246, "IPv4StringToNum", lambda s: F.when(is_ipv4(s), aton(s)), "ip", "l", "CASE WHEN id % 5 = 0 THEN 3232235520 + CAST(split_part(ip, '.', 4) AS BIGINT) WHEN id % 5 = 3 THEN 167772161 END")
 add(247, "tiDBIPv4StringToNum", aton, "ip", "l", "CASE WHEN id % 5 = 0 THEN 3232235520 + CAST(split_part(ip, '.', 4) AS BIGINT) WHEN id % 5 = 1 THEN 16908291 WHEN id % 5 = 3 THEN 167772161 END")
 add(248, "tiDBIPv6StringToNum", lambda s: F.hex(_address(lambda x: ipaddress.ip_address(x).packed, "binary")(s)), V6, "s", "CASE id % 3 WHEN 0 THEN '20010DB8000000000000000000000001' WHEN 1 THEN '00000000000000000000000000000001' END")
 add(249, "tiDBIPv6NumToString", _address(lambda b: str(ipaddress.ip_address(bytes(b))), "string"), "unhex('20010DB8000000000000000000000001')", "s", "'2001:db8::1'")
-add(250, "IPv4ToIPv6", lambda n: F.concat(F.unhex(F.lit("00000000000000000000FFFF")), F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0"))), "id", "s", None)
+add(250, "IPv4ToIPv6", lambda n: F.concat(F.unhex(F.lit("00000000000000000000FFFF")), F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0"))), "id", "x", "'00000000000000000000FFFF' || lpad(hex(id), 8, '0')")
 add(251, "hex", F.hex, "bi", "s", "hex(bi)")
 add(252, "unhex", lambda s: F.unhex(s).cast("string"), "'6162'", "s", "'ab'")
 add(253, "tiDBIsIPv4", is_ipv4, "ip", "b", "coalesce(regexp_full_match(ip, '([0-9]{1,3}\\.){3}[0-9]{1,3}') AND id % 5 <> 2, false)")
 add(254, "tiDBIsIPv6", lambda s: F.coalesce(_address(lambda x: ipaddress.IPv6Address(x) is not None, "boolean")(s), F.lit(False)), V6, "b", "id % 3 < 2")
 add(255, "halfMD5", lambda s: F.conv(F.substring(F.md5(s.cast("binary")), 1, 16), 16, 10), "s", "s", "CAST(CAST('0x' || substr(md5(s), 1, 16) AS UBIGINT) AS VARCHAR)")
-add(256, "MD5", lambda s: F.unhex(F.md5(s.cast("binary"))), "s", "s", None)
-add(257, "SHA1", lambda s: F.unhex(F.sha1(s.cast("binary"))), "s", "s", None)
-add(258, "SHA224", lambda s: F.unhex(F.sha2(s.cast("binary"), 224)), "s", "s", None)
-add(259, "SHA256", lambda s: F.unhex(F.sha2(s.cast("binary"), 256)), "s", "s", None)
+add(256, "MD5", lambda s: F.unhex(F.md5(s.cast("binary"))), "s", "x", "md5(s)")
+add(257, "SHA1", lambda s: F.unhex(F.sha1(s.cast("binary"))), "s", "x", "sha1(s)")
+add(258, "SHA224", lambda s: F.unhex(F.sha2(s.cast("binary"), 224)), "s", "x", None)
+add(259, "SHA256", lambda s: F.unhex(F.sha2(s.cast("binary"), 256)), "s", "x", "sha256(s)")
 for k, name in ((260, "sipHash64"), (262, "cityHash64"), (263, "farmHash64"), (264, "metroHash64")):
     # Used inside a query only (buckets, shards): equal for equal arguments is all that counts.
     add(k, name, F.xxhash64, "s ; i", "l", None)
@@ -90,7 +92,7 @@ add(265, "intHash32", F.hash, "i", "l", None)
 add(266, "intHash64", F.xxhash64, "bi", "l", None)
 add(267, "URLHash", lambda s: F.xxhash64(F.regexp_replace(s, "/$", "")), "url", "l", None, "u")
 add(268, "crc32", lambda s: F.crc32(s.cast("binary")), "s", "l", None)
-add(269, "conv", lambda s, a=16, b=10: F.conv(s, a, b), "hex(id)", "s", "CAST(id AS VARCHAR)")
+add(269, "conv", lambda s, a=16, b=10: F.conv(s, a, b), "hex(id)", "s", "CAST(id AS VARCHAR)", constants=1)
 
 # --- regular expressions
 
@@ -101,53 +103,66 @@ def flags(match_type: str) -> str:
     return f"(?{''.join(sorted(on))})" if on else ""
 
 
-def regexp_like(s, pattern: str, match_type: str = ""):
-    return s.rlike(flags(match_type) + pattern)
+def pattern_of(pattern, match_type: str = ""):
+    """A pattern, a text or a column, under its flags."""
+    return F.concat(F.lit(flags(match_type)), pattern if isinstance(pattern, Column) else F.lit(pattern))
 
 
-def _nth(s, pattern, pos, occurrence, match_type):
-    rest = F.substring(s, pos, 1 << 30)
-    return rest, F.try_element_at(F.regexp_extract_all(rest, F.lit(f"{flags(match_type)}({pattern})"), F.lit(1)), F.lit(occurrence))
+def regexp_like(s, pattern, match_type: str = ""):
+    return F.rlike(s, pattern_of(pattern, match_type))
+
+
+def _split(s, pattern: str, pos: int, occurrence: int, match_type: str):
+    """Whether there is an n-th match from pos on, what is between pos and it, and what begins with it."""
+    on, rest = flags(match_type), F.substr(s, F.lit(pos))
+    found = F.regexp_count(rest, F.lit(f"{on}(?:{pattern})")) >= occurrence
+    before = F.regexp_extract(rest, rf"{on}\A((?:(?s:.*?)(?:{pattern})){{{occurrence - 1}}}(?s:.*?))(?:{pattern})", 1)
+    return found, before, F.substr(rest, F.char_length(before) + 1), rf"{on}\A(?:{pattern})"
 
 
 def regexp_substr(s, pattern: str, pos: int = 1, occurrence: int = 1, match_type: str = ""):
-    return _nth(s, pattern, pos, occurrence, match_type)[1]
+    found, _, at, own = _split(s, pattern, pos, occurrence, match_type)
+    return F.when(found, F.regexp_extract(at, own, 0))
 
 
 def regexp_instr(s, pattern: str, pos: int = 1, occurrence: int = 1, ret: int = 0, match_type: str = ""):
     """Position of the n-th match, or of what follows it; 0 where there is none."""
-    rest = F.substring(s, pos, 1 << 30)
-    marked = F.regexp_replace(rest, f"{flags(match_type)}(?:{pattern})", "\x01$0\x02")
-    piece = F.substring_index(marked, "\x02" if ret else "\x01", occurrence)
-    n = F.regexp_count(rest, F.lit(f"{flags(match_type)}(?:{pattern})"))
-    length = F.char_length(F.translate(piece, "\x01\x02", ""))
-    return F.when(n >= occurrence, length + pos).otherwise(F.when(s.isNotNull(), 0))
+    found, before, at, own = _split(s, pattern, pos, occurrence, match_type)
+    place = F.char_length(before) + pos
+    return F.when(found, place + F.char_length(F.regexp_extract(at, own, 0)) if ret else place).otherwise(F.when(s.isNotNull(), 0))
+
+
+def java_replacement(to: str) -> str:
+    """Groups as the reference writes them, by a backslash and a digit; all else stands for itself."""
+    out, at = "", 0
+    while at < len(to):
+        if to[at] == "\\" and at + 1 < len(to):
+            at += 1
+            out += f"${to[at]}" if to[at] in "0123456789" else "\\" + to[at]
+        else:
+            out += "\\" + to[at] if to[at] in "$\\" else to[at]
+        at += 1
+    return out
 
 
 def regexp_replace(s, pattern: str, to: str, pos: int = 1, occurrence: int = 0, match_type: str = ""):
-    """All matches from pos on, or the n-th only. Groups are written as in the reference, with a backslash."""
-    import re
-
-    groups = re.compile(pattern).groups  # the pattern stands twice behind a group of its own where one match counts
-    shift = 1 + groups if occurrence else 0
-    to = re.sub(r"\\(\d)", lambda m: f"${int(m[1]) + shift if m[1] != '0' else 0}", to)
-    head, rest = F.substring(s, 1, pos - 1), F.substring(s, pos, 1 << 30)
-    full = flags(match_type) + pattern
+    """All matches from pos on, or the n-th only."""
+    head, to = F.substring(s, 1, pos - 1), java_replacement(to)
     if not occurrence:
-        return F.concat(head, F.regexp_replace(rest, full, to))
-    before = flags("s" + match_type) + "^((?:.*?(?:" + pattern + ")){" + str(occurrence - 1) + "}.*?)(?:" + pattern + ")"
-    return F.concat(head, F.regexp_replace(rest, before, "$1" + to))
+        return F.concat(head, F.regexp_replace(F.substr(s, F.lit(pos)), flags(match_type) + pattern, to))
+    found, before, at, own = _split(s, pattern, pos, occurrence, match_type)
+    return F.when(found, F.concat(head, before, F.regexp_replace(at, own, to))).otherwise(s)
 
 
-add(290, "regexp", lambda s, p="^[0-9]-(U|H)": s.rlike(p), "s", "b", "regexp_matches(s, '^[0-9]-(U|H)')")
-add(291, "regexp_like", lambda s, p="urgent|low", t="i": regexp_like(s, p, t), "s", "b", "regexp_matches(s, 'urgent|low', 'i')")
-add(292, "regexp_instr", lambda s, p="[EI]", *a: regexp_instr(s, p, *a), "s", "l", "CASE WHEN regexp_matches(s, '[EI]') THEN length(regexp_extract(s, '^([^EI]*)[EI]', 1)) + 1 ELSE 0 END")
-add(293, "regexp_substr", lambda s, p="[A-Z]+", pos=1, n=1, *a: regexp_substr(s, p, pos, n, *a), "s", "s", "nullif(regexp_extract(s, '[A-Z]+'), '')")
-add(294, "regexp_replace", lambda s, p="([A-Z])E", to="\\1_", *a: regexp_replace(s, p, to, *a), "s", "s", "regexp_replace(s, '([A-Z])E', '\\1_', 'g')")
-add(350, "replaceRegexpAll", lambda s, p="[AEIOU]", to="*": F.regexp_replace(s, p, to), "s", "s", "regexp_replace(s, '[AEIOU]', '*', 'g')")
-add(355, "match", lambda s, p="E+": s.rlike(p), "s", "b", "regexp_matches(s, 'E+')")
-add(356, "extract", lambda s, p="([A-Z]+) ", g=1: F.regexp_extract(s, p, g), "s", "s", "regexp_extract(s, '([A-Z]+) ', 1)")
-add(360, "replaceRegexpOne", lambda s, p="[AEIOU]", to="*": regexp_replace(s, p, to, 1, 1), "s", "s", "regexp_replace(s, '[AEIOU]', '*')")
+add(290, "regexp", regexp_like, "s ; '^[0-9]-(U|H)'", "b", "regexp_matches(s, '^[0-9]-(U|H)')")
+add(291, "regexp_like", regexp_like, "s ; 'urgent|low'", "b", "regexp_matches(s, 'urgent|low', 'i')", constants=2, given=("i",))
+add(292, "regexp_instr", regexp_instr, "s", "l", "CASE WHEN regexp_matches(s, '[EI]') THEN length(regexp_extract(s, '^([^EI]*)[EI]', 1)) + 1 ELSE 0 END", constants=1, given=("[EI]",))
+add(293, "regexp_substr", regexp_substr, "s", "s", "regexp_extract_all(s, '[A-Z]')[2]", constants=1, given=("[A-Z]", 1, 2))
+add(294, "regexp_replace", regexp_replace, "s", "s", "regexp_replace(s, '([A-Z])E', '\\1_', 'g')", constants=1, given=("([A-Z])E", "\\1_"))
+add(350, "replaceRegexpAll", lambda s, p, to: F.regexp_replace(s, p, java_replacement(to)), "s", "s", "regexp_replace(s, '[AEIOU]', '*', 'g')", constants=1, given=("[AEIOU]", "*"))
+add(355, "match", regexp_like, "s ; 'E+'", "b", "regexp_matches(s, 'E+')")
+add(356, "extract", lambda s, p, g=1: F.regexp_extract(s, p, g), "s", "s", "regexp_extract(s, '([A-Z]+) ', 1)", constants=1, given=("([A-Z]+) ",))
+add(360, "replaceRegexpOne", lambda s, p, to: regexp_replace(s, p, to, 1, 1), "s", "s", "regexp_replace(s, '[AEIOU]', '<\\0>')", constants=1, given=("[AEIOU]", "<\\0>"))
 
 # --- URLs, by pattern so that malformed ones give empty parts and not errors
 
@@ -179,13 +194,13 @@ add(301, "pathFull", lambda u: F.regexp_extract(u, r"^[^:]+://[^/?#]*(.*)$", 1),
 add(302, "queryString", lambda u: F.regexp_extract(u, r"\?([^#]*)", 1), "url", "s", "regexp_extract(url, '\\?([^#]*)', 1)", "u")
 add(303, "fragment", lambda u: F.regexp_extract(u, "#(.*)$", 1), "url", "s", "regexp_extract(url, '#(.*)$', 1)", "u")
 add(304, "queryStringAndFragment", lambda u: F.regexp_extract(u, r"\?(.*)$", 1), "url", "s", "regexp_extract(url, '\\?(.*)$', 1)", "u")
-add(305, "extractURLParameter", lambda u, name="x": F.regexp_extract(u, rf"[?&]{name}=([^&#]*)", 1), "url", "s", "regexp_extract(url, '[?&]x=([^&#]*)', 1)", "u")
+add(305, "extractURLParameter", lambda u, name: F.regexp_extract(u, rf"[?&]{re.escape(name)}=([^&#]*)", 1), "url", "s", "regexp_extract(url, '[?&]x=([^&#]*)', 1)", "u", constants=1, given=("x",))
 add(306, "cutToFirstSignificantSubdomain", lambda u: significant(u, True), "url", "s", _CASES("regexp_extract(split_part(url, '/', 3), '[a-z]+[.][a-z]+$')", "'example.co.uk'", "'example.org'", "'example.com'"), "u")
 add(307, "cutWWW", lambda u: F.regexp_replace(u, r"://www\.", "://"), "url", "s", "replace(url, '://www.', '://')", "u")
 add(308, "cutQueryString", lambda u: F.regexp_replace(u, r"\?[^#]*", ""), "url", "s", "regexp_replace(url, '\\?[^#]*', '')", "u")
 add(309, "cutFragment", lambda u: F.regexp_replace(u, "#.*$", ""), "url", "s", "split_part(url, '#', 1)", "u")
 add(310, "cutQueryStringAndFragment", lambda u: F.regexp_replace(u, "[?#].*$", ""), "url", "s", "regexp_replace(url, '[?#].*$', '')", "u")
-add(311, "cutURLParameter", lambda u, name="x": F.regexp_replace(F.regexp_replace(u, rf"([?&]){name}=[^&#]*&?", "$1"), r"[?&](#|$)", "$1"), "url", "s", "regexp_replace(regexp_replace(url, '([?&])x=[^&#]*&?', '\\1'), '[?&](#|$)', '\\1')", "u")
+add(311, "cutURLParameter", lambda u, name: F.regexp_replace(F.regexp_replace(u, rf"([?&]){re.escape(name)}=[^&#]*&?", "$1"), r"[?&](#|$)", "$1"), "url", "s", "regexp_replace(regexp_replace(url, '([?&])x=[^&#]*&?', '\\1'), '[?&](#|$)', '\\1')", "u", constants=1, given=("x",))
 add(312, "decodeURLComponent", lambda u: F.coalesce(F.try_url_decode(F.replace(u, F.lit("+"), F.lit("%2B"))), u), "url", "s", "url_decode(replace(url, '+', '%2B'))", "u")
 
 # --- strings
@@ -232,6 +247,14 @@ def replace_one(s, a, b):
     return F.when(at == 0, s).otherwise(F.concat(F.substr(s, F.lit(1), at - 1), b, F.substr(s, at + F.char_length(a))))
 
 
+#: Locales whose numbers have other marks of thousands and of decimals; others are written as in en_US.
+MARKS = {"de_DE": ".,", "es_ES": ".,", "it_IT": ".,", "nl_NL": ".,", "pt_BR": ".,", "id_ID": ".,", "tr_TR": ".,", "da_DK": ".,", "fr_FR": " ,", "ru_RU": " ,", "pl_PL": " ,", "cs_CZ": " ,", "sv_SE": " ,", "fi_FI": " ,", "nb_NO": " ,", "de_CH": "'."}
+
+
+def format_with_locale(x, n: int = 2, locale: str = "en_US"):
+    return F.translate(F.format_number(x, n), ",.", MARKS.get(locale, ",."))
+
+
 def format_decimal(d):
     return F.regexp_replace(F.regexp_replace(d.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
 
@@ -259,18 +282,18 @@ add(3461, "rpad", pad(False), "s ; 12 ; '*'", "s", "rpad(s, 12, '*')")
 add(347, "position", position, "'U' ; s", "l", "strpos(s, 'U')")
 add(348, "positionUTF8", F.position, "'-' ; m", "l", "strpos(m, '-')")
 add(349, "replaceAll", F.replace, "s ; 'E' ; 'ee'", "s", "replace(s, 'E', 'ee')")
-add(351, "like3Args", lambda s, p="%!_%", e="!": F.like(s, F.lit(p), F.lit(e)), "concat(s, if(i > 0, '_', ''))", "b", "i > 0")
-add(352, "ilike3Args", lambda s, p="%urgent%", e="\\": F.ilike(s, F.lit(p), F.lit(e)), "s", "b", "s ILIKE '%urgent%'")
-add(353, "like", lambda s, p="%-H%": s.like(p), "s", "b", "s LIKE '%-H%'")
-add(354, "notLike", lambda s, p="%-H%": ~s.like(p), "s", "b", "s NOT LIKE '%-H%'")
+add(351, "like3Args", lambda s, p="%!_%", e="!": F.like(s, F.lit(p), F.lit(e)), "concat(s, if(i > 0, '_', ''))", "b", "i > 0", constants=1)
+add(352, "ilike3Args", lambda s, p="%urgent%", e="\\": F.ilike(s, F.lit(p), F.lit(e)), "s", "b", "s ILIKE '%urgent%'", constants=1)
+add(353, "like", lambda s, p: F.like(s, p), "s ; '%-H%'", "b", "s LIKE '%-H%'")
+add(354, "notLike", lambda s, p: ~F.like(s, p), "s ; '%-H%'", "b", "s NOT LIKE '%-H%'")
 add(357, "positionCaseInsensitive", lambda s, n: position(F.lower(n), F.lower(s)), "s ; 'h'", "l", "strpos(lower(s), 'h')")
 add(358, "positionCaseInsensitiveUTF8", lambda s, n: F.position(F.lower(n), F.lower(s)), "m ; 'B'", "l", "strpos(lower(m), 'b')")
 add(359, "replaceOne", replace_one, "s ; 'E' ; 'ee'", "s", "CASE WHEN strpos(s, 'E') = 0 THEN s ELSE left(s, strpos(s, 'E') - 1) || 'ee' || substr(s, strpos(s, 'E') + 1) END")
 add(361, "repeat", F.repeat, "s ; j", "s", "CASE WHEN j IS NOT NULL THEN repeat(s, greatest(j, 0)) END")
 add(362, "space", lambda n: F.repeat(F.lit(" "), n), "n", "s", "repeat(' ', n)")
 add(363, "elt", lambda n, *cs: F.when(n >= 1, F.try_element_at(F.array(*cs), F.greatest(n, F.lit(1)))), "i ; s ; t", "s", "CASE i WHEN 1 THEN s WHEN 2 THEN t END")
-add(364, "format", lambda x, n=2: F.format_number(x, n), "dc", "s", "format('{:,.2f}', CAST(dc AS DOUBLE))")
-add(365, "formatWithLocale", lambda x, n=2, locale="en_US": F.format_number(x, n), "dc", "s", "format('{:,.2f}', CAST(dc AS DOUBLE))")
+add(364, "format", lambda x, n=2: F.format_number(x, n), "dc", "s", "format('{:,.3f}', CAST(dc AS DOUBLE))", constants=1, given=(3,))
+add(365, "formatWithLocale", format_with_locale, "dc", "s", "translate(format('{:,.2f}', CAST(dc AS DOUBLE)), ',.', '.,')", constants=1, given=(2, "de_DE"))
 add(366, "formatDecimal", format_decimal, "dc", "s", "regexp_replace(regexp_replace(CAST(dc AS VARCHAR), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '')")
 add(367, "hexStr", F.hex, "m", "s", "hex(m)")
 add(368, "hexInt", F.hex, "id", "s", "hex(id)")
@@ -278,9 +301,11 @@ add(369, "tidbUnHex", lambda s: F.unhex(F.when(s.rlike("^([0-9a-fA-F]{2})*$"), s
 add(370, "bin", F.bin, "id", "s", "bin(id)")
 add(371, "ifNull", F.ifnull, "j ; i", "l", "coalesce(j, i)")
 add(372, "in", lambda x, *cs: x.isin(*cs), "i ; 1 ; 2 ; coalesce(j, 0)", "b", "i IN (1, 2, coalesce(j, 0))")
+add(3722, "globalIn", lambda x, *cs: x.isin(*cs), "i ; 3 ; j", "b", "i IN (3, j)")
+add(3723, "globalNotIn", lambda x, *cs: ~x.isin(*cs), "i ; 3 ; j", "b", "i NOT IN (3, j)")
 add(3721, "notIn", lambda x, *cs: ~x.isin(*cs), "i ; 1 ; 2", "b", "i NOT IN (1, 2)")
 add(373, "tidbIn", lambda x, *cs: x.isin(*cs), "i ; 1 ; j", "b", "i IN (1, j)")
 add(3731, "tidbNotIn", lambda x, *cs: ~x.isin(*cs), "i ; 1 ; j", "b", "i NOT IN (1, j)")
-add(374, "date_add", lambda ts, n, unit="DAY": F.timestamp_add(unit, n, ts), "ts ; j", "T", "ts + to_days(j)")
-add(3741, "date_sub", lambda ts, n, unit="HOUR": F.timestamp_add(unit, -n, ts), "ts ; j", "T", "ts - to_hours(j)")
+add(374, "date_add", lambda ts, n, unit="DAY": F.timestamp_add(unit, n, ts), "ts ; j", "T", "ts + to_days(j)", constants=2)
+add(3741, "date_sub", lambda ts, n, unit="HOUR": F.timestamp_add(unit, -n, ts), "ts ; j", "T", "ts - to_hours(j)", constants=2)
 add(376, "replicate", lambda x, arr: F.array_join(F.array_repeat(x, F.size(arr)), ","), "s ; array(1, 2, 3)", "s", "s || ',' || s || ',' || s")

@@ -1,5 +1,8 @@
 """Small cases where the engine differs from Spark's defaults."""
 
+import datetime
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +13,9 @@ from strataform.operators import joins, windows
 from strataform.sources import formats, versioned
 
 
+TS, LATER = datetime.datetime(2021, 3, 4, 5, 6, 7), datetime.datetime(2021, 3, 5, 8, 0, 0)
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("v")).first().v
 
@@ -46,6 +52,121 @@ def test_values(spark, name, args, want):
     assert got == want
 
 
+def test_constants_reach_functions(spark):
+    cases = [
+        ("CAST", ("7.5", "double"), 7.5),
+        ("dateFormat", (TS, "%d.%m.%y %H%i"), "04.03.21 0506"),
+        ("strToDateDate", ("04-03-2021", "%d-%m-%Y"), datetime.date(2021, 3, 4)),
+        ("strToDateDatetime", ("2021/03/04 05", "%Y/%m/%d %H"), datetime.datetime(2021, 3, 4, 5)),
+        ("dateDiff", (TS, LATER, "HOUR"), 26),
+        ("tidbTimestampDiff", (TS, LATER, "DAY"), 1),
+        ("extractMyDateTime", (TS, "HOUR_MINUTE"), 506),
+        ("extractMyDateTimeFromString", ("2021-03-04 05:06:07", "DAY_SECOND"), 4050607),
+        ("extractMyDuration", (F.expr("INTERVAL '1:02:03' HOUR TO SECOND"), "MINUTE_SECOND"), 203),
+        ("cutIPv6", (F.unhex(F.lit("20010DB8000000000000000000000001")), 15, 0), "2000::"),
+        ("conv", ("777", 8, 16), "1FF"),
+        ("json_extract", ('{"a": [1, 2, 3]}', "$.a[1]"), "2"),
+        ("json_extract", ('{"a": [1, 2, 3]}', "$.a[last]"), "3"),
+        ("json_extract", ('{"a": [1, 2, 3]}', "$.a[0 to 1]"), "[1, 2]"),
+        ("json_extract", ('{"a": [1, 2, 3]}', "$.a[last-1 to last]"), "[2, 3]"),
+        ("json_extract", ('[1, 2, {"a": "b"}]', "$[0]", "$[1]", "$[2].a"), '[1, 2, "b"]'),
+        ("json_extract", ("[1]", "$[3]"), None),
+        ("json_contains_path", ('{"a": 1}', "all", "$.a", "$.b"), False),
+        ("json_keys_2_args", ('{"a": {"c": 1, "bb": 2, "b": 3}}', "$.a"), '["b", "c", "bb"]'),
+        ("cast_string_as_json", ("[1]", True), "[1]"),
+        ("regexp", ("abc", "b.$"), True),
+        ("regexp_like", ("aBb", "bb", "i"), True),
+        ("regexp_like", ("ab\nabc", "^abc$", "m"), True),
+        ("regexp_instr", ("ab\nabc", "^abc$", 1, 1, 0, "m"), 4),
+        ("regexp_instr", ("abcabc", "c", 1, 2, 1), 7),
+        ("regexp_instr", ("\x01a\x02b", "b"), 4),
+        ("regexp_substr", ("123 456", "[0-9]+", 1, 2), "456"),
+        ("regexp_substr", ("abc", "x"), None),
+        ("regexp_replace", ("a-b-c", "-", "\\0+", 1, 2), "a-b-+c"),
+        ("regexp_replace", ("aa", "a", "$1"), "$1$1"),
+        ("regexp_replace", ("abab", "(a)(b)", "\\2\\1", 1, 2), "abba"),
+        ("regexp_replace", ("abc", "x", "y", 1, 1), "abc"),
+        ("replaceRegexpOne", ("abcb", "b", "<\\0>"), "a<b>cb"),
+        ("replaceRegexpAll", ("abcb", "b", "$"), "a$c$"),
+        ("like", ("a_c", "a\\_%"), True),
+        ("notLike", ("abc", "x%"), True),
+        ("like3Args", ("50%", "50!%", "!"), True),
+        ("ilike3Args", ("ABC", "a%", "!"), True),
+        ("match", ("abc", "^b"), False),
+        ("extract", ("k=v", "(.)=(.)", 2), "v"),
+        ("extractURLParameter", ("http://x/?a.b=1&b=2", "b"), "2"),
+        ("cutURLParameter", ("http://x/?a=1&b=2", "a"), "http://x/?b=2"),
+        ("date_add", (TS, 2, "HOUR"), datetime.datetime(2021, 3, 4, 7, 6, 7)),
+        ("date_sub", (TS, 1, "DAY"), datetime.datetime(2021, 3, 3, 5, 6, 7)),
+        ("tupleElement", (F.struct(F.lit(1).alias("col1"), F.lit("b").alias("col2")), 1), 1),
+        ("tupleElement", (F.struct(F.lit("n").alias("name")), "name"), "n"),
+        ("format", (1234.567, 1), "1,234.6"),
+        ("formatWithLocale", (1234.567, 1, "de_DE"), "1.234,6"),
+        ("pointInEllipses", (0.0, 2.0, (0, 0, 1, 3)), True),
+        ("pointInPolygon", (2.0, 2.0, ((0, 0), (4, 0), (0, 5))), True),
+        ("toInterval" + "Hour", (2, TS), datetime.datetime(2021, 3, 4, 7, 6, 7)),
+        ("tidbDivide", (F.lit("1").cast("decimal(4,0)"), F.lit("20001").cast("decimal(38,20)")), Decimal(0)),
+        ("tidbDivide", (F.lit("1").cast("decimal(4,0)"), F.lit("20000").cast("decimal(38,20)")), Decimal("0.0001")),
+        ("tidbDivide", (1, Decimal("0.5")), Decimal(2)),
+        ("tidbDivide", (1, Decimal("2.4")), Decimal("0.4167")),
+        ("tidbDivide", (Decimal("1.23456"), 1), Decimal("1.23456")),
+        ("tidbDivide", (-1, 3), Decimal("-0.3333")),
+        ("tidbDivide", (1.0, 3), 1 / 3),
+        ("tidbDivide", (1, 0), None),
+        ("intExp2", (63,), Decimal(2**63)),
+        ("intExp2", (64,), Decimal(0)),
+        ("intExp10", (19,), Decimal(10**19)),
+        ("intExp10", (20,), Decimal(2**64 - 1)),
+        ("intExp10", (-1,), Decimal(0)),
+        ("lcm", (9007199254740993, 3), Decimal(9007199254740993)),
+        ("lcm", (2**62 + 1, 2**62 - 1), Decimal((2**62 + 1) * (2**62 - 1))),
+        ("gcd", (None, 3), None),
+        ("bitTest", (-1, 70), 0),
+        ("bitTest", (-1, 63), 1),
+        ("tidbTruncateWithFrac", (F.lit("12345678901234567.89").cast("decimal(20,2)"), 1), Decimal("12345678901234567.8")),
+        ("tidbTruncateWithFrac", (F.lit("-129.99").cast("decimal(20,2)"), -1), Decimal(-120)),
+        ("tidbRoundWithFrac", (F.lit("2.45").cast("decimal(5,2)"), 1), Decimal("2.5")),
+    ]
+    wrong = []
+    for name, args, want in cases:
+        got = one(spark, fn.get(name)(*args))
+        if got != (pytest.approx(want) if isinstance(want, float) else want):
+            wrong.append((name, args[1:], want, got))
+    assert not wrong
+    tested = {name for name, args, _ in cases if fn.get(name).constants is not None and len(args) > fn.get(name).constants}
+    assert {f.name for f in fn.CATALOGUE.values() if f.constants} - tested <= {"round", "cast_vector_float32_as_vector_float32"}
+
+
+def test_every_function_with_constants_refuses_columns_there():
+    for f in fn.CATALOGUE.values():
+        if f.constants is not None:
+            with pytest.raises(TypeError):
+                f(*[F.lit(1)] * (f.constants + 1))
+
+
+def test_patterns_may_be_columns(spark):
+    rows = spark.createDataFrame([("abc", "b", "a%"), ("abc", "x", "b%")], "s string, p string, l string")
+    got = rows.select(fn.get("regexp")("abc", F.col("p")).alias("r"), fn.get("like")(F.col("s"), F.col("l")).alias("l"), fn.get("match")(F.col("s"), F.col("p")).alias("m")).collect()
+    assert [tuple(x) for x in got] == [(True, True, True), (False, False, False)]
+
+
+def test_clocks(spark):
+    rows = spark.range(1).select(*[fn.get("now")(k).alias(f"n{k}") for k in (0, 3, 6)], fn.get("sysDateWithoutFsp")().alias("s"), F.current_timestamp().cast("timestamp_ntz").alias("t")).first()
+    assert rows.n0 == rows.s == rows.t.replace(microsecond=0) and rows.n6 == rows.t
+    assert rows.n3 == rows.t.replace(microsecond=rows.t.microsecond // 1000 * 1000)
+
+
+def test_long_and_deep_json(spark):
+    long = "x" * 1_200_002
+    assert one(spark, F.char_length(fn.get("cast_string_as_json")(long))) == len(long) + 2
+    assert one(spark, F.char_length(fn.get("json_object")(long, 1))) == len(long) + 7
+    deep = "[" * 900 + "]" * 900
+    assert one(spark, fn.get("json_depth")(deep)) == 900 and one(spark, fn.get("cast_json_as_string")(deep)) == deep
+    far = "[" * 200_000 + "]" * 200_000
+    assert one(spark, fn.get("json_depth")(far)) in (None, 200_000)
+    assert one(spark, fn.get("json_object")("a", None, "a", "é\n")) == '{"a": "é\\n"}'
+
+
 def test_json_paths(spark):
     js = F.lit('{"a": [1, {"b": 2}], "long": true, "c": null}')
     assert one(spark, nested.json_extract(js, "$.a[1].b")) == "2"
