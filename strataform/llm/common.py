@@ -4,46 +4,18 @@ from __future__ import annotations
 
 import gc
 import os
-import re
-import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from strataform.session import ship
+from strataform.storage import work_dir, written  # noqa: F401
 
 #: A word is a run of anything but these bytes (space and the ASCII controls 9 to 13).
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def work_dir(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share; it goes when the application ends.
-
-    The folder is what ``spark.checkpoint.dir`` names. Only where a session names none (tests on one
-    machine) is one made, and set for the whole session.
-    """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base and not re.match(r"local(\[|$)", sc.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="strataform-")
-        sc.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def written(df: DataFrame, label: str, **options) -> DataFrame:
-    """Writes a frame to the shared folder and reads it back: lineage is cut, and losing executors loses nothing."""
-    spark = df.sparkSession
-    path = work_dir(spark, label)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows that go to a Python worker at a time, for texts are long: set where the session has Spark's default.
 ARROW_ROWS = 1000
 
