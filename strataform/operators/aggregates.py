@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import operator
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataform.functions.core import KINDS
+from strataform.operators.windows import running_sums
 from strataform.session import table
 
 SAMPLE = {
@@ -59,10 +64,14 @@ def add_frame(row: int, name: str, run: Callable[[DataFrame], DataFrame], sql: s
     CATALOGUE[name] = Aggregate(row, name, run, sql and sql.replace("BASE", BASE))
 
 
-def near(row: int, name: str, build: Callable[[], Column], exact: Callable[[], Column], share: float, sql_true: str = "true") -> None:
-    """An approximation: whether it is within a share of the exact value."""
-    run = lambda df: df.groupBy(GROUP).agg(build().cast("double").alias("a"), exact().cast("double").alias("e")).select("g", (F.abs(F.col("a") - F.col("e")) <= F.abs(F.col("e")) * share + 1e-9).alias("v"))
-    CATALOGUE[name] = Aggregate(row, name, run, f"SELECT g, {sql_true} AS v FROM {BASE} GROUP BY g")
+def near(row: int, name: str, build: Callable[[], Column], exact: Callable[[], Column], share: float, sql: str, source: str = "BASE") -> None:
+    """An approximation: the exact value, held against SQL, and whether the approximation is within a share of it."""
+
+    def run(df: DataFrame) -> DataFrame:
+        both = df.groupBy(GROUP).agg(build().cast("double").alias("a"), exact().cast("double").alias("e"))
+        return both.select("g", F.round("e", 6).alias("exact"), (F.abs(F.col("a") - F.col("e")) <= F.abs(F.col("e")) * share + 1e-9).alias("within"))
+
+    CATALOGUE[name] = Aggregate(row, name, run, f"SELECT g, round(CAST({sql} AS DOUBLE), 6) AS exact, true AS within FROM {source.replace('BASE', BASE)} GROUP BY g")
 
 
 # --- frames
@@ -85,19 +94,15 @@ def top_k(df: DataFrame, keys: list[str], col: str, k: int) -> DataFrame:
     """The k most frequent values, exactly; ties by value. A group's state is k pairs, not its values."""
     counted = df.where(F.col(col).isNotNull()).groupBy(*keys, col).count()
     order = F.struct((-F.col("count")).alias("c"), F.col(col).alias("v"))
-    from pyspark.sql import Window
-
     ranked = counted.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("count"), col))).where(F.col("rn") <= k)
     return ranked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(order)), lambda e: e["v"]).alias("v"))
 
 
 def max_intersections(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Most intervals open at once, and where that first is so. Starts count before ends at the same place."""
-    from pyspark.sql import Window
-
     events = df.select(*keys, F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("d")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("d")))).alias("e")).select(*keys, "e.*")
     steps = events.groupBy(*keys, "at", "d").agg(F.sum("d").alias("d2"))
-    running = steps.withColumn("open", F.sum("d2").over(Window.partitionBy(*keys).orderBy("at", F.desc("d")).rowsBetween(Window.unboundedPreceding, 0)))
+    running = running_sums(steps, keys, [F.asc("at"), F.desc("d")], {"open": F.col("d2")})
     return running.groupBy(*keys).agg(F.max("open").alias("most"), F.min_by("at", F.struct(-F.col("open"), "at")).alias("position"))
 
 
@@ -115,44 +120,122 @@ def for_each_sum(df: DataFrame, keys: list[str], arr: str) -> DataFrame:
 
 def weighted_quantile(df: DataFrame, keys: list[str], col: str, weight: str, level: float) -> DataFrame:
     """The first value at which the running weight reaches level times all weight."""
-    from pyspark.sql import Window
-
     merged = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.sum(weight).alias("w"))
-    run = Window.partitionBy(*keys).orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    return merged.withColumn("c", F.sum("w").over(run)).withColumn("t", F.sum("w").over(whole)).where(F.col("c") >= F.col("t") * level).groupBy(*keys).agg(F.min(col).alias("v"))
-
-
-def sequences(df: DataFrame, keys: list[str], order: list[str], conditions: dict[str, Column], pattern: str, count: bool) -> DataFrame:
-    """Events in order as letters of the first condition that holds, matched by a regular expression over letters.
-
-    A group's events are sorted by a secondary sort and folded to one string; ``(?tN)`` guards are not letters
-    and need ``sequences_within``.
+    whole = merged.groupBy(*keys).agg(F.sum("w").alias("t"))
+    running = running_sums(merged, keys, [F.asc(col)], {"c": F.col("w")})
+    return running.join(whole, keys).where(F.col("c") >= F.col("t") * level).groupBy(*keys).agg(F.min(col).alias("v"))
+
+
+def group_array(df: DataFrame, keys: list[str], col: str, order: list, size: int) -> DataFrame:
+    """The first values in an order, at most so many: a group is cut to them before it is gathered."""
+    rows = df.where(F.col(col).isNotNull()).withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= size)
+    return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", F.col(col).alias("e")))), lambda x: x["e"]).alias("v"))
+
+
+def wrapping_sum(col: Column) -> Column:
+    """The sum of whole numbers in 64 bits, going round where it doesn't fit."""
+    total, size = F.sum(col.cast("decimal(20,0)")), F.lit("18446744073709551616").cast("decimal(20,0)")
+    half = F.lit("9223372036854775808").cast("decimal(20,0)")
+    return (F.pmod(total + half, size) - half).cast("long")
+
+
+def compensated_sum(col: Column) -> Column:
+    """Without the rounding of one addition after the other: summed as decimals, of 28 digits before the point and 10 behind."""
+    return F.sum(col.cast("decimal(38,10)")).cast("double")
+
+
+#: Parts of a pattern: a condition's number, a time guard, anything, any run of events.
+_PART = re.compile(r"\(\?(\d+)\)|\(\?t(<=|>=|<|>|==)(\d+)\)|(\.\*)|(\.)")
+
+
+def parse_sequence(pattern: str) -> list[tuple]:
+    parts, at = [], 0
+    for m in _PART.finditer(pattern):
+        if m.start() != at:
+            break
+        at = m.end()
+        parts.append(("event", int(m[1])) if m[1] else ("time", m[2], int(m[3])) if m[2] else ("run",) if m[4] else ("any",))
+    if at != len(pattern):
+        raise ValueError(f"not a sequence pattern: {pattern}")
+    return parts
+
+
+def match_sequences(parts: list[tuple], times: list[float], flags: list[int], count: bool) -> int:
+    """Matches of a pattern in events by time, each with the bits of the conditions that hold: whether there is one, or
+    how many there are that don't overlap. A guard compares the times of the events before and after it."""
+    test = {"<=": operator.le, ">=": operator.ge, "<": operator.lt, ">": operator.gt, "==": operator.eq}
+    found, start = 0, 0
+    while start < len(times):
+        states, ended = {(0, None)}, None  # place in the pattern, and the time of the last event that was named
+        for at in range(start, len(times) + 1):
+            todo, seen = list(states), set()
+            while todo:  # steps without an event
+                state = todo.pop()
+                if state in seen:
+                    continue
+                seen.add(state)
+                if state[0] < len(parts) and parts[state[0]][0] == "run":
+                    todo.append((state[0] + 1, state[1]))
+            if any(k == len(parts) for k, _ in seen):
+                ended = at
+                break
+            if at == len(times):
+                break
+            states = set()
+            for k, last in seen:
+                guards = []
+                while k < len(parts) and parts[k][0] == "time":
+                    guards.append(parts[k])
+                    k += 1
+                if k == len(parts) or any(last is None or not test[g[1]](times[at] - last, g[2]) for g in guards):
+                    continue
+                kind = parts[k][0]
+                if kind == "run":
+                    states.add((k, last))
+                elif kind == "any" or flags[at] >> (parts[k][1] - 1) & 1:
+                    states.add((k + 1, times[at]))
+            if not states:
+                break
+        if ended is None:
+            start += 1
+            continue
+        if not count:
+            return 1
+        found, start = found + 1, max(ended, start + 1)
+    return found
+
+
+def sequences(df: DataFrame, keys: list[str], order: list[str], time: str, conditions: list[Column], pattern: str, count: bool) -> DataFrame:
+    """``v``: whether, or how often, the events of a group in order match a pattern such as ``(?1).*(?t<=600)(?2)``.
+
+    ``(?n)`` is an event for which the n-th condition holds, ``.`` any event, ``.*`` any run of events, ``(?t<=s)`` a
+    guard on the seconds between the events named before and after it. As in the reference a group's events are held
+    at once; events for which no condition holds are kept, for they stand between others.
     """
-    letter = None
-    for k, c in conditions.items():
-        letter = F.when(c, k) if letter is None else letter.when(c, k)
-    events = F.array_sort(F.collect_list(F.struct(*order, letter.otherwise("_").alias("_letter"))))
-    text = F.array_join(F.transform(events, lambda e: e["_letter"]), "")
-    rows = df.groupBy(*keys).agg(text.alias("text"))
-    value = F.regexp_count("text", F.lit(pattern)) if count else F.col("text").rlike(pattern)
-    return rows.select(*keys, value.alias("v"))
+    bits = reduce(lambda a, b: a + b, [F.when(x, F.lit(1 << k)).otherwise(0) for k, x in enumerate(conditions)])
+    at = F.unix_micros(F.col(time).cast("timestamp")).cast("double") / 1e6
+    events = F.array_sort(F.collect_list(F.struct(*order, at.alias("_at"), bits.alias("_bits"))))
+    rows = df.groupBy(*keys).agg(events.alias("_e")).select(*keys, F.col("_e._at").alias("_at"), F.col("_e._bits").alias("_bits"))
+    parts = parse_sequence(pattern)
 
+    def run(times: pd.Series, flags: pd.Series) -> pd.Series:
+        return pd.Series([match_sequences(parts, t.tolist(), f.tolist(), count) for t, f in zip(times, flags, strict=True)], dtype="int64")
 
-def sequences_within(df: DataFrame, keys: list[str], time: str, first: Column, second: Column, seconds: int) -> DataFrame:
-    """Whether an event of the second kind follows one of the first within so many seconds."""
-    from pyspark.sql import Window
+    n = F.pandas_udf(run, "long")("_at", "_bits")
+    return rows.select(*keys, (n if count else n > 0).alias("v"))
 
-    w = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max(F.when(first, F.col(time).cast("timestamp").cast("double"))).over(w)
-    hit = second & (F.col(time).cast("timestamp").cast("double") - last <= seconds)
-    return df.withColumn("hit", F.coalesce(hit, F.lit(False))).groupBy(*keys).agg(F.max("hit").alias("v"))
 
-
-def group_concat(col: str, separator: str = ",", distinct: bool = False, max_len: int = 1024) -> Column:
-    """Values in order, cut to so many characters; NULLs are skipped."""
-    values = F.array_sort((F.collect_set if distinct else F.collect_list)(col))
-    return F.left(F.array_join(values, separator), F.lit(max_len))
+def group_concat(df: DataFrame, keys: list[str], col: str, separator: str = ",", distinct: bool = False, max_len: int = 1024) -> DataFrame:
+    """Values in order, cut to so many characters; NULLs are skipped. No more values of a group are gathered than can
+    have a place: each but the first brings a separator."""
+    rows = df.where(F.col(col).isNotNull()).select(*keys, col)
+    rows = rows.distinct() if distinct else rows
+    most = max_len // max(1, len(separator)) + 1 if separator else None
+    if most is None:
+        lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(col)).alias("v"))
+    else:
+        lists = group_array(rows, keys, col, [F.asc(col)], most)
+    return lists.select(*keys, F.left(F.array_join("v", separator), F.lit(max_len)).alias("v"))
 
 
 c = F.col
@@ -160,8 +243,8 @@ add(1, "count", lambda: F.count("j"), "l", "count(j)")
 add(2, "countSecondStage", lambda: F.coalesce(F.sum(F.lit(1)), F.lit(0)), "l", "count(*)")
 add(3, "sum", lambda: F.sum("dc"), "d", "sum(dc)")
 add(4, "sum_int", lambda: F.sum("j"), "l", "sum(j)")
-add(5, "sumWithOverflow", lambda: F.sum("i"), "l", "sum(i)")
-add(6, "sumKahan", lambda: F.sum("x"), "d", "sum(x)")
+add(5, "sumWithOverflow", lambda: wrapping_sum(c("o") * 1000003 * c("n") * 1000003), "l", "((sum(o::HUGEINT * 1000003 * n * 1000003) + 9223372036854775808::HUGEINT) % 18446744073709551616::HUGEINT + 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT - 9223372036854775808::HUGEINT")
+add(6, "sumKahan", lambda: compensated_sum(c("x") + c("y") / 3), "d", "kahan_sum(x + y / 3)")
 add(7, "avg", lambda: F.avg("x"), "d", "avg(x)")
 add(8, "min", lambda: F.min("dc"), "d", "min(dc)")
 add(9, "max", lambda: F.max("s"), "s", "max(s)")
@@ -169,9 +252,9 @@ add_frame(10, "min_for_window", lambda df: _window(df, F.min), "SELECT o, i, k,
 add_frame(11, "max_for_window", lambda df: _window(df, F.max), "SELECT o, i, k, max(x) OVER (PARTITION BY o ORDER BY i, k, n ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS v FROM BASE")
 add_frame(12, "min_count", lambda df: extreme_count(df, ["g"], "x", True), "SELECT g, count(*) AS v FROM (SELECT g, x, min(x) OVER (PARTITION BY g) AS m FROM BASE) WHERE x = m GROUP BY g")
 add_frame(13, "max_count", lambda df: extreme_count(df, ["g"], "x", False), "SELECT g, count(*) AS v FROM (SELECT g, x, max(x) OVER (PARTITION BY g) AS m FROM BASE) WHERE x = m GROUP BY g")
-add(14, "any", lambda: F.any_value("j", ignoreNulls=True).isNotNull(), "b", "count(j) > 0")
+add(14, "any", lambda: F.array_contains(F.collect_set("j"), F.any_value("j", ignoreNulls=True)), "b", "CASE WHEN count(j) > 0 THEN true END")
 add(15, "first_row", lambda: F.first("g"), "s", "first(g)")
-add(16, "anyLast", lambda: F.last("j", ignorenulls=True).isNotNull(), "b", "count(j) > 0")
+add(16, "anyLast", lambda: F.array_contains(F.collect_set("j"), F.last("j", ignorenulls=True)), "b", "CASE WHEN count(j) > 0 THEN true END")
 add_frame(17, "anyHeavy", lambda df: top_k(df, ["g"], "i", 1).select("g", F.get("v", F.lit(0)).alias("v")), "SELECT g, i AS v FROM (SELECT g, i, row_number() OVER (PARTITION BY g ORDER BY count(*) DESC, i) AS rn FROM BASE GROUP BY g, i) WHERE rn = 1")
 add(18, "argMin", lambda: F.min_by("o", F.struct("dc", "o", "i")), "l", "arg_min(o, dc * 1000000 + o)")
 add(19, "argMax", lambda: F.max_by("o", F.struct("dc", "o", "i")), "l", "arg_max(o, dc * 1000000 + o)")
@@ -187,33 +270,35 @@ for row, name, f, sql in (
     add(row, name, f, "d", sql)
     add(row + 7 if row < 26 else 33, f"{name}Stable", f, "d", sql)
 _distinct = lambda: F.count_distinct("k")
-near(34, "uniq", lambda: F.approx_count_distinct("k", 0.02), _distinct, 0.1)
-near(35, "uniqHLL12", lambda: F.hll_sketch_estimate(F.hll_sketch_agg("k", F.lit(12))), _distinct, 0.1)
+near(34, "uniq", lambda: F.approx_count_distinct("k", 0.02), _distinct, 0.1, "count(DISTINCT k)")
+near(35, "uniqHLL12", lambda: F.hll_sketch_estimate(F.hll_sketch_agg("k", F.lit(12))), _distinct, 0.1, "count(DISTINCT k)")
 add(36, "uniqExact", lambda: F.count_distinct("k", "i"), "l", "count(DISTINCT (k, i))")
-near(37, "uniqCombined", lambda: F.approx_count_distinct("k", 0.01), _distinct, 0.05)
-add_frame(38, "uniqRawRes", lambda df: df.groupBy("g", "i").agg(F.hll_sketch_agg("k", F.lit(14)).alias("sk"), F.count_distinct("k").alias("n")).groupBy("g").agg(F.hll_sketch_estimate(F.hll_union_agg("sk")).alias("a"), F.max("n").alias("least")).select("g", (F.col("a") >= F.col("least") * 0.9).alias("v")), "SELECT DISTINCT g, true AS v FROM BASE")
+near(37, "uniqCombined", lambda: F.approx_count_distinct("k", 0.01), _distinct, 0.05, "count(DISTINCT k)")
+add_frame(38, "uniqRawRes", lambda df: df.groupBy("g", "i").agg(F.hll_sketch_agg("k", F.lit(14)).alias("sk")).groupBy("g").agg(F.hll_sketch_estimate(F.hll_union_agg("sk")).alias("a")).join(df.groupBy("g").agg(F.count_distinct("k").alias("exact")), "g").select("g", "exact", (F.abs(c("a") - c("exact")) <= c("exact") * 0.05 + 1e-9).alias("within")), "SELECT g, count(DISTINCT k) AS exact, true AS within FROM BASE GROUP BY g")
 add(39, "uniqUpTo", lambda: F.least(F.count_distinct("i"), F.lit(6)), "l", "least(count(DISTINCT i), 6)")
+#: Each row as often as its weight says.
+_TIMES = "(SELECT g, x, y, unnest(range(i)) AS nth FROM BASE)"
 _median = lambda: F.percentile("x", 0.5)
-near(40, "quantile", lambda: F.percentile_approx("x", 0.5), _median, 0.05)
-near(41, "quantiles", lambda: F.get(F.percentile_approx("x", [0.5, 0.9]), F.lit(1)), lambda: F.percentile("x", 0.9), 0.05)
-near(42, "quantileDeterministic", lambda: F.percentile_approx("x", 0.5), _median, 0.05)
-near(43, "quantilesDeterministic", lambda: F.get(F.percentile_approx("x", [0.1, 0.9]), F.lit(0)), lambda: F.percentile("x", 0.1), 0.2)
+near(40, "quantile", lambda: F.percentile_approx("x", 0.5), _median, 0.05, "quantile_cont(x, 0.5)")
+near(41, "quantiles", lambda: F.get(F.percentile_approx("x", [0.5, 0.9]), F.lit(1)), lambda: F.percentile("x", 0.9), 0.05, "quantile_cont(x, 0.9)")
+near(42, "quantileDeterministic", lambda: F.percentile_approx("x", 0.5), _median, 0.05, "quantile_cont(x, 0.5)")
+near(43, "quantilesDeterministic", lambda: F.get(F.percentile_approx("x", [0.1, 0.9]), F.lit(0)), lambda: F.percentile("x", 0.1), 0.2, "quantile_cont(x, 0.1)")
 add(44, "quantileExact", lambda: F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY x)"), "d", "quantile_disc(x, 0.5)")
 add(45, "quantilesExact", lambda: F.concat_ws(",", F.transform(F.percentile("x", [0.5, 0.9]), lambda e: F.format_number(e, 3))), "s", "format('{:,.3f},{:,.3f}', quantile_cont(x, 0.5), quantile_cont(x, 0.9))")
 add_frame(46, "quantileExactWeighted", lambda df: weighted_quantile(df, ["g"], "x", "i", 0.5), "WITH m AS (SELECT g, x, sum(i) AS w FROM BASE GROUP BY g, x), r AS (SELECT g, x, sum(w) OVER (PARTITION BY g ORDER BY x) AS c, sum(w) OVER (PARTITION BY g) AS t FROM m) SELECT g, min(x) AS v FROM r WHERE c >= t * 0.5 GROUP BY g")
 add_frame(47, "quantilesExactWeighted", lambda df: weighted_quantile(df, ["g"], "x", "i", 0.9), "WITH m AS (SELECT g, x, sum(i) AS w FROM BASE GROUP BY g, x), r AS (SELECT g, x, sum(w) OVER (PARTITION BY g ORDER BY x) AS c, sum(w) OVER (PARTITION BY g) AS t FROM m) SELECT g, min(x) AS v FROM r WHERE c >= t * 0.9 GROUP BY g")
-near(48, "quantileTiming", lambda: F.percentile_approx("x", 0.5), _median, 0.05)
-near(49, "quantileTimingWeighted", lambda: F.percentile("x", 0.5, F.col("i")), _median, 0.1)
-near(50, "quantilesTiming", lambda: F.get(F.percentile_approx("x", [0.5, 0.9]), F.lit(0)), _median, 0.05)
-near(51, "quantilesTimingWeighted", lambda: F.get(F.percentile("x", [0.5, 0.9], F.col("i")), F.lit(1)), lambda: F.percentile("x", 0.9), 0.1)
-near(52, "quantileTDigest", lambda: F.percentile_approx("x", 0.5, 10000), _median, 0.05)
-near(53, "quantileTDigestWeighted", lambda: F.percentile("x", 0.5, F.col("i")), _median, 0.1)
-near(54, "quantilesTDigest", lambda: F.get(F.percentile_approx("x", [0.5, 0.9], 10000), F.lit(1)), lambda: F.percentile("x", 0.9), 0.05)
-near(55, "quantilesTDigestWeighted", lambda: F.get(F.percentile("x", [0.5, 0.9], F.col("i")), F.lit(0)), _median, 0.1)
-add(56, "groupArray", lambda: F.size(F.slice(F.collect_list("j"), 1, 10)), "l", "least(count(j), 10)")
+near(48, "quantileTiming", lambda: F.percentile_approx("x", 0.5), _median, 0.05, "quantile_cont(x, 0.5)")
+near(49, "quantileTimingWeighted", lambda: F.percentile("x", 0.5, c("i")), lambda: F.percentile("x", 0.5, c("i")), 0.001, "quantile_cont(x, 0.5)", _TIMES)
+near(50, "quantilesTiming", lambda: F.get(F.percentile_approx("x", [0.5, 0.9]), F.lit(0)), _median, 0.05, "quantile_cont(x, 0.5)")
+near(51, "quantilesTimingWeighted", lambda: F.get(F.percentile("x", [0.5, 0.9], c("i")), F.lit(1)), lambda: F.percentile("x", 0.9, c("i")), 0.001, "quantile_cont(x, 0.9)", _TIMES)
+near(52, "quantileTDigest", lambda: F.percentile_approx("x", 0.5, 10000), _median, 0.05, "quantile_cont(x, 0.5)")
+near(53, "quantileTDigestWeighted", lambda: F.percentile("y", 0.5, c("x").cast("long")), lambda: F.percentile("y", 0.5, c("x").cast("long")), 0.001, "quantile_cont(y, 0.5)", _TIMES.replace("range(i)", "range(x::BIGINT)"))
+near(54, "quantilesTDigest", lambda: F.get(F.percentile_approx("x", [0.5, 0.9], 10000), F.lit(1)), lambda: F.percentile("x", 0.9), 0.05, "quantile_cont(x, 0.9)")
+near(55, "quantilesTDigestWeighted", lambda: F.get(F.percentile("y", [0.5, 0.9], c("x").cast("long")), F.lit(1)), lambda: F.percentile("y", 0.9, c("x").cast("long")), 0.001, "quantile_cont(y, 0.9)", _TIMES.replace("range(i)", "range(x::BIGINT)"))
+add_frame(56, "groupArray", lambda df: group_array(df, ["g"], "j", [F.asc("o"), F.asc("i"), F.asc("k"), F.asc("n")], 10).select("g", F.array_join("v", ",").alias("v")), "SELECT g, string_agg(j, ',' ORDER BY rn) AS v FROM (SELECT g, j, row_number() OVER (PARTITION BY g ORDER BY o, i, k, n) AS rn FROM BASE WHERE j IS NOT NULL) WHERE rn <= 10 GROUP BY g")
 add(57, "groupUniqArray", lambda: F.array_join(F.array_sort(F.collect_set("j")), ","), "s", "array_to_string(list_sort(list(DISTINCT j) FILTER (WHERE j IS NOT NULL)), ',')")
 add_frame(58, "groupArrayInsertAt", lambda df: insert_at(df, ["g"], "o", "i", 9, -1).select("g", F.array_join("v", ",").alias("v")), "SELECT g, array_to_string(list_transform(range(0, 9), lambda p: coalesce(list_extract(map_extract(m, p::INT), 1), -1)), ',') AS v FROM (SELECT g, map_from_entries(list((i::INT, o))) AS m FROM (SELECT g, i, min(o) AS o FROM BASE GROUP BY g, i) GROUP BY g)")
-add(59, "group_concat", lambda: group_concat("s", "|", True, 12), "s", "left(string_agg(DISTINCT s, '|' ORDER BY s), 12)")
+add_frame(59, "group_concat", lambda df: group_concat(df, ["g"], "s", "|", True, 12), "SELECT g, left(string_agg(DISTINCT s, '|' ORDER BY s), 12) AS v FROM BASE WHERE s IS NOT NULL GROUP BY g")
 add_frame(60, "sumMap", lambda df: sum_map(df, ["g"], "i", "o").select("g", F.array_join("map_keys", ",").alias("ks"), F.array_join("map_values", ",").alias("vs")), "SELECT g, string_agg(i, ',' ORDER BY i) AS ks, string_agg(t, ',' ORDER BY i) AS vs FROM (SELECT g, i, sum(o)::BIGINT AS t FROM BASE GROUP BY g, i) GROUP BY g")
 add_frame(61, "topK", lambda df: top_k(df, ["g"], "k", 5).select("g", F.array_join("v", ",").alias("v")), "SELECT g, string_agg(k, ',' ORDER BY rn) AS v FROM (SELECT g, k, row_number() OVER (PARTITION BY g ORDER BY count(*) DESC, k) AS rn FROM BASE GROUP BY g, k) WHERE rn <= 5 GROUP BY g")
 add(62, "groupBitOr", lambda: F.bit_or("o"), "l", "bit_or(o)")
@@ -223,21 +308,19 @@ _OPEN = "WITH e AS (SELECT g, o AS p, 1 AS d FROM BASE UNION ALL SELECT g, o + n
 _spans = lambda df: max_intersections(df.withColumn("e", c("o") + c("n")), ["g"], "o", "e")
 add_frame(65, "maxIntersections", lambda df: _spans(df).select("g", c("most").cast("long").alias("v")), _OPEN + "SELECT g, max(open)::BIGINT AS v FROM r GROUP BY g")
 add_frame(66, "maxIntersectionsPosition", lambda df: _spans(df).select("g", c("position").alias("v")), _OPEN + "SELECT g, min(p) AS v FROM r WHERE open = (SELECT max(open) FROM r AS q WHERE q.g = r.g) GROUP BY g")
-_letters = lambda df, pattern, count: sequences(df, ["o"], ["i", "k", "n"], {"a": c("x") < 25, "b": c("y") > 5}, pattern, count)
+_events = lambda df, pattern, count: sequences(df, ["o"], ["i", "k", "n"], "ts", [c("x") < 25, (c("y") > 5) & (c("x") >= 25)], pattern, count)
 _LETTERS_SQL = "SELECT o, {} AS v FROM (SELECT o, string_agg(CASE WHEN x < 25 THEN 'a' WHEN y > 5 THEN 'b' ELSE '_' END, '' ORDER BY i, k, n, CASE WHEN x < 25 THEN 'a' WHEN y > 5 THEN 'b' ELSE '_' END) AS w FROM BASE GROUP BY o)"
-add_frame(67, "sequenceMatch", lambda df: _letters(df, "a.*b", False), _LETTERS_SQL.format("regexp_matches(w, 'a.*b')"))
-add_frame(68, "sequenceCount", lambda df: _letters(df, "a.*?b", True).select("o", c("v").cast("long").alias("v")), _LETTERS_SQL.format("CAST(len(regexp_extract_all(w, 'a.*?b')) AS BIGINT)"))
+add_frame(67, "sequenceMatch", lambda df: _events(df, "(?1).*(?2)", False), _LETTERS_SQL.format("regexp_matches(w, 'a.*b')"))
+add_frame(68, "sequenceCount", lambda df: _events(df, "(?1).*(?2)", True), _LETTERS_SQL.format("CAST(len(regexp_extract_all(w, 'a.*?b')) AS BIGINT)"))
 add(69, "If", lambda: F.sum(F.when(c("b"), c("i"))), "l", "sum(i) FILTER (WHERE b)")
 add(70, "Array", lambda: F.sum(F.aggregate(F.array("i", "o"), F.lit(0).cast("long"), lambda acc, e: acc + e)), "l", "sum(i + o)")
 add_frame(71, "ForEach", lambda df: for_each_sum(df.withColumn("arr", F.array(c("i").cast("long"), c("o"))), ["g"], "arr").select("g", F.array_join("v", ",").alias("v")), "SELECT g, sum(i)::BIGINT || ',' || sum(o)::BIGINT AS v FROM BASE GROUP BY g")
-add_frame(72, "State", lambda df: df.groupBy("g").agg(F.hll_sketch_agg("k", F.lit(14)).alias("state"), F.count_distinct("k").alias("n")).select("g", (F.abs(F.hll_sketch_estimate("state") / c("n") - 1) < 0.05).alias("v")), "SELECT DISTINCT g, true AS v FROM BASE")
+add_frame(72, "State", lambda df: df.groupBy("g").agg(F.hll_sketch_agg("k", F.lit(14)).alias("state"), F.count_distinct("k").alias("exact")).select("g", "exact", (F.abs(F.hll_sketch_estimate("state") / c("exact") - 1) < 0.05).alias("within")), "SELECT g, count(DISTINCT k) AS exact, true AS within FROM BASE GROUP BY g")
 add_frame(73, "Merge", lambda df: df.groupBy("g", "i").agg(F.sum("o").alias("part")).groupBy("g").agg(F.sum("part").alias("v")), "SELECT g, sum(o)::BIGINT AS v FROM BASE GROUP BY g")
 add(74, "Null", lambda: F.sum(F.when(c("i") > 100, c("i"))), "l", "sum(i) FILTER (WHERE i > 100)")
 add(75, "nothing", lambda: F.max(F.lit(None).cast("int")), "l", "max(NULL::INT)")
 
 
 def _window(df: DataFrame, f) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy("o").orderBy("i", "k", "n").rowsBetween(-2, 0)
     return df.select("o", "i", "k", f("x").over(w).alias("v"))

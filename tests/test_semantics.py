@@ -240,3 +240,31 @@ def test_top_n_and_scans_are_planned_well(spark):
     assert "TakeOrderedAndProject" in plan("o099_top_n")
     scan = plan("o041_filter_pushdown")
     assert "PushedFilters: [IsNotNull(o_orderdate)" in scan and "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double,o_orderdate" in scan
+
+
+def test_sequences_with_guards():
+    from strataform.operators.aggregates import match_sequences, parse_sequence
+
+    match = lambda pattern, times, flags, count=False: match_sequences(parse_sequence(pattern), times, flags, count)
+    assert match("(?1)(?t<=5)(?2)", [0, 4], [1, 2]) == 1 and match("(?1)(?t<=5)(?2)", [0, 6], [1, 2]) == 0
+    assert match("(?1).*(?t<=5)(?2)", [0, 2, 9, 12], [1, 0, 1, 2]) == 1 and match("(?1).*(?t>5)(?2)", [0, 2, 3], [1, 0, 2]) == 0
+    assert match("(?1).(?2)", [0, 1, 2], [1, 1, 2]) == 1 and match("(?1)(?2)", [0, 1], [3, 3]) == 1
+    assert match("(?1)(?2)", [0, 1, 2, 3, 4], [1, 2, 1, 1, 2], True) == 2 and match("(?1)", [], []) == 0
+    with pytest.raises(ValueError):
+        parse_sequence("(?1)x")
+
+
+def test_sums_of_a_hot_key(spark):
+    from strataform.operators.aggregates import compensated_sum, wrapping_sum
+
+    rows = spark.range(3000).selectExpr("IF(id % 3 = 0, NULL, 'k') AS g", "id AS o", "id % 7 AS v").repartition(6)
+    got = windows.running_sums(rows, ["g"], [F.asc("o")], {"s": F.col("v"), "n": F.lit(1)}).collect()
+    for g in (None, "k"):
+        total = 0
+        for k, x in enumerate(sorted((x for x in got if x.g == g), key=lambda x: x.o)):
+            total += x.v
+            assert (x.s, x.n) == (total, k + 1)
+    big = spark.createDataFrame([(2**62,), (2**62,), (5,)], "x long")
+    assert big.agg(wrapping_sum(F.col("x")).alias("v")).first().v == -(2**63) + 5
+    some = spark.createDataFrame([(1e16,), (1.0,), (-1e16,)], "x double").coalesce(1)
+    assert some.agg(compensated_sum(F.col("x")).alias("v")).first().v == 1.0
