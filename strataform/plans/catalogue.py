@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from strataform.operators import joins, windows
 from strataform.session import table
 from strataform.sources import formats, search, versioned
+from strataform.storage import work_dir, written
 from strataform.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,12 +31,8 @@ def op(row: int, name: str, sql: str | None):
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A folder for tables that a query writes and reads back: in the warehouse, which a cluster shares."""
-    base = spark.conf.get("spark.sql.warehouse.dir", "") or "file://" + tempfile.mkdtemp()
-    path = f"{base.rstrip('/')}/scratch-{label}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+    """A folder for tables that a query writes and reads back, where executors and driver find it."""
+    return work_dir(spark, f"scratch-{label}")
 
 
 # --- scans and sources
@@ -596,7 +592,7 @@ op(109, "tumbling_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, e
 op(1091, "sliding_windows", "SELECT start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS start FROM events) GROUP BY 1")(lambda s, d: streams.run(s, streams.sliding(streams.source(s, d), "2 hours", "1 hour"), "complete"))
 op(1092, "session_windows", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events), n AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM n GROUP BY user_id, k")(lambda s, d: streams.run(s, streams.sessions(streams.source(s, d), "30 minutes"), "complete"))
 op(1093, "streaming_distinct", "SELECT DISTINCT user_id, event_type FROM events")(lambda s, d: streams.run(s, streams.source(s, d).select("user_id", "event_type").dropDuplicates(), "append"))
-op(1094, "stateful_operator", "SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")(lambda s, d: streams.run(s, streams.totals(streams.source(s, d)), "update"))
+op(1094, "stateful_operator", "SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")(lambda s, d: streams.run(s, streams.totals(streams.source(s, d)), "update", ("user_id",)))
 
 
 @op(110, "change_ingestion", "SELECT user_id, count(*)::BIGINT AS n FROM events GROUP BY 1")
@@ -604,7 +600,7 @@ def _(s, d):
     path = scratch(s, "changes")
     counted = streams.source(s, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).withColumn(versioned.DELETED, F.lit(False))
     streams.drain(counted.writeStream.outputMode("update").foreachBatch(versioned.upsert(path, "user_id")), s)
-    return versioned.snapshot(s.read.parquet(path), "user_id")
+    return versioned.snapshot(s.read.parquet(path).drop("batch"), "user_id")
 
 
 @op(111, "user_functions", "SELECT p_partkey, p_size * 2 + 1 AS v FROM part")

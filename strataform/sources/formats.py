@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from strataform.sources import binary
+
 _TSV = {"sep": "\t", "quote": "", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 #: Reader and writer of Spark, and their options.
 FORMATS = {
-    "Native": ("parquet", {}),
-    "RowBinary": ("orc", {}),
+    "Native": ("native", {}),
+    "RowBinary": ("row", {}),
     "TabSeparated": ("csv", _TSV),
     "TabSeparatedWithNames": ("csv", _TSV | {"header": "true"}),
     "JSONEachRow": ("json", {"ignoreNullFields": "false"}),
@@ -38,6 +40,9 @@ def _unescaped(c, kind: str):
 
 def write(df: DataFrame, path: str, name: str, mode: str = "overwrite") -> None:
     kind, options = FORMATS[name]
+    if name in binary.WRITERS:
+        binary.write(df, path, name)
+        return
     if kind == "csv":
         df = df.select(*[_escaped(F.col(f"`{c}`")).alias(c) for c in df.columns])
     writer = df.write.format(kind).options(**options).mode(mode)
@@ -47,6 +52,8 @@ def write(df: DataFrame, path: str, name: str, mode: str = "overwrite") -> None:
 def read(spark: SparkSession, path: str, name: str, schema: StructType) -> DataFrame:
     """Schemas are given, never inferred: no pass over the data to guess them."""
     kind, options = FORMATS[name]
+    if name in binary.WRITERS:
+        return binary.read(spark, path, name, schema)
     if kind != "csv":
         return spark.read.format(kind).options(**options).schema(schema).load(path)
     text = spark.read.format(kind).options(**options).schema(", ".join(f"`{f.name}` string" for f in schema)).load(path)

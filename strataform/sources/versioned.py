@@ -34,10 +34,11 @@ def raw(df: DataFrame) -> DataFrame:
 
 
 def upsert(path: str, handle: str):
-    """A batch writer for a stream of changes: versions are appended, and merge on read."""
+    """A batch writer for a stream of changes: a folder of versions for each batch, which a retried one writes anew.
+    Versions merge on read."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn(VERSION, F.lit(epoch).cast("long")).write.mode("append").parquet(path)
+        batch.withColumn(VERSION, F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
     return write
 

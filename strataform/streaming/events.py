@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataform.session import ship, table
+from strataform.storage import work_dir
 
 LATE = "2 hours"
 
@@ -50,14 +50,24 @@ def totals(stream: DataFrame) -> DataFrame:
     return stream.groupBy("user_id").applyInPandasWithState(add, "user_id long, n long, total double", "n long, total double", "update", "NoTimeout")
 
 
-def drain(writer, spark: SparkSession) -> None:
-    """Runs a query over all there is, and ends it."""
-    query = writer.trigger(availableNow=True).start()
+def drain(writer, spark: SparkSession, state: str | None = None) -> None:
+    """Runs a query over all there is, and ends it. Offsets and state are in the shared folder."""
+    query = writer.option("checkpointLocation", state or work_dir(spark, "stream-state")).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """The stream's result once all input is through. For tests and small results: it is held in the driver's memory."""
-    name = f"stream_{uuid.uuid4().hex}"
-    drain(stream.writeStream.format("memory").queryName(name).outputMode(mode), spark)
-    return spark.table(name)
+def run(spark: SparkSession, stream: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The stream's result once all input is through, from files of the shared folder: a folder for each batch, which a
+    retried batch writes anew. Of a complete result the last batch counts, of updates the last row for each key."""
+    path = work_dir(spark, "stream")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/_batch={epoch}")
+
+    drain(stream.writeStream.foreachBatch(write).outputMode(mode), spark)
+    rows = spark.read.schema(stream.schema.add("_batch", "long")).parquet(path)
+    if mode == "complete":
+        rows = rows.where(F.col("_batch") == rows.agg(F.max("_batch")).first()[0])
+    if mode == "update":
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), "_batch").alias("r")).select("r.*")
+    return rows.drop("_batch")
