@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import gc
-import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
 from strataform.session import ship
-from strataform.storage import work_dir, written  # noqa: F401
+from strataform.storage import _local, get, put, work_dir, written  # noqa: F401
 
 #: A word is a run of anything but these bytes (space and the ASCII controls 9 to 13).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,44 +70,6 @@ class Memo(dict):
         return value
 
 
-def put(path: str, parts) -> None:
-    """Writes a file of the shared folder, so that a retried task leaves whole files only.
-
-    By a temporary name and a rename; in object stores, where a file appears when it is complete, at once.
-    """
-    local = _local(path)
-    if local:
-        os.makedirs(os.path.dirname(local), exist_ok=True)
-        draft = f"{local}.{uuid.uuid4().hex}"
-        with open(draft, "wb") as out:
-            for part in parts:
-                out.write(part)
-        os.replace(draft, local)
-        return
-    store, name = _store(path)
-    whole = path.startswith(OBJECT_STORES)
-    draft = name if whole else f"{name}.{uuid.uuid4().hex}"
-    if not whole:
-        store.create_dir(os.path.dirname(name), recursive=True)
-    with store.open_output_stream(draft) as out:
-        for part in parts:
-            out.write(part)
-    if not whole:
-        store.move(draft, name)
-
-
-def get(path: str):
-    """The bytes of a file as a numpy array: mapped where the file is in a mounted folder, read elsewhere."""
-    import numpy as np
-
-    local = _local(path)
-    if local:
-        return np.memmap(local, np.uint8, "r").view(np.ndarray) if os.path.getsize(local) else np.zeros(0, np.uint8)
-    store, name = _store(path)
-    with store.open_input_stream(name) as f:
-        return np.frombuffer(f.read(), np.uint8)
-
-
 class Files(dict):
     """Unpacked files of the shared folder by path, through ``make``, at most so many and of so many bytes.
 
@@ -134,23 +94,6 @@ class Files(dict):
         return self[path][1]
 
 
-#: Schemes that Spark and Arrow name differently, and stores whose files appear when they are complete.
-ALIASES = {"s3a://": "s3://", "s3n://": "s3://"}
-OBJECT_STORES = ("s3a://", "s3n://", "s3://", "gs://", "abfs://", "abfss://")
-
-
-def _store(path: str):
-    from pyarrow import fs
-
-    for spark_name, arrow_name in ALIASES.items():
-        path = path.replace(spark_name, arrow_name, 1) if path.startswith(spark_name) else path
-    return fs.FileSystem.from_uri(path)
-
-
-def _local(path: str) -> str:
-    return path.split(":", 1)[1].replace("//", "", 1) if path.startswith("file:") else "" if "://" in path else path
-
-
 def pack(arrays: dict) -> bytes:
     """Named arrays as one block of bytes, each aligned to 8; ``unpack`` makes views of it."""
     import json
