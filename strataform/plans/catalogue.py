@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataform.operators import joins, windows
+from strataform.operators import joins, stages, windows
 from strataform.session import table
-from strataform.sources import formats, search, versioned
+from strataform.plans import service, sinks
+from strataform.sources import formats, remote, search, system, versioned
 from strataform.storage import work_dir, written
 from strataform.streaming import events as streams
 
@@ -82,9 +84,11 @@ def _(s, d):
     return versioned.snapshot(_versions(s, d), "c_custkey", at=2)
 
 
-@op(7, "exchange_receiver", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey")
+@op(7, "exchange_receiver", "SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY c_nationkey")
 def _(s, d):
-    return table(s, d, "customer").repartition("c_nationkey").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    sent = written(table(s, d, "customer").repartition("c_nationkey").select("c_nationkey", "c_acctbal", F.spark_partition_id().alias("sender")), "exchange")
+    received = sent.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"), F.count_distinct("sender").alias("senders"))
+    return received.where("senders = 1").drop("senders")  # a hash exchange sends a key to one place
 
 
 @op(8, "cte_source", "WITH a AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY 1) SELECT x.o_custkey FROM a x JOIN a y ON x.o_custkey = y.o_custkey + 1 WHERE x.t > y.t")
@@ -93,15 +97,17 @@ def _(s, d):
     return s.sql("WITH a AS (SELECT o_custkey, sum(o_totalprice) AS t FROM cte_orders GROUP BY 1) SELECT x.o_custkey FROM a x JOIN a y ON x.o_custkey = y.o_custkey + 1 WHERE x.t > y.t")
 
 
-@op(9, "remote_read", "SELECT count(*) AS n FROM orders")
+@op(9, "remote_read", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
 def _(s, d):
-    return table(s, d, "orders").agg(F.count(F.lit(1)).alias("n"))
+    gone = f"{work_dir(s, 'replica')}/orders.parquet"
+    return remote.from_replicas(s, [gone, f"{d.rstrip('/')}/orders.parquet"]).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
-@op(10, "null_and_concat_sources", "SELECT n_nationkey FROM nation")
+@op(10, "null_and_concat_sources", "SELECT n_nationkey AS k, 'nation' AS origin FROM nation UNION ALL SELECT r_regionkey, 'region' FROM region")
 def _(s, d):
-    nation = table(s, d, "nation").select("n_nationkey")
-    return nation.union(s.createDataFrame([], nation.schema))
+    nation = table(s, d, "nation").select(c("n_nationkey").alias("k"), F.lit("nation").alias("origin"))
+    region = table(s, d, "region").select(c("r_regionkey").alias("k"), F.lit("region").alias("origin"))
+    return nation.union(nation.where("false")).union(region)
 
 
 @op(11, "generated_column", "SELECT c_custkey, lower(c_name) AS name_low FROM customer")
@@ -109,9 +115,12 @@ def _(s, d):
     return table(s, d, "customer").withColumn("name_low", F.lower("c_name")).select("c_custkey", "name_low")
 
 
-@op(12, "object_store_scan", "SELECT s_suppkey, s_name FROM supplier")
+@op(12, "object_store_scan", "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 5000")
 def _(s, d):
-    return table(s, d, "supplier").select("s_suppkey", "s_name")
+    path = scratch(s, "store")
+    rows = table(s, d, "supplier")
+    rows.repartition(3).write.parquet(f"{path}/a/b")
+    return remote.object_store(s, path, "part-*.parquet", rows.schema).where("s_acctbal > 5000").select("s_suppkey", "s_name")
 
 
 _Q = [0.1 * ((i * 7) % 5 - 2) for i in range(64)]
@@ -127,12 +136,15 @@ def _(s, d):
     return search.nearest(table(s, d, "embeddings"), "vec_id", "embedding", _Q, "l2", 20)
 
 
-@op(131, "vector_lsh_recall", "SELECT true AS enough")
+@op(131, "vector_index_recall", "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
 def _(s, d):
     e = table(s, d, "embeddings")
-    exact = search.nearest(e, "vec_id", "embedding", _Q, "l2", 20).select("id")
-    found = search.hashed_nearest(e, "vec_id", "embedding", _Q, 20, tables=32, bits=4).select("id")
-    return exact.join(found, "id").agg((F.count(F.lit(1)) >= 18).alias("enough"))
+    asked = e.where("vec_id % 20 = 0").select("vec_id", c("embedding").alias("q"))
+    index = search.build_lists(e, "vec_id", "embedding", scratch(s, "lists"))
+    found = search.lists_nearest(s, index, asked, "vec_id", "q", 10).select("query", "id")
+    exact = search.exact_nearest(e, "vec_id", "embedding", asked, "vec_id", "q", 10).select("query", c("id").alias("near"))
+    both = exact.join(found, (exact["query"] == found["query"]) & (c("near") == c("id")), "left").select(exact["query"], "id")
+    return both.agg(F.count_distinct("query").alias("queries"), (F.count("id") >= 0.9 * F.count(F.lit(1))).alias("enough"))
 
 
 @op(
@@ -145,12 +157,17 @@ def _(s, d):
     FROM c, t WHERE a > 0 OR b > 0 ORDER BY score DESC, doc LIMIT 10""",
 )
 def _(s, d):
-    return search.bm25(table(s, d, "benchmark"), "item_id", "text", ["that", "for"], 10)
+    path = scratch(s, "postings")
+    search.store_postings(table(s, d, "benchmark"), "item_id", "text", path)
+    return search.bm25_stored(s, path, ["that", "for"], 10)
 
 
-@op(15, "inverted_index_filter", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (5, 77, 150)")
+@op(15, "inverted_index_filter", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (5, 77, 150)")
 def _(s, d):
-    return table(s, d, "lineitem").where(c("l_partkey").isin(5, 77, 150)).select("l_orderkey", "l_linenumber")
+    path = scratch(s, "indexed")
+    table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").repartitionByRange(8, "l_orderkey").write.parquet(path)
+    search.store_inverted(path, "l_partkey", f"{path}-index", s)
+    return search.read_inverted(s, path, f"{path}-index", [5, 77, 150])
 
 
 def _round_trip(s, d, name):
@@ -208,19 +225,21 @@ def _(s, d):
     return s.range(1000).withColumnRenamed("id", "number")
 
 
-@op(28, "system_tables", "SELECT 'system_nation' AS name, true AS functions")
+@op(28, "system_tables", "SELECT 'n_nationkey' AS name, 'system_nation' AS of, 'column' AS kind UNION ALL SELECT 'n_name', 'system_nation', 'column' UNION ALL SELECT 'n_regionkey', 'system_nation', 'column' UNION ALL SELECT 'system_nation', '', 'table' UNION ALL SELECT 'abs', '', 'function' UNION ALL SELECT 'default', '', 'database' UNION ALL SELECT 'spark.sql.session.timeZone', '', 'setting'")
 def _(s, d):
-    table(s, d, "nation").createOrReplaceTempView("system_nation")
-    found = s.sql("SHOW TABLES LIKE 'system_nation'").select(c("tableName").alias("name"))
-    return found.withColumn("functions", F.lit(s.sql("SHOW FUNCTIONS").limit(1).count() == 1))
+    table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey").createOrReplaceTempView("system_nation")
+    found = [system.columns(s, "system_nation"), *[system.TABLES[k](s) for k in ("table", "function", "database", "setting")]]
+    wanted = ("n_nationkey", "n_name", "n_regionkey", "system_nation", "abs", "default", "spark.sql.session.timeZone")
+    return reduce(DataFrame.unionByName, found).where(c("name").isin(*wanted)).select("name", "of", "kind").distinct()
 
 
 # --- sinks
 
 
-@op(29, "exchange_hash", "SELECT o_custkey % 7 AS k, count(*) AS n FROM orders GROUP BY 1")
+@op(29, "exchange_hash", "SELECT o_custkey % 7 AS k, count(*) AS n, true AS together FROM orders GROUP BY 1")
 def _(s, d):
-    return table(s, d, "orders").select((c("o_custkey") % 7).alias("k")).repartition("k").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    sent = table(s, d, "orders").select((c("o_custkey") % 7).alias("k")).repartition("k").withColumn("to", F.spark_partition_id())
+    return sent.groupBy("k").agg(F.count(F.lit(1)).alias("n"), (F.min("to") == F.max("to")).alias("together"))
 
 
 @op(30, "exchange_broadcast", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -241,15 +260,15 @@ def _(s, d):
     return a.join(b, (c("k") < c("k2")) & (c("m") > c("m2"))).agg(F.count(F.lit(1)).alias("n"))
 
 
-@op(33, "result_sink", "SELECT r_name FROM region")
+@op(33, "result_sink", "SELECT n_nationkey, n_name, (row_number() OVER (ORDER BY n_name) - 1) // 10 AS page FROM nation")
 def _(s, d):
-    return table(s, d, "region").select("r_name")
+    return sinks.pages(table(s, d, "nation").select("n_nationkey", "n_name"), [c("n_name")], 10)
 
 
 @op(34, "wire_encodings", "SELECT n_nationkey, n_name FROM nation")
 def _(s, d):
     rows = table(s, d, "nation").select("n_nationkey", "n_name")
-    return s.createDataFrame(rows.toArrow(), rows.schema)
+    return sinks.from_wire(sinks.to_wire(rows), rows.schema)
 
 
 @op(35, "output_values", "SELECT '(' || r_regionkey || ', ''' || r_name || ''')' AS value FROM region")
@@ -276,7 +295,7 @@ def _(s, d):
     s.sql(f"CREATE TABLE {name} (k INT, v STRING) USING parquet")
     s.sql(f"INSERT INTO {name} VALUES (1, 'a')")
     s.sql(f"ALTER TABLE {name} ADD COLUMNS (extra STRING)")
-    rows = s.createDataFrame(s.table(name).collect(), s.table(name).schema)  # one row
+    rows = written(s.table(name), "ddl")
     s.sql(f"DROP TABLE {name}")
     return rows
 
@@ -469,10 +488,47 @@ def _agg(df, *keys):
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("q"))
 
 
-for _row, _name in ((68, "hash_aggregation"), (70, "two_stage_aggregation"), (71, "aggregation_modes"), (72, "pass_through_aggregation"), (83, "aggregation_spill")):
-    op(_row, _name, _AGG)(lambda s, d: _agg(table(s, d, "lineitem"), "l_returnflag"))
+_staged = lambda: {"n": stages.count("n"), "q": stages.total("q", "l_quantity"), "mean": stages.mean("mean", "l_quantity"), "lo": stages.least("lo", "l_quantity"), "hi": stages.greatest("hi", "l_quantity")}
+_STAGED_SQL = "SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS q, round(avg(l_quantity), 6) AS mean, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY l_returnflag"
+_rounded = lambda df: df.withColumn("mean", F.round("mean", 6))
+op(68, "hash_aggregation", _AGG)(lambda s, d: _agg(table(s, d, "lineitem"), "l_returnflag"))
+
+
+@op(70, "two_stage_aggregation", _STAGED_SQL)
+def _(s, d):
+    return _rounded(stages.two_stages(table(s, d, "lineitem").select("l_returnflag", "l_quantity", "l_orderkey"), ["l_returnflag"], _staged()))
+
+
+@op(71, "aggregation_modes", _STAGED_SQL)
+def _(s, d):
+    lines = table(s, d, "lineitem")
+    states = [written(stages.partial1(lines.where(f"l_linenumber % 2 = {k}"), ["l_returnflag", "l_linestatus"], _staged()), "states") for k in (0, 1)]
+    return _rounded(stages.final(stages.partial2(states[0].unionByName(states[1]), ["l_returnflag", "l_linestatus"], _staged()), ["l_returnflag"], _staged()))
+
+
+@op(72, "pass_through_aggregation", "SELECT l_orderkey, l_linenumber, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2")
+def _(s, d):
+    return stages.pass_through(table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"], {"n": stages.count("n"), "q": stages.total("q", "l_quantity")})
+
+
+@op(83, "aggregation_spill", "SELECT l_orderkey, l_partkey, max(l_shipdate) AS last, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def _(s, d):
+    """Many groups: what memory doesn't hold goes to disk in sorted runs."""
+    return table(s, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max("l_shipdate").alias("last"), F.count(F.lit(1)).alias("n"))
+
+
 op(69, "stream_aggregation", "SELECT count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem")(lambda s, d: _agg(table(s, d, "lineitem")))
-op(73, "local_aggregation", _AGG)(lambda s, d: _agg(table(s, d, "lineitem").repartition("l_returnflag"), "l_returnflag"))
+
+
+@op(73, "local_aggregation", _STAGED_SQL)
+def _(s, d):
+    name = f"local_{uuid.uuid4().hex}"
+    out = _rounded(stages.local(table(s, d, "lineitem").select("l_returnflag", "l_quantity"), ["l_returnflag"], _staged(), name))
+    s.sql(f"DROP TABLE {name}")
+    return out
+
+
+
 op(74, "distinct", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")(lambda s, d: table(s, d, "lineitem").select("l_returnflag", "l_linestatus").distinct())
 
 
@@ -571,7 +627,7 @@ op(100, "merge_sort", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_to
 op(101, "limit", "SELECT count(*) AS n FROM (SELECT * FROM orders LIMIT 37)")(lambda s, d: table(s, d, "orders").limit(37).agg(F.count(F.lit(1)).alias("n")))
 op(102, "limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 20")(lambda s, d: table(s, d, "orders").select("o_orderkey").orderBy("o_orderkey").offset(20).limit(10))
 op(103, "limit_by", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 2")(lambda s, d: windows.limit_by(table(s, d, "orders"), 2, ["o_custkey"], [F.desc("o_totalprice"), c("o_orderkey")]).select("o_custkey", "o_orderkey"))
-op(104, "sample", "SELECT true AS near")(lambda s, d: table(s, d, "lineitem").sample(0.1, seed=5).agg(F.count(F.lit(1)).alias("n")).crossJoin(table(s, d, "lineitem").agg(F.count(F.lit(1)).alias("t"))).select(F.col("n").between(F.col("t") * 0.07, F.col("t") * 0.13).alias("near")))
+op(104, "sample", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE ('0x' || substr(md5('5:' || l_orderkey || ':' || l_linenumber), 1, 8))::BIGINT < 0.1 * 4294967296")(lambda s, d: sinks.sampled(table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"], 0.1, 5).select("l_orderkey", "l_linenumber"))
 
 # --- sets
 
@@ -611,7 +667,10 @@ def _(s, d):
 
 op(112, "array_functions", "SELECT vec_id, list_max(embedding)::DOUBLE AS top, len(embedding)::BIGINT AS n FROM embeddings")(lambda s, d: table(s, d, "embeddings").select("vec_id", F.array_max("embedding").cast("double").alias("top"), F.size("embedding").cast("long").alias("n")))
 op(113, "sql_text", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")(lambda s, d: s.sql("SELECT n_regionkey, count(*) AS n FROM {t} GROUP BY 1", t=table(s, d, "nation")))
-op(114, "service_surface", "SELECT count(*) AS n FROM region")(lambda s, d: table(s, d, "region").agg(F.count(F.lit(1)).alias("n")))
+op(114, "service_surface", "SELECT 1 AS id, 3::BIGINT AS n, '' AS error UNION ALL SELECT 2, 0, 'TABLE_OR_VIEW_NOT_FOUND' UNION ALL SELECT 3, 5, '' UNION ALL SELECT 4, 0, 'PARSE_SYNTAX_ERROR'")(
+    lambda s, d: service.answers(s, d, [(1, "SELECT r_regionkey FROM {region} WHERE r_regionkey > 1"), (2, "SELECT * FROM nowhere"), (3, "SELECT r_regionkey, count(*) FROM {region} JOIN {nation} ON r_regionkey = n_regionkey GROUP BY 1"), (4, "SELEC 1")])
+)
+
 
 
 @op(115, "compaction", f"SELECT c_custkey, {_BAL} AS c_acctbal FROM customer WHERE c_custkey % 7 <> 0")

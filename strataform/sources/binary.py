@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from strataform.storage import put
+from strataform.storage import make_folder, put
 
 #: Type names and layouts by Spark's names.
 TYPES = {"tinyint": ("Int8", "<i1"), "smallint": ("Int16", "<i2"), "int": ("Int32", "<i4"), "bigint": ("Int64", "<i8"), "float": ("Float32", "<f4"), "double": ("Float64", "<f8"), "boolean": ("UInt8", "<u1"), "date": ("Date", "<u2"), "string": ("String", None), "binary": ("String", None)}
@@ -168,6 +168,7 @@ def write(df: DataFrame, path: str, name: str) -> None:
         yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], ["rows"])
 
     df.mapInArrow(run, "rows long").agg({"rows": "sum"}).collect()
+    make_folder(df.sparkSession, path)  # where there was no task
 
 
 def read(spark: SparkSession, path: str, name: str, schema: StructType) -> DataFrame:

@@ -1,11 +1,17 @@
-"""Search over text and vectors: postings with BM25, exact and hashed nearest neighbours."""
+"""Search over text and vectors: stored postings with BM25, exact nearest neighbours, and an index of lists around centres."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from strataform.functions.nested import cosine, dot, l2
+from strataform.storage import written
 
 K1, B = 1.2, 0.75
 METRICS = {"l2": l2, "cosine": cosine, "inner": lambda v, w: -dot(v, w)}
@@ -18,42 +24,111 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.groupBy("term", "doc", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(docs: DataFrame, id_col: str, text_col: str, terms: list[str], k: int) -> DataFrame:
-    """The k best documents. Only postings of the terms are shuffled; document lengths are summed on the way."""
-    words = F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    rows = docs.select(F.col(id_col).alias("doc"), words.alias("w")).withColumn("length", F.size("w"))
-    counts = [F.size(F.filter("w", (lambda t: lambda x: x == t)(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    rows = rows.select("doc", "length", *counts)
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
-    scored = rows.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.ln(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        tf = F.col(f"tf{i}")
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return scored.select("doc", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc").limit(k)
-
-
 def nearest(vectors: DataFrame, id_col: str, vec_col: str, query: list[float], metric: str, k: int) -> DataFrame:
     """Exact: a distance for each row, and a top-k that keeps k rows in a task."""
     q = F.array(*[F.lit(float(x)) for x in query])
     return vectors.select(F.col(id_col).alias("id"), F.round(METRICS[metric](F.col(vec_col), q), 6).alias("distance")).orderBy("distance", "id").limit(k)
 
 
-def hashed_nearest(vectors: DataFrame, id_col: str, vec_col: str, query: list[float], k: int, tables: int = 8, bits: int = 6, seed: int = 7) -> DataFrame:
-    """Approximate: rows that share a random-hyperplane bucket with the query, ranked exactly."""
-    import random
-
-    r = random.Random(seed)
-    planes = [[[r.gauss(0, 1) for _ in query] for _ in range(bits)] for _ in range(tables)]
-
-    def key(v, table):
-        return sum((F.when(dot(v, F.array(*[F.lit(x) for x in plane])) > 0, 1 << b).otherwise(0) for b, plane in enumerate(table)), F.lit(0))
-
-    def own(table):
-        return sum(1 << b for b, plane in enumerate(table) if sum(x * y for x, y in zip(plane, query, strict=True)) > 0)
-
-    cond = F.lit(False)
-    for table in planes:
-        cond = cond | (key(F.col(vec_col), table) == own(table))
-    return nearest(vectors.where(cond), id_col, vec_col, query, "l2", k)
+@dataclass
+class Lists:
+    """An index of vectors: its folder, and the centres of its lists. Rows of a list are a folder of their own."""
+
+    path: str
+    centres: np.ndarray
+    schema: StructType
+
+
+def build_lists(vectors: DataFrame, id_col: str, vec_col: str, path: str, lists: int = 64, sample: int = 20_000, rounds: int = 8, seed: int = 7) -> Lists:
+    """Every row is filed under its nearest centre. Centres are fitted to a bounded sample, the rows with the least
+    hashes of their identifiers, on the driver; rows without a vector are left out."""
+    rows = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    some = rows.orderBy(F.xxhash64("id", F.lit(seed))).limit(sample).select("v").toArrow().column(0).to_pylist()
+    points = np.array(some, float)
+    if not len(points):
+        centres = np.zeros((1, 0))
+    else:
+        r = np.random.default_rng(seed)
+        centres = points[r.choice(len(points), min(lists, len(points)), replace=False)]
+        for _ in range(rounds):
+            near = _nearest_centres(points, centres, 1)[:, 0]
+            counts = np.bincount(near, minlength=len(centres))
+            sums = np.zeros_like(centres)
+            np.add.at(sums, near, points)
+            centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
+    filed = rows.withColumn("list", F.pandas_udf(lambda v: pd.Series(_nearest_centres(np.stack(v.to_numpy()), centres, 1)[:, 0]), "int")("v"))
+    filed.repartition("list").write.partitionBy("list").parquet(path)
+    return Lists(path, centres, rows.schema)
+
+
+def _nearest_centres(points: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
+    distance = (centres * centres).sum(1)[None, :] - 2 * points @ centres.T
+    return np.argsort(distance, axis=1, kind="stable")[:, :k].astype(np.int32)
+
+
+def lists_nearest(spark: SparkSession, index: Lists, queries: DataFrame, query_id: str, query_vec: str, k: int, probes: int = 40) -> DataFrame:
+    """``query, id, distance``: the k nearest of each query among the lists around its nearest centres.
+
+    Queries meet rows by list, in a join; a query keeps k rows of a task before it is shuffled. How many lists must be
+    probed for a recall hangs on the data: 40 of 64 give 0.95 for directions at random, which have no clusters at all.
+    """
+    centres = index.centres
+    nearest = F.pandas_udf(lambda v: pd.Series(list(_nearest_centres(np.stack(v.to_numpy()), centres, probes))), "array<int>")
+    asked = queries.where(F.col(query_vec).isNotNull()).select(F.col(query_id).alias("query"), F.col(query_vec).cast("array<double>").alias("q"))
+    asked = asked.withColumn("list", F.explode(nearest("q")))
+    rows = spark.read.schema(StructType([*index.schema.fields, StructField("list", IntegerType())])).parquet(index.path)
+    met = rows.join(asked, "list").select("query", "id", F.round(l2(F.col("v"), F.col("q")), 6).alias("distance"))
+    first = Window.partitionBy("query").orderBy("distance", "id")
+    return met.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k).drop("rn")
+
+
+def exact_nearest(vectors: DataFrame, id_col: str, vec_col: str, queries: DataFrame, query_id: str, query_vec: str, k: int) -> DataFrame:
+    """``query, id, distance`` by brute force, for a stated set of queries against all rows."""
+    asked = F.broadcast(queries.where(F.col(query_vec).isNotNull()).select(F.col(query_id).alias("query"), F.col(query_vec).alias("q")))
+    met = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).join(asked).select("query", "id", F.round(l2(F.col("v"), F.col("q")), 6).alias("distance"))
+    first = Window.partitionBy("query").orderBy("distance", "id")
+    return met.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k).drop("rn")
+
+
+#: Folders of stored postings.
+BUCKETS = 64
+
+
+def store_postings(docs: DataFrame, id_col: str, text_col: str, path: str) -> None:
+    """Postings by buckets of terms, sorted, and what BM25 needs of the corpus: one scan of the documents, one of postings."""
+    found = written(postings(docs, id_col, text_col), "postings")
+    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
+    found.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    lengths = found.groupBy("doc").agg(F.max("length").alias("length")).agg(F.sum("length").alias("words"))
+    docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(lengths).write.parquet(f"{path}/corpus")  # one row each
+
+
+def bm25_stored(spark: SparkSession, path: str, terms: list[str], k: int) -> DataFrame:
+    """The k best documents, from the postings of the terms alone: their buckets' folders and rows are all that is read."""
+    terms = sorted(set(terms))
+    buckets = [r.b for r in spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(BUCKETS)).cast("int").alias("b")).collect()]
+    corpus = spark.read.parquet(f"{path}/corpus").select("n", (F.col("words") / F.col("n")).alias("mean"))
+    rows = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+    df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rows = rows.join(F.broadcast(df), "term").crossJoin(F.broadcast(corpus))  # a row for each term, and one
+    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    return rows.groupBy("doc").agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), "doc").limit(k)
+
+
+def store_inverted(path: str, column: str, index: str, spark: SparkSession) -> None:
+    """Where each value of a column of stored files is: values in order, with file and row number."""
+    rows = spark.read.parquet(path).select(F.col(column).alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    rows.where("value IS NOT NULL").repartitionByRange(F.col("value"), F.col("file")).sortWithinPartitions("value").write.parquet(index)
+
+
+def read_inverted(spark: SparkSession, path: str, index: str, values: list) -> DataFrame:
+    """The rows of stored files that have one of the values: the index is filtered in its scan, and only files that it
+    names are read, at the rows that it names."""
+    places = spark.read.parquet(index).where(F.col("value").isin(values)).select("file", "row")
+    files = [r.file for r in places.select("file").distinct().collect()]  # of a table's files
+    if not files:
+        return spark.read.parquet(path).limit(0)
+    rows = spark.read.parquet(*files)
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    return rows.select("*", *place).join(places, (F.col("_file") == F.col("file")) & (F.col("_row") == F.col("row")), "left_semi").drop("_file", "_row")

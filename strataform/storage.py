@@ -29,6 +29,11 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
+
+
 def written(df: DataFrame, label: str, **options) -> DataFrame:
     """Writes a frame to the shared folder and reads it back: lineage is cut, and losing executors loses nothing."""
     spark = df.sparkSession
