@@ -136,15 +136,17 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5, F.lit(0)) == 0
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, most: int = 20_000) -> LanguageModel:
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, most: int = 20_000, languages: int = 256) -> LanguageModel:
     """Learns from at most ``per_lang`` rows of each language, ``most`` in all, none of them held out.
 
     The rows are those of the smallest hashes of their identifiers. Rows with a null language are not used,
-    nor is a language named like the unknown.
+    nor is a language named like the unknown. Of more than so many ``languages`` those with the most rows are
+    learned, which bounds the model: a machine of 128 kB for each family and each pair in one.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & ~held_out("id"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    counts = {r["lang"]: r["count"] for r in found.collect()}
     each = max(1, min(per_lang, most // max(1, len(counts))))
     samples: dict[str, list] = {}
     if counts:
@@ -152,7 +154,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         # A few more than are needed of each language pass; what is left over goes by rank.
         share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(parts, int(parts * (each * 1.5 + 50) / n))))])
         near = F.pmod(F.xxhash64("id"), F.lit(parts))
-        picked = rows.withColumn("near", near).where(F.col("near") < F.element_at(share, F.col("lang"))).where(F.col("text").isNotNull())
+        picked = rows.where(F.col("lang").isin(*counts)).withColumn("near", near).where(F.col("near") < F.element_at(share, F.col("lang"))).where(F.col("text").isNotNull())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -174,7 +176,7 @@ def label_languages(df: DataFrame, model: LanguageModel, id_col: str = "doc_id",
     new = ["held_out", "lang_pred", "score"]
     keep = [F.col(f"`{c}`") for c in df.columns if c not in new] if carry else [F.col(id_col).alias("doc_id")]
     src = df.select(F.col(text_col).alias("__text"), *keep, held_out(id_col).alias("held_out"))
-    shared = df.sparkSession.sparkContext.broadcast(model)  # its size hangs on the number of languages alone
+    shared = df.sparkSession.sparkContext.broadcast(model)  # of a size that fit bounds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

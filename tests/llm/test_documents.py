@@ -280,7 +280,16 @@ def test_token_store(spark, docs, none):
     assert [(x.doc_id, x.start, x.n_tokens, x.ids_crc32) for x in got] == want
     asked = spark.createDataFrame([(0,), (7,), (12,), (10**9,), (-5,), (None,)], "doc_id long")
     found = {x.doc_id: x.ids for x in token_store.lookup(asked, folder).collect()}
-    assert found == {0: ids[0][0], 7: ids[7][0], 12: ids[12][0], 10**9: None, -5: None, None: None}
+    assert found == {0: ids[0][0], 7: ids[7][0], 12: ids[12][0], 10**9: None, -5: None, None: ids[None][0]}
+    same = [d for d in ids if len(ids[d]) > 1][0]
+    asked = spark.createDataFrame([(same, 0, "x"), (same, 1, "y"), (same, 2, None), (same, -1, None), (same, None, None), (None, 0, None), (None, 1, None)], "doc_id long, which int, ids string")
+    found = {(x.doc_id, x.nth): x.ids for x in token_store.lookup(asked, folder, nth_col="which").collect()}
+    first, second = sorted(ids[same], key=lambda x: np.array(x, "<u2").tobytes())
+    assert found == {(same, 0): first, (same, 1): second, (same, 2): None, (same, -1): None, (same, None): None, (None, 0): ids[None][0], (None, 1): None}
+    words = token_store.WordIds(path)
+    assert words.tailed
+    words.tailed = False
+    assert all(words.encode_word(w) == token_store.WordIds(path).encode_word(w) for w in ("word.", "a,b", "end)!"))
     empty = work_dir(spark, "test-store")
     assert token_store.read(spark, empty, token_store.write(none, empty, path, end_id=2)).count() == 0
 
@@ -314,6 +323,72 @@ def test_language_id(spark, docs, none):
     assert {x.lang_pred for x in language_id.label_languages(train, language_id.fit(none)).collect()} == {"und"}
 
 
+def test_machines_are_trained_to_the_least_loss():
+    """The dual value that the solver reaches meets the primal one."""
+    r = np.random.default_rng(4)
+    rows = [(np.sort(r.choice(200, 20, replace=False)).astype(np.int32), r.normal(size=20).astype(np.float32)) for _ in range(60)]
+    y = np.where(r.random(60) < 0.5, 1.0, -1.0)
+    w, b = language_id.train_svm(rows, y, cost=10.0, epochs=400)
+    losses = np.array([max(0.0, 1 - s * (float(w[at] @ v) + b)) for (at, v), s in zip(rows, y, strict=True)])
+    primal = 0.5 * (w @ w + b * b) + 10 * (losses**2).sum()
+    alpha = 20 * losses  # what the loss says of the multipliers where it is least
+    again = np.zeros_like(w)
+    for (at, v), s, a in zip(rows, y, alpha, strict=True):
+        again[at] += a * s * v
+    dual = alpha.sum() - 0.5 * (again @ again + (alpha * y).sum() ** 2) - (alpha**2).sum() / 40
+    assert dual <= primal <= dual * 1.02 + 1e-6 and np.allclose(again, w, atol=0.05 * np.abs(w).max())
+
+
+def test_predictions_are_those_of_plain_sums(spark):
+    """Scores, families and votes by dictionaries of trigrams, one text at a time."""
+    words = {"en": "the cat sat on a mat", "de": "die katze auf der matte", "nl": "de kat zat op een mat", "fr": "le chat sur la natte", "es": "el gato en la estera", "it": "il gatto sulla stuoia", "fi": "kissa istui matolla"}
+    r = random.Random(5)
+    data = [(i, " ".join(r.choices(words[lang].split(), k=r.randint(1, 12))), lang) for i in range(700) for lang in [r.choice(list(words))]] + [(2000, None, "en"), (2001, "12 ?", None), (2002, "é", None), (2003, "THE CAT\nsat", "fi")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    model = language_id.fit(df)
+    columns = [("family", f) for f in model.families] + [("pair", p) for p in model.pairs]
+
+    def plain(text):
+        if not text or not any(ch.isalpha() for ch in text):
+            return "und", 0.0
+        raw = (" " + text + " ").encode()
+        raw = bytes(b + 32 if 65 <= b <= 90 else 32 if b in (9, 10, 11, 12, 13) else b for b in raw)
+        grams = defaultdict(int)
+        for i in range(len(raw) - 2):
+            grams[((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 & 0xFFFFFFFF) >> 17] += 1
+        n = sum(grams.values())
+        margin = {c: sum(float(model.weights[g, k]) * count for g, count in grams.items()) * 20 / n + float(model.bias[k]) for k, c in enumerate(columns)}
+        family = max(model.families, key=lambda f: margin["family", f])
+        members = model.members[model.families.index(family)]
+        sure = lambda x: 1 / (1 + np.exp(-4 * np.clip(x, -20, 20)))
+        score = sure(margin["family", family])
+        wins, sums = defaultdict(int), defaultdict(float)
+        for a, b in model.pairs:
+            if a in members:
+                wins[a if margin["pair", (a, b)] >= 0 else b] += 1
+                sums[a] += margin["pair", (a, b)]
+                sums[b] -= margin["pair", (a, b)]
+        best = max(members, key=lambda x: (wins[x], sums[x]))
+        return best, score * min([sure(margin["pair", p] * (1 if p[0] == best else -1)) for p in model.pairs if best in p], default=1.0)
+
+    texts = {d: t for d, t, _ in data}
+    for x in language_id.label_languages(df, model).collect():
+        lang, score = plain(texts[x.doc_id])
+        assert x.lang_pred == lang and x.score == pytest.approx(score, abs=1e-3)
+    few = language_id.fit(df, languages=2)
+    assert len(few.languages) == 2 and language_id.fit(df.where("lang = 'en'")).languages == ["en"]
+    assert language_id.fit(df.where("doc_id = 1")).languages in ([], [data[1][2]])
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables are not here")
+def test_held_out_documents_are_named_right(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labelled = language_id.label_languages(docs.withColumn("held_out", docs.lang), language_id.fit(docs))
+    both = labelled.join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'")
+    right, n = both.selectExpr("sum(cast(lang = lang_pred AS int))", "count(*)").first()
+    assert n > 100 and right >= 0.97 * n
+
+
 def test_flac(spark, docs, none):
     payloads = [b"\0" * 64, bytes(range(256)) * 5, random.Random(1).randbytes(3000), b"a" * 4097, b"hello world " * 500, bytes([0, 255] * 700), b"x" * 2000 + b"\xff" + b"x" * 3000]
     streams = flac.encode(payloads)
