@@ -2,8 +2,8 @@
 
 1. Each text's shingle set becomes a signature. Sets that are equal become one class from the start.
 2. Bands of the signature make buckets; how many hashes a band has follows from the threshold. Within a bucket
-   all members are paired with one leader, drawn anew for each bucket, so that a document meets many leaders of
-   its group. A leader of many pairs is joined to them in several runs, so no task gets them all.
+   all members are paired with one leader, of a few draws, so that a document meets some leaders of its group. A
+   leader of many pairs is joined to them in several runs, so no task gets them all.
 3. A pair's signatures are compared batch by batch. It is dropped once the posterior probability that its
    similarity reaches the threshold is below the chosen miss probability. Survivors are verified on full sets.
 4. Verified links are contracted to components. Where buckets still hold several components, further rounds
@@ -34,12 +34,15 @@ BATCH = 40
 MISS = 1e-6
 #: Probability at most that a pair at the threshold shares no band.
 APART = 1e-5
-#: Rounds of new leaders before the members of a bucket are paired across components.
-ROUNDS = 2
+#: Rounds of new leaders before the members of a bucket are paired across components, and draws of a round. Buckets with
+#: the same members have the same leader in a draw, so a member of a large group is in a few pairs, not in one for each band.
+ROUNDS, LEADERS = 2, 4
 #: Members of a block of a bucket.
 BLOCK = 1024
 #: Pairs whose signatures are compared at a time, and pairs verified at a time.
 PAIRS, FEW = 50_000, 2_000
+#: Places of the table that says how rare shingles are.
+PLACES = 1 << 20
 #: Cells of the matrices for exact intersections; sets that need more are intersected one by one.
 MATRIX = 1 << 23
 #: So many identifiers are broadcast at most to pick texts; beyond, they are joined by a shuffle.
@@ -251,7 +254,8 @@ class _Pass:
         """Rounds of random leaders, then all pairs across components of the buckets that still have several."""
         buckets = self.buckets(self.banded.select("rep", F.explode("bands").alias("key")))
         for turn in range(ROUNDS):
-            chosen = buckets.groupBy("key").agg(F.min_by("rep", F.xxhash64("key", "rep", F.lit(turn))).alias("leader"))
+            draw = F.xxhash64(F.pmod("key", F.lit(LEADERS)), "rep", F.lit(turn))
+            chosen = buckets.groupBy("key").agg(F.min_by("rep", draw).alias("leader"))
             pairs = buckets.join(chosen, "key").where("rep <> leader").select("rep", "leader")
             pairs = self.labelled(pairs, "rep", "leader").where("crep <> cleader") if turn else pairs
             self.settle(self.close(pairs.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()))
@@ -271,31 +275,39 @@ class _Pass:
 
         Of two such sets, in one order of all shingles, the first |set| - least(|set|) + 1 of each have one in common,
         where least is what the intersection must have at least. Rare shingles come first in the order; so buckets
-        are small, unless sets have nothing but what many have.
+        are small, unless sets have nothing but what many have. How rare they are is counted by hash, in a table of
+        a fixed size that is sent to all tasks: where two shingles share a place, the order is another, and as good.
         """
-        words, percent = self.words, self.percent
+        words, percent, spark = self.words, self.percent, ids.sparkSession
         ids = ids.select(F.col("rep").alias("id"))
         self.pick_texts(ids)
         rows = self.texts.join(ids, "id", "left_semi").select("id", "text")
 
-        def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sets = np.zeros(PLACES, np.int64)
+            for batch in batches:
+                for text in batch.column(1):
+                    np.add.at(sets, (shingle_set(text.as_py(), words) % np.uint64(PLACES)).astype(np.int64), 1)
+            some = np.flatnonzero(sets)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sets[some])], ["place", "sets"])
+
+        counted = rows.mapInArrow(count, "place long, sets long").groupBy("place").agg(F.sum("sets").alias("sets")).toArrow()
+        table = np.zeros(PLACES, np.int64)
+        table[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+        often = spark.sparkContext.broadcast(np.minimum(table, (1 << 32) - 1).astype(np.uint32))
+
+        def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     found = shingle_set(text.as_py(), words)
-                    for at in range(0, len(found), PAIRS):
-                        part = found[at : at + PAIRS].view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), i)), pa.array(np.full(len(part), len(found)))], ["a", "b", "size"])
-
-        found = rows.mapInArrow(shingles, "a long, b long, size long")
-        found = written(found, "shingles")
-        often = written(found.groupBy("a").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "shared-shingles")
-        sizes = found.groupBy("b").agg(F.max("size").alias("size"))
-        shared = written(self.beside(found.select("a", "b"), often, sizes).select("a", "b", "sets", "size"), "shared")
-        # Shingles that one set alone has come before these in the order.
-        alone = F.col("size") - F.count(F.lit(1)).over(Window.partitionBy("b"))
-        place = F.row_number().over(Window.partitionBy("b").orderBy("sets", "a")) + alone
-        kept = shared.withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1)
-        kept = written(self.labelled(kept.select(F.col("a").alias("key"), F.col("b").alias("rep")), "rep"), "prefixes")
+                    sets = often.value[(found % np.uint64(PLACES)).astype(np.int64)]
+                    first = np.lexsort((found, sets))[: len(found) - -(-len(found) * percent // 100) + 1]
+                    first = first[sets[first] > 1]  # what one set alone has meets nothing
+                    for at in range(0, len(first), PAIRS):
+                        part = found[first[at : at + PAIRS]].view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), i))], ["key", "rep"])
+
+        kept = written(self.labelled(rows.mapInArrow(rarest, "key long, rep long"), "rep"), "prefixes")
         several = kept.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("crep").alias("lo"), F.max("crep").alias("hi")).where("lo <> hi").select("key", "n")
         return kept.select("key", "rep").join(several, "key").select("key", "rep", "n")
 
