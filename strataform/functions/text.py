@@ -5,11 +5,14 @@ from __future__ import annotations
 import ipaddress
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strataform.functions.core import add
+from strataform.functions.core import add, unsigned
 
 
 def _lit_text(c):
@@ -65,6 +68,52 @@ def is_ipv4(s):
     return F.coalesce(s.rlike(r"^(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(\.(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})){3}$"), F.lit(False))
 
 
+def _hashed(f):
+    """A hash of 64-bit numbers, in whole arrays of unsigned ones."""
+
+    def run(x: pa.Array) -> pa.Array:
+        null = pc.is_null(x).to_numpy(zero_copy_only=False)
+        return pa.array(f(pc.fill_null(x, 0).to_numpy(zero_copy_only=False).view(np.uint64)).view(np.int64), mask=null)
+
+    return lambda c: F.arrow_udf(run, "long")(c.cast("long"))
+
+
+def _mix64(x):
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(33))
+
+
+def _mix32(x):
+    turn = lambda x, n: x >> np.uint64(n) | x << np.uint64(64 - n)
+    x = ~x + (x << np.uint64(18))
+    x = (x ^ turn(x, 31)) * np.uint64(21)
+    x = x ^ turn(x, 11)
+    x = x + (x << np.uint64(6))
+    return (x ^ turn(x, 22)) & np.uint64(0xFFFFFFFF)
+
+
+def int_hash64(c):
+    return unsigned(_hashed(_mix64)(c))
+
+
+int_hash32 = _hashed(_mix32)
+_U = "18446744073709551616::UHUGEINT"
+_WRAP = lambda x: f"(({x}) % {_U})"
+_OWN = f"(bi::HUGEINT + 18446744073709551616::HUGEINT)::UHUGEINT % {_U}"
+
+
+def _sql_hash(steps: list[str]) -> str:
+    """Steps in SQL, each of the value X before; 128 unsigned bits hold a product."""
+    out = f"[{_OWN}]"
+    for step in steps:
+        out = f"list_transform({out}, lambda x: {_WRAP(step)})"
+    return f"({out})[1]"
+
+
+_TURN = lambda n: f"((x >> {n}) | {_WRAP(f'x << {64 - n}')})"
+_INT_HASH64 = _sql_hash(["xor(x, x >> 33)", "x * 18397679294719823053::UHUGEINT", "xor(x, x >> 33)", "x * 14181476777654086739::UHUGEINT", "xor(x, x >> 33)"])
+_INT_HASH32 = _sql_hash(["18446744073709551615::UHUGEINT - x + (x << 18)", f"xor(x, {_TURN(31)})", "x * 21", f"xor(x, {_TURN(11)})", "x + (x << 6)", f"xor(x, {_TURN(22)})"]) + " % 4294967296::UHUGEINT"
 V6 = "CASE id % 3 WHEN 0 THEN '2001:db8::1' WHEN 1 THEN '::1' ELSE 'no' END"
 add(242, "cutIPv6", lambda a, n6=2, n4=1: cut_ipv6(a, n6, n4), "unhex('20010DB8000000000000000000000001')", "s", "'2001:db8::'", constants=1)
 add(243, "IPv6StringToNum", _address(lambda s: ipaddress.IPv6Address(s).packed, "binary"), V6, "x", "CASE id % 3 WHEN 0 THEN '20010DB8000000000000000000000001' WHEN 1 THEN '00000000000000000000000000000001' END")
@@ -88,8 +137,8 @@ for k, name in ((260, "sipHash64"), (262, "cityHash64"), (263, "farmHash64"), (2
     # Used inside a query only (buckets, shards): equal for equal arguments is all that counts.
     add(k, name, F.xxhash64, "s ; i", "l", None)
 add(261, "sipHash128", lambda s: F.unhex(F.md5(F.concat(F.lit("sip:"), s).cast("binary"))), "s", "s", None)
-add(265, "intHash32", F.hash, "i", "l", None)
-add(266, "intHash64", F.xxhash64, "bi", "l", None)
+add(265, "intHash32", int_hash32, "bi", "l", _INT_HASH32)
+add(266, "intHash64", int_hash64, "bi", "s", _INT_HASH64)
 add(267, "URLHash", lambda s: F.xxhash64(F.regexp_replace(s, "/$", "")), "url", "l", None, "u")
 add(268, "crc32", lambda s: F.crc32(s.cast("binary")), "s", "l", None)
 add(269, "conv", lambda s, a=16, b=10: F.conv(s, a, b), "hex(id)", "s", "CAST(id AS VARCHAR)", constants=1)
