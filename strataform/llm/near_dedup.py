@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataform.llm.common import get, pack, partitions, put, unpack, work_dir, written
+from strataform.llm.common import Files, pack, partitions, put, work_dir, written
 from strataform.llm.components import components
 from strataform.llm.words import mix, shingle_set
 
@@ -409,16 +409,13 @@ class _Pass:
 
 
 class SetFiles:
-    """Shingle sets by identifier, from mapped files."""
+    """Shingle sets by identifier, from mapped files, or from as many fetched ones as memory is meant for."""
 
     def __init__(self, folder: str, files: int):
-        self.folder, self.files, self.open = folder, files, {}
+        self.folder, self.files, self.held = folder, files, Files()
 
     def get(self, i: int) -> np.ndarray:
-        file = i % self.files
-        if file not in self.open:
-            self.open[file] = unpack(get(f"{self.folder}/sets-{file:06d}"))
-        parts = self.open[file]
+        parts = self.held.open(f"{self.folder}/sets-{i % self.files:06d}")
         at = int(np.searchsorted(parts["ids"], i))
         return parts["sets"][parts["ends"][at - 1] if at else 0 : parts["ends"][at]]
 

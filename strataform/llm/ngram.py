@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataform.llm.common import get, held, pack, partitions, put, unpack, work_dir, written
+from strataform.llm.common import Files, held, pack, partitions, put, work_dir, written
 from strataform.llm.elias_fano import EliasFano
 
 ORDER = 3
@@ -40,6 +40,8 @@ TABLE = 1_500_000
 HELD = 1_000_000
 #: Bytes of text handled at a time.
 TEXT = 4 << 20
+#: Pairs of a context and a word are sorted as one number while all of a level are below this, and as two beyond.
+KEYS = 1 << 63
 
 
 def word_hashes(words: list) -> np.ndarray:
@@ -89,12 +91,13 @@ class Level:
 
 
 class Piece:
-    def __init__(self, path: str, level: int):
-        parts = unpack(get(path))
+    """A range of contexts of a level. Its keys count from the range's begin."""
+
+    def __init__(self, parts: dict):
         self.keys = EliasFano(parts, "key_")
         self.code = parts["code"]
         self.count = parts.get("count")
-        if level > 1:
+        if "weight" in parts:
             self.pointers, self.weight = EliasFano(parts, "ptr_"), parts["weight"]
 
 
@@ -104,16 +107,14 @@ class Trie:
     def __init__(self, folder: str, levels: tuple[Level, ...], total: int):
         self.folder, self.levels, self.total = folder, levels, total
         self.words = int(levels[0].starts[-1]) if levels else 0
-        self.open: dict[tuple[int, int], Piece] = {}
+        self.files = Files(Piece)
         #: Sorted hashes of words asked for, their ids, and their base logarithms.
         self.table = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
         self.unit = self.words + 1  # of a context's range; its last place is the unknown word's and stays free
         self.unknown = float(np.log10(ADDED / (total + ADDED * (self.words + 1))))
 
     def _piece(self, level: int, j: int) -> Piece:
-        if (level, j) not in self.open:
-            self.open[level, j] = Piece(f"{self.folder}/level-{level}-{j:06d}", level)
-        return self.open[level, j]
+        return self.files.open(f"{self.folder}/level-{level}-{j:06d}")
 
     def _pieces(self, level: int, of: np.ndarray):
         """Slices of sorted piece numbers."""
@@ -143,14 +144,19 @@ class Trie:
     def _search(self, k: int, contexts: np.ndarray, words: np.ndarray, full: bool = True) -> tuple[np.ndarray, ...]:
         """Nodes of level k, -1 where there is none. If in full also their logarithms; what each context leaves to
         shorter ones; and whether words stand behind a node at the next level."""
-        keys, back = np.unique(contexts * self.unit + words, return_inverse=True)
-        level, asked = self.levels[k - 1], keys // self.unit
-        nodes, log10, weight = np.full(len(keys), -1, np.int64), np.zeros(len(keys)), np.zeros(len(keys))
+        level = self.levels[k - 1]
+        if level.contexts * self.unit < KEYS:
+            keys, back = np.unique(contexts * self.unit + words, return_inverse=True)
+            asked, inside = keys // self.unit, lambda at, lo: keys[at] - lo * self.unit
+        else:
+            asked, own, back = _distinct_pairs(contexts, words)
+            inside = lambda at, lo: (asked[at] - lo) * self.unit + own[at]
+        nodes, log10, weight = np.full(len(asked), -1, np.int64), np.zeros(len(asked)), np.zeros(len(asked))
         for j, at in self._pieces(k, level.piece(asked)):
             p, lo = self._piece(k, j), int(level.bounds[j])
             left = p.weight[asked[at] - lo]
             some = np.flatnonzero(left)  # contexts without words end here
-            found = p.keys.find((keys[at][some] - lo * self.unit).astype(np.uint64))
+            found = p.keys.find(inside(at, lo)[some].astype(np.uint64))
             hit = found >= 0
             nodes[some[hit] + at.start] = found[hit] + level.starts[j]
             if full:
@@ -158,7 +164,7 @@ class Trie:
                 log10[some[hit] + at.start] = _value(p.code[found[hit]])
         if not full:
             return (nodes[back],)
-        more = np.zeros(len(keys), bool)
+        more = np.zeros(len(asked), bool)
         if k < len(self.levels):
             seen = np.flatnonzero(nodes >= 0)  # nodes rise with their keys
             upper, ranked = self.levels[k], nodes[nodes >= 0]
@@ -201,8 +207,8 @@ class Trie:
     def _suffix(self, k: int, nodes: np.ndarray) -> np.ndarray:
         """Nodes of level k without their first word, at level k - 1."""
         level = self.levels[k - 1]
-        keys = self._at(k, nodes, lambda p, i, j: p.keys.get(i).astype(np.int64) + int(level.bounds[j]) * self.unit, np.int64)
-        context, word = np.divmod(keys, self.unit)
+        context, word = np.divmod(self._at(k, nodes, lambda p, i, j: p.keys.get(i).astype(np.int64), np.int64), self.unit)
+        context += level.bounds[np.searchsorted(level.starts, nodes, "right") - 1]
         return word if k == 2 else self.find(k - 1, self._suffix(k - 1, context), word)
 
     def log10(self, k: int, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -263,6 +269,16 @@ class Trie:
         return sizes, np.add.reduceat(known.astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(log10, first)
 
 
+def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, and the place of each pair among them."""
+    order = np.lexsort((b, a))
+    x, y = a[order], b[order]
+    first = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, bool)
+    back = np.empty(len(a), np.int64)
+    back[order] = np.cumsum(first) - 1
+    return x[first], y[first], back
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Tokens as places in a list of distinct words, the list, and the number of each text's tokens.
 
@@ -300,19 +316,27 @@ def _count(texts: DataFrame, folder: str, trie: Trie, k: int, pieces: int, cutof
     contexts = 1 << 32 if k == 1 else int(trie.levels[-1].starts[-1])
     bounds = Level([0] * pieces, contexts).bounds
     unit = 1 << 32 if k == 1 else trie.unit
+    wide = k > 1 and contexts * unit >= KEYS
     edges = np.array([min(int(b) * unit, (1 << 64) - 1) for b in bounds[1:-1]], np.uint64)
+    if max((int(b - a) for a, b in zip(bounds, bounds[1:], strict=False)), default=0) * unit >= 1 << 63 and k > 1:
+        raise ValueError(f"level {k}: a piece's keys have more than 63 bits; it takes more shuffle partitions")
 
     below, total = trie.levels, trie.total
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = _opened(folder, total, below)
         held, size = [], 0
+        by_piece: dict[int, list] = {}  # of wide keys
 
         def blocks():
-            keys, counts = _summed(held)
-            held.clear()
-            cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-            rows = [(j, _pack_counts(keys[a:b], counts[a:b])) for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+            if wide:
+                rows = [(j, _pack_counts(*_summed(parts))) for j, parts in sorted(by_piece.items())]
+                by_piece.clear()
+            else:
+                keys, counts = _summed(held)
+                held.clear()
+                cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+                rows = [(j, _pack_counts(keys[a:b] - np.uint64(int(bounds[j]) * unit), counts[a:b])) for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
             return pa.RecordBatch.from_arrays([pa.array([j for j, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["piece", "block"])
 
         for part in _texts(batches, 0):
@@ -324,8 +348,17 @@ def _count(texts: DataFrame, folder: str, trie: Trie, k: int, pieces: int, cutof
                 first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                 before = _before(trie.walk(ids, first, k - 1)[-1], first)
                 some = (before >= 0) & (ids >= 0)
-                held.append(np.unique((before[some] * trie.unit + ids[some]).astype(np.uint64), return_counts=True))
-            size += len(held[-1][0])
+                if wide:
+                    context, word, back = _distinct_pairs(before[some], ids[some])
+                    counts, of = np.bincount(back, minlength=len(context)), np.searchsorted(bounds, context, "right") - 1
+                    cuts = np.flatnonzero(np.diff(of, prepend=-1, append=pieces))
+                    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                        keys = (context[a:b] - bounds[of[a]]) * unit + word[a:b]
+                        by_piece.setdefault(int(of[a]), []).append((keys.astype(np.uint64), counts[a:b]))
+                    size += len(context)
+                else:
+                    held.append(np.unique((before[some] * trie.unit + ids[some]).astype(np.uint64), return_counts=True))
+            size += len(held[-1][0]) if held and not wide else 0
             if size >= HELD:
                 yield blocks()
                 size = 0
@@ -350,7 +383,7 @@ def _count(texts: DataFrame, folder: str, trie: Trie, k: int, pieces: int, cutof
             parts = {"count": counts.astype("<i8"), "code": np.zeros(0, "<u2")}
         else:
             keys, parts = _smooth(trie, k, keys, counts, lo, hi, cutoff)
-        parts |= EliasFano.build(keys - np.uint64(lo * unit), (hi - lo) * unit, "key_")
+        parts |= EliasFano.build(keys, (hi - lo) * unit, "key_")
         put(f"{folder}/level-{k}-{j:06d}", [pack(parts)])
         yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64())], ["piece", "nodes", "tokens"])
 
@@ -368,6 +401,7 @@ def _count(texts: DataFrame, folder: str, trie: Trie, k: int, pieces: int, cutof
 def _smooth(trie: Trie, k: int, keys: np.ndarray, counts: np.ndarray, lo: int, hi: int, cutoff: int) -> tuple[np.ndarray, dict]:
     """Discounted probabilities of the kept nodes of contexts lo to hi, and what each context leaves."""
     context, word = np.divmod(keys.astype(np.int64), trie.unit)
+    context += lo
     total = np.bincount(context - lo, counts, hi - lo)
     keep = counts >= cutoff
     keys, context, word, counts = keys[keep], context[keep], word[keep], counts[keep]

@@ -259,6 +259,24 @@ def test_default_model_keeps_every_trigram(spark):
         assert got[d] == pytest.approx(want, abs=len(tokens) * 1e-3)
 
 
+def test_wide_keys_give_the_same_model(spark, monkeypatch):
+    """As a vocabulary of a billion words would: pairs are sorted as two numbers."""
+    r = random.Random(12)
+    docs = [(i, " ".join(r.choices("abcdefghij", k=r.randint(0, 30)))) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    scores = lambda: sorted((x.doc_id, round(x.score, 9)) for x in ngram.score(df, ngram.train(df, order=4)).collect())
+    narrow = scores()
+    used = []
+    monkeypatch.setattr(ngram, "KEYS", 1)
+    pairs = ngram._distinct_pairs
+    monkeypatch.setattr(ngram, "_distinct_pairs", lambda a, b: used.append(1) or pairs(a, b))
+    trie = ngram.train(df, order=4)
+    texts = ngram.pa.array([t for _, t in docs])
+    assert [round(x, 9) for x in trie.score(texts)[3]] == [x for _, x in narrow] and used
+    a, b, back = pairs(np.array([3, 1, 3, 1]), np.array([2, 9, 2, 1]))
+    assert (a.tolist(), b.tolist(), back.tolist()) == ([1, 1, 3], [1, 9, 2], [2, 1, 2, 0])
+
+
 def test_successors_sum_to_one(spark):
     df = spark.createDataFrame([(i, "a b a c a b b a") for i in range(1, 9)], "doc_id long, text string")
     trie = ngram.train(df, order=2)
