@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from strataform.llm.common import held
+from strataform.llm.common import held, prepare
 
 NONE = 1 << 62
 #: Distinct pieces whose ids a worker keeps; longer ones are not kept.
@@ -239,6 +239,7 @@ def codec(rank_file: str, pattern: str) -> ByteBpe:
 
 
 def _place(df: DataFrame, column: str, new: str) -> int:
+    prepare(df.sparkSession)
     if new in df.columns:
         raise ValueError(f"there is a column {new} already")
     return df.columns.index(column)

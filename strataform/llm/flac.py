@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType
 
+from strataform.llm.common import prepare
+
 BLOCK = 1024
 #: Frames that are encoded or decoded at a time.
 FRAMES = 2048
@@ -471,6 +473,7 @@ def _grouped(batch: pa.RecordBatch, at: int, size: int) -> Iterator[pa.RecordBat
 
 def with_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, media``: each text's payload as a FLAC stream. Other columns aren't read."""
+    prepare(df.sparkSession)
     src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -502,6 +505,7 @@ def with_pcm(media: DataFrame, id_col: str = "doc_id", media_col: str = "media",
     A null stream has nulls. So has one that isn't sound, or isn't mono of 8 bits, but for its size and digest;
     ``problem`` says why.
     """
+    prepare(media.sparkSession)
     src = media.select(F.col(id_col).alias("doc_id"), *carry, F.col(media_col).alias("media"))
     kinds = [pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.string()]
     names = [*src.columns[:-1], "media_bytes", "media_sha256", "sample_offset", "pcm", "problem"]
@@ -539,6 +543,7 @@ def samples(first: int, count: int) -> Column:
 def describe(pcm: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature`` of rows of
     ``with_pcm`` that carry ``n_bytes``; nulls where there are no blocks."""
+    prepare(pcm.sparkSession)
     new = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string())]
 
     def one(blocks: list[bytes] | None) -> tuple:

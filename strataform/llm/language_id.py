@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataform.llm.common import prepare
+
 BITS = 15
 #: Frequencies are scaled so that a text's vector has a length near 1.
 SCALE = 20.0
@@ -143,6 +145,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     nor is a language named like the unknown. Of more than so many ``languages`` those with the most rows are
     learned, which bounds the model: a machine of 128 kB for each family and each pair in one.
     """
+    prepare(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & ~held_out("id"))
     found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
@@ -173,6 +176,7 @@ def label_languages(df: DataFrame, model: LanguageModel, id_col: str = "doc_id",
 
     A null identifier counts as held out. Long texts are read whole.
     """
+    prepare(df.sparkSession)
     new = ["held_out", "lang_pred", "score"]
     keep = [F.col(f"`{c}`") for c in df.columns if c not in new] if carry else [F.col(id_col).alias("doc_id")]
     src = df.select(F.col(text_col).alias("__text"), *keep, held_out(id_col).alias("held_out"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataform.llm.common import Files, pack, partitions, put, work_dir, written
+from strataform.llm.common import Files, pack, partitions, prepare, put, work_dir, written
 from strataform.llm.components import components
 from strataform.llm.words import mix, shingle_set
 
@@ -130,6 +130,7 @@ class _Pass:
     """What the steps over one corpus share."""
 
     def __init__(self, df: DataFrame, id_col: str, text_col: str, words: int, similarity: float):
+        prepare(df.sparkSession)
         self.words, self.similarity = words, similarity
         self.percent = round(100 * similarity)
         self.texts_of = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataform.llm.common import Files, held, pack, partitions, put, work_dir, written
+from strataform.llm.common import Files, held, pack, partitions, prepare, put, work_dir, written
 from strataform.llm.elias_fano import EliasFano
 
 ORDER = 3
@@ -424,6 +424,7 @@ def held_out(id_col: str = "doc_id"):
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, cutoff: int = CUTOFF) -> Trie:
     """A model of all rows that aren't held out. Null texts count as empty and have the end as their only token."""
     spark = df.sparkSession
+    prepare(spark)
     texts = df.where(~held_out(id_col)).select(F.col(text_col).alias("text"))
     folder, pieces = work_dir(spark, "ngrams"), partitions(spark)
     trie = Trie(folder, (), 0)
@@ -440,6 +441,7 @@ def score(df: DataFrame, trie: Trie, id_col: str = "doc_id", text_col: str = "te
 
     A null text counts as empty: its one token is the end. Repeated rows score alike.
     """
+    prepare(df.sparkSession)
     src = df.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     folder, levels, total = trie.folder, trie.levels, trie.total
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataform.llm.common import Files, held, pack, partitions, put, work_dir
+from strataform.llm.common import Files, held, pack, partitions, prepare, put, work_dir
 
 MARK = "▁"
 #: Bytes of text handled at a time, and distinct pre-tokens and their bytes that a task holds.
@@ -118,6 +118,7 @@ def _slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBat
 def count_pieces(df: DataFrame, model_file: str, text_col: str = "text") -> tuple[str, int]:
     """Counts each distinct pre-token of the texts once. Returns the folder of the counts and its number of shards."""
     spark = df.sparkSession
+    prepare(spark)
     folder, shards = work_dir(spark, "piece-counts"), partitions(spark)
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

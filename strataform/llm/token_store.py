@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataform.llm.common import Memo, get, held, pack, partitions, put, unpack, written
+from strataform.llm.common import Memo, get, held, pack, partitions, prepare, put, unpack, written
 
 #: Bits of a level for each of its keys.
 GAMMA = 2
@@ -160,6 +160,7 @@ def write(df: DataFrame, folder: str, tokenizer_file: str, end_id: int, id_col:
     ids, not texts, are shuffled.
     """
     spark = df.sparkSession
+    prepare(spark)
     n = partitions(spark)
     keys = df.select(F.col(id_col).cast("long").alias("doc_id"))
     bounds = np.array(sorted(set(keys.approxQuantile("doc_id", [i / n for i in range(1, n)], max(1e-5, 1 / (8 * n))))) if n > 1 else [], np.int64)
@@ -235,6 +236,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
 
     ``start`` counts the ids of all documents before. The driver holds one number for each shard.
     """
+    prepare(spark)
     tokens = {r.shard: r.n_tokens for r in manifest.collect()}
     numbers = sorted(tokens)
     first = dict(zip(numbers, np.concatenate([[0], np.cumsum([tokens[k] for k in numbers])[:-1]]).astype(np.int64).tolist() if numbers else [], strict=True))
@@ -264,6 +266,7 @@ def lookup(keys: DataFrame, folder: str, id_col: str = "doc_id", nth_col: str |
     Of rows with one identifier, null ones too, the first is found, in the order of their ids, or the one that
     ``nth_col`` names, from 0 on; then ``nth`` is a column of the result. Other columns aren't read.
     """
+    prepare(keys.sparkSession)
     nth = [F.col(nth_col).cast("long").alias("nth")] if nth_col else []
     src = keys.select(F.col(id_col).cast("long").alias("doc_id"), *nth)
 
