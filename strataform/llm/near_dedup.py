@@ -163,8 +163,8 @@ class _Pass:
             return pairs.join(two, "b").join(one, "a")
         hot = F.broadcast(spark.createDataFrame(hot, "a long, runs long"))
         pairs = pairs.join(hot, "a", "left").withColumn("run", F.coalesce(F.pmod(F.xxhash64("b"), "runs"), F.lit(0).cast("long"))).drop("runs")
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("runs", F.lit(1).cast("long")) - 1))
-        return pairs.join(two, "b").join(one.join(hot, "a", "left").withColumn("run", every).drop("runs"), ["a", "run"])
+        more = one.join(hot, "a").where("runs > 1").withColumn("run", F.explode(F.sequence(F.lit(1).cast("long"), F.col("runs") - 1))).drop("runs")
+        return pairs.join(two, "b").join(one.withColumn("run", F.lit(0).cast("long")).unionByName(more), ["a", "run"])
 
     def close(self, pairs: DataFrame) -> DataFrame:
         """``a, b, matches``: the pairs of leaders and members that signatures can't rule out, sizes first."""
