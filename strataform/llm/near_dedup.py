@@ -394,13 +394,16 @@ class _Pass:
                     root[c] = c = root[root[c]]
                 return c
 
-            links = []
-            for at in range(0, len(order), FEW):
-                some = order[at : at + FEW]
-                some = some[[find(comp[x[k]]) != find(comp[y[k]]) for k in some.tolist()]]
-                for k, same in zip(some.tolist(), stored.common(rep[x[some]], rep[y[some]]), strict=True):
+            links, at, step = [], 0, FEW
+            while at < len(order):
+                some = order[at : at + step]
+                at, step = at + step, 4 * step  # the first ones merge most; the others share the work on their sets
+                roots = np.array([find(c) for c in comp.tolist()])
+                some = some[roots[x[some]] != roots[y[some]]]
+                same = stored.common(rep[x[some]], rep[y[some]])
+                for k in some[100 * same >= percent * (size[x[some]] + size[y[some]] - same)].tolist():
                     a, b = find(comp[x[k]]), find(comp[y[k]])
-                    if a != b and 100 * same >= percent * (size[x[k]] + size[y[k]] - same):
+                    if a != b:
                         root[max(a, b)] = min(a, b)
                         links.append(sorted((rep[x[k]], rep[y[k]])))
             if links:
@@ -420,19 +423,24 @@ class SetFiles:
         at = int(np.searchsorted(parts["ids"], i))
         return parts["sets"][parts["ends"][at - 1] if at else 0 : parts["ends"][at]]
 
-    def common(self, a: np.ndarray, b: np.ndarray) -> list[int]:
-        """Sizes of intersections of pairs. Many pairs of few small sets go through a product of membership matrices."""
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sizes of intersections of pairs. Many pairs of few sets go through a product of membership matrices, without the shingles that one set alone has."""
+        if not len(a):
+            return np.zeros(0, np.int64)
         left, right = np.unique(a), np.unique(b)
         one, two = ([self.get(i) for i in ids.tolist()] for ids in (left, right))
-        few = len(a) < 4 * (len(left) + len(right))
-        words, place = (None, None) if few else np.unique(np.concatenate([*one, *two]), return_inverse=True)
-        if few or (len(left) + len(right)) * len(words) > MATRIX:
-            at, of = dict(zip(left.tolist(), one, strict=True)), dict(zip(right.tolist(), two, strict=True))
-            return [len(np.intersect1d(at[p], of[q], assume_unique=True)) for p, q in zip(a.tolist(), b.tolist(), strict=True)]
-        members = np.zeros((len(one) + len(two), len(words)), np.float32)
-        members[np.repeat(np.arange(len(members)), [len(s) for s in [*one, *two]]), place] = 1
-        product = members[: len(one)] @ members[len(one) :].T
-        return np.rint(product[np.searchsorted(left, a), np.searchsorted(right, b)]).astype(np.int64).tolist()
+        rows = len(left) + len(right)
+        if len(a) >= 4 * rows:
+            _, place, sets = np.unique(np.concatenate([*one, *two]), return_inverse=True, return_counts=True)
+            shared = sets > 1
+            if rows * int(shared.sum()) <= MATRIX:
+                row, some = np.repeat(np.arange(rows), [len(s) for s in [*one, *two]]), shared[place]
+                members = np.zeros((rows, int(shared.sum())), np.float32)
+                members[row[some], (np.cumsum(shared) - 1)[place[some]]] = 1
+                product = members[: len(one)] @ members[len(one) :].T
+                return np.rint(product[np.searchsorted(left, a), np.searchsorted(right, b)]).astype(np.int64)
+        at, of = dict(zip(left.tolist(), one, strict=True)), dict(zip(right.tolist(), two, strict=True))
+        return np.array([len(np.intersect1d(at[p], of[q], assume_unique=True)) for p, q in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
 
 
 def label_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

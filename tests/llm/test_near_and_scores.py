@@ -71,7 +71,7 @@ def test_groups_are_those_of_brute_force(spark, seed, n, block, monkeypatch):
     docs = corpus(seed)
     want = groups(docs, n)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    got = {x.doc_id: x for x in near_dedup.label_groups(df, words=n).collect()}
+    got = {x.doc_id: x for x in near_dedup.label_groups(df, words=4).collect()}
     assert {d: (x.n_shingles, x.component_id) for d, x in got.items()} == want
     assert all(x.kept == (d == x.component_id) for d, x in got.items())
 
@@ -97,6 +97,44 @@ def test_groups_around_one_passage(spark, monkeypatch):
     assert got == want and len({c for _, c in want.values()}) == 90
 
 
+def large_group(seed, copies, most):
+    """Copies of one text with up to ``most`` words changed, so that some are near others and some near none."""
+    r = random.Random(seed)
+    text = r.choices([f"w{i}" for i in range(4000)], k=160)
+    out = []
+    for d in range(copies):
+        copy = list(text)
+        for at in r.sample(range(len(copy)), r.randint(0, most)):
+            copy[at] = r.choice(("x", "y", f"z{d}"))
+        out.append((d, " ".join(copy)))
+    return out
+
+
+def test_a_large_group_whose_components_merge_early(spark, monkeypatch):
+    """More pairs are left in a unit than are verified at a time, and the first ones make its components one."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "FEW", 2)
+    monkeypatch.setattr(near_dedup, "ROUNDS", 1)
+    monkeypatch.setattr(near_dedup, "LEADERS", 1)
+    docs = large_group(3, 150, 12)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.label_groups(df, words=4).collect()}
+    expected = groups(docs, 4)
+    assert len({c for _, c in expected.values()}) > 5
+    assert got == expected
+
+
+def test_intersections_of_stored_sets(tmp_path):
+    r = random.Random(4)
+    sets = [np.array(sorted(r.sample(range(90), r.randint(1, 60))), np.uint64) for _ in range(12)]
+    near_dedup.put(f"{tmp_path}/sets-000000", [near_dedup.pack({"ids": np.arange(12), "ends": np.cumsum([len(s) for s in sets]), "sets": np.concatenate(sets)})])
+    stored = near_dedup.SetFiles(str(tmp_path), 1)
+    assert len(stored.common(np.zeros(0, np.int64), np.zeros(0, np.int64))) == 0
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(12), np.arange(12)))
+    for some in (slice(None), slice(0, 5)):  # by a product, and one by one
+        assert stored.common(a[some], b[some]).tolist() == [len(set(sets[i].tolist()) & set(sets[j].tolist())) for i, j in zip(a[some], b[some], strict=True)]
+
+
 @pytest.mark.parametrize("similarity", [0.3, 0.5, 0.7, 0.9])
 def test_links_of_other_thresholds_are_found(spark, similarity):
     r = random.Random(int(similarity * 100))
