@@ -310,7 +310,24 @@ class _Pass:
 
         kept = written(self.labelled(rows.mapInArrow(rarest, "key long, rep long"), "rep"), "prefixes")
         several = kept.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("crep").alias("lo"), F.max("crep").alias("hi")).where("lo <> hi").select("key", "n")
-        return kept.select("key", "rep").join(several, "key").select("key", "rep", "n")
+        return self.merged(kept.select("key", "rep").join(several, "key").select("key", "rep", "n"))
+
+    def merged(self, buckets: DataFrame) -> DataFrame:
+        """These buckets, those of over ``BLOCK / 8`` members that overlap made one where that is fewer pairs.
+
+        The members of a large group share many buckets, and a pair would be compared in each of them.
+        """
+        least = BLOCK // 8
+        buckets = written(buckets, "rare-buckets")
+        large = buckets.where(F.col("n") > least)
+        of = components(large.join(large.groupBy("key").agg(F.min("rep").alias("a")), "key").select("a", F.col("rep").alias("b")))
+        large = large.join(of.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        large = written(large, "large-rare-buckets")
+        sums = large.groupBy("component").agg(F.sum(F.col("n").cast("double")).alias("pairs"), F.count_distinct("rep").alias("members"))
+        sums = written(sums.where("double(members) * members <= pairs").select("component", "members"), "merged-buckets")
+        whole = large.join(sums, "component").select(F.col("component").alias("key"), "rep", F.col("members").alias("n")).distinct()
+        rest = large.join(sums, "component", "left_anti").select("key", "rep", "n")
+        return buckets.where(F.col("n") <= least).unionByName(rest).unionByName(whole)
 
     def store_sets(self, ids: DataFrame) -> tuple[str, int]:
         """Writes the shingle sets of identifiers to files of the shared folder, from which any task can fetch one."""

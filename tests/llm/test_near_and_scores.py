@@ -135,6 +135,16 @@ def test_intersections_of_stored_sets(tmp_path):
         assert stored.common(a[some], b[some]).tolist() == [len(set(sets[i].tolist()) & set(sets[j].tolist())) for i, j in zip(a[some], b[some], strict=True)]
 
 
+def test_overlapping_large_buckets_are_one(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 32)
+    rows = [(key, rep, 10) for key in range(100, 103) for rep in range(10)]  # the same ten members three times
+    rows += [(200, 50, 2), (200, 51, 2)]  # a small one
+    chain = [(300 + k, 60 + 4 * k + i, 5) for k in range(9) for i in range(5)]  # overlaps in one member: one bucket would be more pairs
+    df = spark.createDataFrame(rows + chain, "key long, rep long, n long")
+    got = Counter((r.key, r.rep, r.n) for r in near_dedup._Pass.merged(None, df).collect())
+    assert got == Counter([*((0, rep, 10) for rep in range(10)), *rows[30:], *chain])
+
+
 @pytest.mark.parametrize("similarity", [0.3, 0.5, 0.7, 0.9])
 def test_links_of_other_thresholds_are_found(spark, similarity):
     r = random.Random(int(similarity * 100))
