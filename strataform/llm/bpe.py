@@ -276,6 +276,23 @@ def decode(df: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids", by
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(bytes_col, BinaryType())]))
 
 
+def _there_and_back(df: DataFrame, rank_file: str, pattern: str, text_col: str, ids_col: str, bytes_col: str, drop_text: bool) -> DataFrame:
+    """What ``encode`` and then ``decode`` append, by one worker for each task: two would hold a codec and a memo each."""
+    at = _place(df, text_col, ids_col)
+    _place(df, text_col, bytes_col)
+    kept = [i for i in range(len(df.columns)) if i != at or not drop_text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = codec(rank_file, pattern)
+        for batch in batches:
+            for part in slices(batch, at):
+                ids = bpe.encode(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), ids, bpe.decode(ids)], [*(part.schema.names[i] for i in kept), ids_col, bytes_col])
+
+    fields = [df.schema.fields[i] for i in kept]
+    return df.mapInArrow(run, StructType([*fields, StructField(ids_col, ArrayType(IntegerType())), StructField(bytes_col, BinaryType())]))
+
+
 def slices(batch: pa.RecordBatch, at: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in parts of about ``size`` bytes of its column ``at``, so that what is made of them stays small."""
     if not batch.num_rows:
@@ -298,11 +315,10 @@ def round_trip(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_i
     front = [df[c] for c in kept] if carry else [df[id_col].alias("doc_id")]
     src = df.select(*front, *([] if text_col in kept else [df[text_col].alias(text)]))
     front = [f"`{c}`" for c in src.columns if c != text]
-    coded = encode(src, rank_file, pattern, text_col if text_col in kept else text, ids).select(*front, ids)
+    back = _there_and_back(src, rank_file, pattern, text_col if text_col in kept else text, ids, raw, text_col not in kept)
     digests = [
         F.size(ids).cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col(ids).cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(raw, 256).alias("decoded_sha256"),
     ]
-    back = decode(coded, rank_file, pattern, ids, raw)
     return back.select(*front, *digests, *([F.col(ids).alias(ids_col)] if ids_col else []))

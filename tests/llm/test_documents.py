@@ -189,6 +189,15 @@ def test_byte_bpe(spark, docs, none, monkeypatch):
     assert [flat[a : a + n].tolist() for a, n in zip(starts, sizes, strict=True)] == [library.encode_ordinary(w) for w in pieces]
 
 
+@pytest.mark.parametrize("options", [{}, {"carry": True, "ids_col": "ids"}])
+def test_one_worker_of_a_task_encodes_and_decodes(spark, options):
+    docs = spark.createDataFrame([(1, "one and two"), (2, None), (3, "")], "doc_id long, text string")
+    coded = bpe.round_trip(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, **options)
+    assert coded._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1
+    assert [x.decoded_sha256 for x in coded.orderBy("doc_id").collect()] == [hashlib.sha256(x).hexdigest() for x in (b"one and two", b"", b"")]
+
+
+
 def test_token_counts(spark, docs, none):
     import sentencepiece
 
