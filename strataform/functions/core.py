@@ -17,7 +17,7 @@ KINDS = {
     "s": ("CAST({} AS VARCHAR)", lambda c: c.cast("string")),
     "b": ("CAST({} AS BOOLEAN)", lambda c: c.cast("boolean")),
     "D": ("CAST({} AS DATE)", lambda c: c.cast("date")),
-    "T": ("strftime({}, '%Y-%m-%d %H:%M:%S')", lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")),
+    "T": ("strftime({}, '%Y-%m-%d %H:%M:%S')", lambda c: F.ltrim(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit("+"))),  # years from 10000 on have a sign in Java
     "V": ("list_transform({}, lambda x: round(x::DOUBLE, 6))", lambda c: F.transform(c, lambda x: F.round(x.cast("double"), 6))),
     "x": ("UPPER({})", lambda c: F.hex(c)),
 }

@@ -285,3 +285,9 @@ def test_arguments_of_extremes_are_by_the_whole_key(spark):
 
     rows = spark.createDataFrame([("1.00", 30_000), ("1.01", 7), ("9.00", 7), ("8.99", 30_000)], "dc string, o long").selectExpr("'a' AS g", "CAST(dc AS DECIMAL(15,2)) AS dc", "o", "1 AS i")
     assert (CATALOGUE["argMin"].run(rows).first().v, CATALOGUE["argMax"].run(rows).first().v) == (7, 30_000)
+
+
+def test_years_of_five_digits_have_no_sign(spark):
+    from strataform.functions.core import KINDS
+
+    assert one(spark, KINDS["T"][1](fn.get("fromUnixTime")(258402 * 1000003 - 5000000000))) == "10000-01-06 11:46:46"
