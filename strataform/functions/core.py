@@ -10,15 +10,24 @@ from pyspark.sql import functions as F
 
 from strataform.session import table
 
+
+def rounded(c: Column, places: int = 6) -> Column:
+    """Doubles as SQL rounds them: scaled, halves away from zero. A zero keeps its sign, which Spark's own rounding drops."""
+    scaled, unit = c * 10.0**places, F.lit(10.0**places)
+    near = F.rint(scaled)
+    whole = F.when(F.abs(scaled - near) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(near)
+    return F.when(F.abs(scaled) < float("inf"), whole / unit).otherwise(c)
+
+
 #: Result kinds of sample queries: a Spark type, and how both sides are cast to it.
 KINDS = {
     "l": ("CAST({} AS BIGINT)", lambda c: c.cast("long")),
-    "d": ("ROUND(CAST({} AS DOUBLE), 6)", lambda c: F.round(c.cast("double"), 6)),
+    "d": ("ROUND(CAST({} AS DOUBLE), 6)", lambda c: rounded(c.cast("double"))),
     "s": ("CAST({} AS VARCHAR)", lambda c: c.cast("string")),
     "b": ("CAST({} AS BOOLEAN)", lambda c: c.cast("boolean")),
     "D": ("CAST({} AS DATE)", lambda c: c.cast("date")),
     "T": ("strftime({}, '%Y-%m-%d %H:%M:%S')", lambda c: F.ltrim(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit("+"))),  # years from 10000 on have a sign in Java
-    "V": ("list_transform({}, lambda x: round(x::DOUBLE, 6))", lambda c: F.transform(c, lambda x: F.round(x.cast("double"), 6))),
+    "V": ("list_transform({}, lambda x: round(x::DOUBLE, 6))", lambda c: F.transform(c, lambda x: rounded(x.cast("double")))),
     "x": ("UPPER({})", lambda c: F.hex(c)),
 }
 

@@ -296,3 +296,16 @@ def test_years_of_five_digits_have_no_sign(spark):
 @pytest.mark.parametrize(("name", "last"), [("IPv4NumToString", "160"), ("IPv4NumToStringClassC", "xxx")])
 def test_numbers_beyond_addresses_keep_their_first_part(spark, name, last):
     assert one(spark, fn.get(name)(100000 * 70001)) == f"417.61.12.{last}" and one(spark, fn.get(name)(F.lit(2**32 - 1).cast("long"))) == f"255.255.255.{last.replace('160', '255')}"
+
+
+def test_rounding_is_that_of_sql(spark):
+    import duckdb
+
+    from strataform.functions.core import KINDS
+
+    values = [-3e-7, -0.0, 0.0, 5e-7, -5e-7, 213055788.13078249, -0.0078125, 1e300, -1e308, float("inf"), None]
+    want = [None if v is None else repr(v) for (v,) in duckdb.connect().execute("SELECT round(x, 6) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [values]).fetchall()]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").orderBy("k")
+    text_of = lambda v: None if v is None else repr(v)
+    assert [text_of(x.d) for x in rows.select(KINDS["d"][1](F.col("v")).alias("d")).collect()] == want
+    assert [text_of(v) for v in one(spark, KINDS["V"][1](F.array(*[F.lit(v).cast("double") for v in values])))] == want
