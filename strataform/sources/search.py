@@ -6,12 +6,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from strataform.functions.nested import cosine, dot, l2
-from strataform.storage import written
+from strataform.storage import get, put, work_dir, written
 
 K1, B = 1.2, 0.75
 METRICS = {"l2": l2, "cosine": cosine, "inner": lambda v, w: -dot(v, w)}
@@ -66,30 +69,120 @@ def _nearest_centres(points: np.ndarray, centres: np.ndarray, k: int) -> np.ndar
     return np.argsort(distance, axis=1, kind="stable")[:, :k].astype(np.int32)
 
 
+#: Queries that meet a batch of rows at once, and queries of one stored file.
+ASKED, ASKED_FILE = 256, 4096
+
+
 def lists_nearest(spark: SparkSession, index: Lists, queries: DataFrame, query_id: str, query_vec: str, k: int, probes: int = 40) -> DataFrame:
     """``query, id, distance``: the k nearest of each query among the lists around its nearest centres.
 
-    Queries meet rows by list, in a join; a query keeps k rows of a task before it is shuffled. How many lists must be
-    probed for a recall hangs on the data: 40 of 64 give 0.95 for directions at random, which have no clusters at all.
+    Lists that no query probes aren't read. How many lists must be probed for a recall hangs on the data: 40 of 64 give
+    0.95 for directions at random, which have no clusters at all.
     """
     centres = index.centres
     nearest = F.pandas_udf(lambda v: pd.Series(list(_nearest_centres(np.stack(v.to_numpy()), centres, probes))), "array<int>")
     asked = queries.where(F.col(query_vec).isNotNull()).select(F.col(query_id).alias("query"), F.col(query_vec).cast("array<double>").alias("q"))
-    asked = asked.withColumn("list", F.explode(nearest("q")))
+    asked = written(asked.withColumn("lists", nearest("q")), "asked")
+    probed = [r.list for r in asked.select(F.explode("lists").alias("list")).distinct().collect()]  # of the index's lists
     rows = spark.read.schema(StructType([*index.schema.fields, StructField("list", IntegerType())])).parquet(index.path)
-    met = rows.join(asked, "list").select("query", "id", F.round(l2(F.col("v"), F.col("q")), 6).alias("distance"))
-    first = Window.partitionBy("query").orderBy("distance", "id")
-    return met.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k).drop("rn")
+    return _nearest_of_each(rows.where(F.col("list").isin(probed)), asked, k)
 
 
 def exact_nearest(vectors: DataFrame, id_col: str, vec_col: str, queries: DataFrame, query_id: str, query_vec: str, k: int) -> DataFrame:
     """``query, id, distance`` by brute force, for a stated set of queries against all rows."""
-    asked = F.broadcast(queries.where(F.col(query_vec).isNotNull()).select(F.col(query_id).alias("query"), F.col(query_vec).alias("q")))
-    met = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).join(asked).select("query", "id", F.round(l2(F.col("v"), F.col("q")), 6).alias("distance"))
+    asked = queries.where(F.col(query_vec).isNotNull()).select(F.col(query_id).alias("query"), F.col(query_vec).cast("array<double>").alias("q"))
+    rows = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    return _nearest_of_each(rows, asked, k)
+
+
+def _nearest_of_each(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The k rows ``id, v`` with the least distances from each of ``query, q``, to six places and then by ``id``. Rows with
+    a ``list`` meet the queries that have it among their ``lists``.
+
+    Every pair is compared, as products of matrices: queries are stored in files, and each task brings them, some at a
+    time, to its rows, a batch at a time. Of a batch, and of its lists, k rows of a query leave. Vectors of other lengths
+    don't meet, and those with missing elements have no distance.
+    """
+    spark, folder = rows.sparkSession, work_dir(rows.sparkSession, "asked")
+    listed = "list" in rows.columns
+
+    def store(batches):
+        out = pa.BufferOutputStream()
+        whole = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if whole is None or not whole.num_rows:
+            return
+        with pa.ipc.new_stream(out, whole.schema) as stream:
+            stream.write_table(whole.combine_chunks(), max_chunksize=ASKED)
+        path = f"{folder}/{TaskContext.get().partitionId()}"
+        put(path, [out.getvalue()])
+        yield pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
+
+    files = asked.repartition(asked.count() // ASKED_FILE + 1, "query").mapInArrow(store, "path string").collect()
+    paths = sorted(r.path for r in files)
+
+    def meet(batches):
+        for batch in batches:
+            ids, parts = batch.column("id"), []
+            rank = pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="first").to_numpy()
+            for at, points in _matrices(batch.column("v")):
+                of = batch.column("list").to_numpy()[at] if listed else np.zeros(len(at), int)
+                parts += [(one, at[of == one], points[of == one]) for one in np.unique(of)]
+            for path in paths if parts else []:
+                for some in pa.ipc.open_stream(pa.py_buffer(get(path))):
+                    lists = np.array(some.column("lists").to_pylist()) if listed else None
+                    for mine, vectors in _matrices(some.column("q")):
+                        for one, at, points in parts:
+                            if points.shape[1] != vectors.shape[1]:
+                                continue
+                            which = np.flatnonzero((lists[mine] == one).any(1)) if listed else np.arange(len(mine))
+                            if len(which):
+                                q, p, distance = _closest(vectors[which], points, rank[at], k)
+                                yield pa.RecordBatch.from_arrays([some.column("query").take(pa.array(mine[which][q])), ids.take(pa.array(at[p])), pa.array(distance)], ["query", "id", "distance"])
+
+    keys = ["list", "id"] if listed else ["id"]
+    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+    met = dealt.mapInArrow(meet, StructType([asked.schema["query"], rows.schema["id"], StructField("distance", DoubleType())]))
     first = Window.partitionBy("query").orderBy("distance", "id")
     return met.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k).drop("rn")
 
 
+def _matrices(vectors: pa.Array):
+    """Vectors of each length, without those that have missing elements: their places, and a matrix."""
+    lengths = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False).copy()
+    flat = vectors.flatten()
+    if flat.null_count:
+        lengths[pc.list_parent_indices(vectors).filter(flat.is_null()).to_numpy()] = -1
+    for n in np.unique(lengths[lengths >= 0]):
+        at = np.flatnonzero(lengths == n)
+        yield at, vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), n)
+
+
+def _closest(asked: np.ndarray, points: np.ndarray, rank: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query the k points with the least distances, to six places and then by rank: the places of both, and the distances.
+
+    Squares from a product of matrices say which pairs may be among them, ties included; only these are measured.
+    """
+    with np.errstate(all="ignore"):
+        a, b = (asked * asked).sum(1), (points * points).sum(1)
+        squares = a[:, None] + b[None, :] - 2 * (asked @ points.T)
+        if len(points) > k:
+            error = 1e-12 * (a + b.max())
+            last = np.partition(squares, k - 1, axis=1)[:, k - 1]
+            most = (np.sqrt(np.maximum(last, 0) + error) + 2e-6) ** 2 + error
+            q, p = np.nonzero(~(squares > most[:, None]))
+        else:
+            q, p = (x.ravel() for x in np.indices(squares.shape))
+        distance = np.empty(len(q))
+        for at in range(0, len(q), 65536):
+            some = slice(at, at + 65536)
+            distance[some] = np.sqrt(((points[p[some]] - asked[q[some]]) ** 2).sum(1))
+        distance = np.where(distance < 1e9, np.floor(distance * 1e6 + 0.5) / 1e6, distance)
+    order = np.lexsort((rank[p], distance, q))
+    q, p, distance = q[order], p[order], distance[order]
+    mine = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[mine], p[mine], distance[mine]
+
+
 #: Folders of stored postings.
 BUCKETS = 64
 

@@ -135,3 +135,21 @@ def test_no_two_operators_are_one_query():
 
 def test_hash_exchange_sends_what_is_needed(spark):
     assert "hashpartitioning(k" in plan(QUERIES["o029_exchange_hash"](spark, DATA))
+
+
+def test_nearest_rows_are_those_of_brute_force(spark, monkeypatch):
+    """With many equal distances, vectors of other lengths and missing elements, and more queries than meet a batch at once."""
+    import numpy as np
+
+    monkeypatch.setattr(search, "ASKED_FILE", 50)
+    r = np.random.default_rng(5)
+    points = {i: [1.0, 2.0, 3.0] if i % 3 == 0 else np.round(r.normal(size=3), 1).tolist() for i in range(900)}
+    df = spark.createDataFrame([(f"k{i:04}", v) for i, v in points.items()] + [("short", [1.0]), ("hole", [1.0, None, 3.0]), ("none", None)], "id string, v array<double>")
+    asked = df.where("id LIKE '%0'").selectExpr("id", "v AS q")
+    got = search.exact_nearest(df, "id", "v", asked, "id", "q", 7)
+    want = set()
+    for i in range(0, 900, 10):
+        near = sorted((round(float(np.linalg.norm(np.subtract(v, points[i]))), 6), f"k{j:04}") for j, v in points.items())
+        want |= {(f"k{i:04}", j, d) for d, j in near[:7]}
+    assert {(x.query, x.id, x.distance) for x in got.collect()} == want
+    assert "CartesianProduct" not in plan(got) and "NestedLoop" not in plan(got)  # no row for each pair
