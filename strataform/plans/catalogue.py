@@ -165,7 +165,7 @@ def _(s, d):
 @op(15, "inverted_index_filter", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (5, 77, 150)")
 def _(s, d):
     path = scratch(s, "indexed")
-    table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").repartitionByRange(8, "l_orderkey").write.parquet(path)
+    search.in_ranges(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey").write.parquet(path)
     search.store_inverted(path, "l_partkey", f"{path}-index", s)
     return search.read_inverted(s, path, f"{path}-index", [5, 77, 150])
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from strataform.functions.nested import cosine, dot, l2
+from strataform.operators.joins import sized
 from strataform.storage import get, put, work_dir, written
 
 K1, B = 1.2, 0.75
@@ -209,10 +210,21 @@ def bm25_stored(spark: SparkSession, path: str, terms: list[str], k: int) -> Dat
     return rows.groupBy("doc").agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), "doc").limit(k)
 
 
+#: Rows that a task sorts or writes, about: the number of tasks grows with the rows.
+ROWS = 500_000
+
+
+def in_ranges(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows by ranges of keys, so that a range has ``ROWS`` or so at most; Spark may only join the ranges of so few rows."""
+    n = rows.count()
+    session = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(*keys) if n <= ROWS else rows.repartitionByRange(max(session, n // ROWS + 1), *keys)
+
+
 def store_inverted(path: str, column: str, index: str, spark: SparkSession) -> None:
     """Where each value of a column of stored files is: values in order, with file and row number."""
     rows = spark.read.parquet(path).select(F.col(column).alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    rows.where("value IS NOT NULL").repartitionByRange(F.col("value"), F.col("file")).sortWithinPartitions("value").write.parquet(index)
+    in_ranges(rows.where("value IS NOT NULL"), "value", "file", "row").sortWithinPartitions("value").write.parquet(index)
 
 
 def read_inverted(spark: SparkSession, path: str, index: str, values: list) -> DataFrame:
@@ -224,4 +236,4 @@ def read_inverted(spark: SparkSession, path: str, index: str, values: list) -> D
         return spark.read.parquet(path).limit(0)
     rows = spark.read.parquet(*files)
     place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
-    return rows.select("*", *place).join(places, (F.col("_file") == F.col("file")) & (F.col("_row") == F.col("row")), "left_semi").drop("_file", "_row")
+    return rows.select("*", *place).join(sized(places), (F.col("_file") == F.col("file")) & (F.col("_row") == F.col("row")), "left_semi").drop("_file", "_row")

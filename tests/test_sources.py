@@ -153,3 +153,15 @@ def test_nearest_rows_are_those_of_brute_force(spark, monkeypatch):
         want |= {(f"k{i:04}", j, d) for d, j in near[:7]}
     assert {(x.query, x.id, x.distance) for x in got.collect()} == want
     assert "CartesianProduct" not in plan(got) and "NestedLoop" not in plan(got)  # no row for each pair
+
+
+def test_ranges_of_an_index_are_bounded(spark, monkeypatch):
+    """One value in all rows of one file; the index has no larger file for it, and few places are sent to the rows."""
+    monkeypatch.setattr(search, "ROWS", 100, raising=False)
+    path = work_dir(spark, "table")
+    spark.range(2000).selectExpr("id", "IF(id % 500 = 0, 2, 1) AS v").coalesce(1).write.parquet(path)
+    search.store_inverted(path, "v", f"{path}-v", spark)
+    sizes = [r["count"] for r in spark.read.parquet(f"{path}-v").selectExpr("_metadata.file_path AS f").groupBy("f").count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) < 400
+    found = search.read_inverted(spark, path, f"{path}-v", [2])
+    assert sorted(r.id for r in found.collect()) == [0, 500, 1000, 1500] and "BroadcastHashJoin" in plan(found)
