@@ -49,6 +49,24 @@ def any_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "lef
     return left.join(one, keys, how)
 
 
+#: Right rows that one list of ``gathered`` has, about.
+GATHERED = 1024
+
+
+def gathered(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
+    """An inner join for keys that have many rows on both sides, where the result is far larger than its inputs.
+
+    The right side's values (told apart by themselves) are gathered in lists of ``GATHERED`` or so, and each left row
+    meets each list of its key once, in a task by key and list. Pairs are made from lists, after the join.
+    """
+    right = right.where(F.col(key).isNotNull()).select(key, value)
+    salts = (right.groupBy(key).count().agg(F.max("count")).first()[0] or 0) // GATHERED + 1
+    lists = right.groupBy(key, F.pmod(F.xxhash64(value), F.lit(salts)).cast("int").alias("__salt")).agg(F.concat(F.collect_list(value), F.array_repeat(F.lit(None), F.count_if(F.col(value).isNull()).cast("int"))).alias("__list"))
+    each = left.where(F.col(key).isNotNull()).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = each.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "__salt")
+    return dealt.join(lists, [key, "__salt"]).select(*left.columns, F.explode("__list").alias(value))
+
+
 def decimal_key(c: Column) -> Column:
     """Decimals of any scale as equal text: no trailing zeros."""
     return F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")

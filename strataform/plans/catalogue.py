@@ -456,9 +456,9 @@ def _(s, d):
 @op(64, "decimal_key_join", "SELECT p_partkey, q.k AS other FROM part JOIN (SELECT p_partkey AS k, CAST(p_retailprice AS DECIMAL(20,6)) AS pr FROM part) q ON CAST(p_retailprice AS DECIMAL(12,2)) = q.pr")
 def _(s, d):
     part = table(s, d, "part")
-    a = part.select("p_partkey", joins.decimal_key(c("p_retailprice").cast("decimal(12,2)")).alias("ka"))
-    b = part.select(c("p_partkey").alias("other"), joins.decimal_key(c("p_retailprice").cast("decimal(20,6)")).alias("kb"))
-    return a.join(b, c("ka") == c("kb")).select("p_partkey", "other")
+    a = part.select("p_partkey", joins.decimal_key(c("p_retailprice").cast("decimal(12,2)")).alias("k"))
+    b = part.select(c("p_partkey").alias("other"), joins.decimal_key(c("p_retailprice").cast("decimal(20,6)")).alias("k"))
+    return joins.gathered(a, b, "k", "other").select("p_partkey", "other")
 
 
 @op(65, "collated_key_join", "SELECT r_regionkey, k FROM region JOIN (SELECT r_regionkey AS k, lower(r_name) || '  ' AS n FROM region) ON lower(r_name) = rtrim(n)")

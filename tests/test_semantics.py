@@ -322,3 +322,19 @@ def test_sketches_are_one_for_a_group(spark, name):
     assert {x.g: x.exact for x in got.collect()} == want and all(x.within for x in got.collect())
     by_value = [x for x in got._jdf.queryExecution().sparkPlan().toString().splitlines() if re.search(r"keys=\[g#\d+, k#", x)]
     assert by_value and all("functions=[]" in x for x in by_value)  # no sketch for each value
+
+
+def test_gathered_joins_are_inner_joins(spark, monkeypatch):
+    monkeypatch.setattr(joins, "GATHERED", 16)
+    left = spark.createDataFrame([(i, None if i % 10 == 0 else f"k{i % 3}") for i in range(100)], "a int, k string")
+    right = spark.createDataFrame([(None if i % 50 == 7 else i, f"k{i % 4}") for i in range(200)] + [(7, None), (9, "k1"), (9, "k1")], "b int, k string")
+    got = joins.gathered(left, right, "k", "b")
+    assert sorted(map(tuple, got.select("a", "k", "b").collect()), key=str) == sorted(map(tuple, left.join(right, "k").select("a", "k", "b").collect()), key=str)
+    assert joins.gathered(left, right.where("false"), "k", "b").count() == 0
+
+
+def test_decimal_key_join_deals_its_pairs(spark):
+    from strataform.plans.catalogue import QUERIES
+
+    plan = QUERIES["o064_decimal_key_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate explode" in plan and "REPARTITION_BY_NUM" in plan
